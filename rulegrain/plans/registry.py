@@ -1,0 +1,23 @@
+"""Registered queries: a Spark plan over the tables and, where one exists, its SQL oracle."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Plan = Callable[[SparkSession, str], DataFrame]
+
+PLANS: dict[str, Plan] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(key: str, sql: str | None = None) -> Callable[[Plan], Plan]:
+    def add(plan: Plan) -> Plan:
+        if key in PLANS:
+            raise ValueError(f"query {key} is registered twice")
+        PLANS[key] = plan
+        if sql is not None:
+            ORACLES[key] = sql
+        return plan
+    return add
