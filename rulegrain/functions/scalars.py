@@ -22,6 +22,23 @@ def poverty_limit(size: Column, year: int = V.GUIDELINE_YEAR) -> Column:
     return F.when(people <= len(sizes), F.get(listed, people.cast("int") - 1)).otherwise(beyond)
 
 
+def guideline_year(year: Column) -> Column:
+    """The latest published guideline year not after `year`; null before the first."""
+    out = F.lit(None).cast("int")
+    for known in sorted(V.GUIDELINES):
+        out = F.when(year >= known, F.lit(known)).otherwise(out)
+    return out
+
+
+def poverty_limit_as_of(size: Column, year: Column) -> Column:
+    """USD a year by the guideline in force in `year`."""
+    in_force = guideline_year(year)
+    out = F.lit(None).cast("bigint")
+    for known in sorted(V.GUIDELINES):
+        out = F.when(in_force == known, poverty_limit(size, known)).otherwise(out)
+    return out
+
+
 def fpl_percent(income: Column, size: Column, year: int = V.GUIDELINE_YEAR) -> Column:
     """Income as a percentage of the guideline, one decimal; a loss counts as zero."""
     earned = F.greatest(income, F.lit(0))

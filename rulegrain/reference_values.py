@@ -9,6 +9,8 @@ from __future__ import annotations
 # --- poverty guideline, USD per year: household sizes 1..8, then each extra person -----------
 GUIDELINE_YEAR = 2026
 GUIDELINES = {
+    2024: {"sizes": [15060, 20440, 25820, 31200, 36580, 41960, 47340, 52720], "each_extra": 5380},
+    2025: {"sizes": [15650, 21150, 26650, 32150, 37650, 43150, 48650, 54150], "each_extra": 5500},
     2026: {"sizes": [15960, 21640, 27320, 33000, 38680, 44360, 50040, 55720], "each_extra": 5680},
 }
 
