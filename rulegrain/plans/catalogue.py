@@ -1,5 +1,6 @@
 """Imports every module that registers queries."""
 
 from rulegrain.plans import scalar_queries  # noqa: F401
+from rulegrain.plans import quality_queries  # noqa: F401
 from rulegrain.plans import eligibility_queries  # noqa: F401
 from rulegrain.plans.registry import ORACLES, PLANS  # noqa: F401
