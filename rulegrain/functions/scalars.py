@@ -16,9 +16,9 @@ def poverty_limit(size: Column, year: int = V.GUIDELINE_YEAR) -> Column:
     """USD a year for a household; sizes below one count as one."""
     table = V.GUIDELINES[year]
     sizes, extra = table["sizes"], table["each_extra"]
-    people = F.greatest(size, F.lit(1))
-    beyond = F.lit(sizes[-1]).cast("bigint") + (people - F.lit(len(sizes))) * F.lit(extra)
-    listed = F.array(*[F.lit(v).cast("bigint") for v in sizes])
+    people = F.greatest(size, F.lit(1)).cast("bigint")
+    beyond = (people - len(sizes)) * extra + sizes[-1]
+    listed = F.expr("array({})".format(", ".join(f"{v}L" for v in sizes)))
     return F.when(people <= len(sizes), F.get(listed, people.cast("int") - 1)).otherwise(beyond)
 
 
@@ -47,12 +47,14 @@ def fpl_percent(income: Column, size: Column, year: int = V.GUIDELINE_YEAR) -> C
 
 def dollar_table(pct: Column, year: int = V.GUIDELINE_YEAR) -> Column:
     """Household size 1..8 to the income ceiling at `pct`; empty for null and for zero."""
-    sizes = V.GUIDELINES[year]["sizes"]
-    amounts = F.array(*[F.rint(F.lit(float(v)) * pct / F.lit(100.0)).cast("bigint")
-                        for v in sizes])
-    keys = F.array(*[F.lit(n) for n in range(1, len(sizes) + 1)])
-    empty = F.create_map().cast("map<int,bigint>")
-    return F.when(pct.isNull() | (pct == 0), empty).otherwise(F.map_from_arrays(keys, amounts))
+    limits = F.expr("array({})".format(", ".join(f"{v}D" for v in V.GUIDELINES[year]["sizes"])))
+    amounts = F.transform(limits, lambda usd: F.rint(usd * pct / 100.0).cast("bigint"))
+    filled = F.map_from_arrays(F.expr("sequence(1, 8)"), amounts)
+    return F.when(pct != 0, filled).otherwise(_no_dollars())
+
+
+def _no_dollars() -> Column:
+    return F.expr("CAST(map() AS map<int,bigint>)")
 
 
 def dollars_for(table: Column, size: Column) -> Column:
@@ -63,7 +65,7 @@ def dollars_for(table: Column, size: Column) -> Column:
 def same_dollars(left: Column, right: Column) -> Column:
     """Equal as sets of (size, amount); null counts as empty."""
     def pairs(m: Column) -> Column:
-        entries = F.map_entries(F.coalesce(m, F.create_map().cast("map<int,bigint>")))
+        entries = F.map_entries(F.coalesce(m, _no_dollars()))
         return F.array_sort(entries)
     return pairs(left) == pairs(right)
 

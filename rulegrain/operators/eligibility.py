@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rulegrain import reference_values as V
 from rulegrain import rules as R
 from rulegrain.functions import scalars as S
+from rulegrain.sources.inline import inline_table
 
 SUPPRESSING = ["ungrounded", "stale_source", "unreadable_source"]
 
@@ -235,13 +237,15 @@ def _word_replace(text: str, word: str, new: str) -> str:
     return re.sub(rf"(?<![\w.]){word}\b", new, text)
 
 
+_DOORS = T.StructType([T.StructField(n, T.StringType()) for n in ("_state", "_coverage", "_legal")])
+
+
 def state_help_doors(df: DataFrame, out: str = "resources", state: str = "state",
                      insurance: str = "insurance",
                      in_collections: str = "in_collections") -> DataFrame:
     """The state's own doors; none for a state without an entry."""
-    table = df.sparkSession.createDataFrame(
-        [(code, *urls) for code, urls in V.STATE_DOORS.items()],
-        "_state string, _coverage string, _legal string")
+    table = inline_table(df.sparkSession,
+                         [(code, *urls) for code, urls in V.STATE_DOORS.items()], _DOORS)
     uninsured = S.is_uninsured(F.col(insurance))
     known = F.col("_coverage").isNotNull()
     doors = F.array(

@@ -8,38 +8,34 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rulegrain import reference_values as V
 from rulegrain import schemas
+from rulegrain.sources.inline import inline_table, struct_literal
 
 
 def _rule_values(overrides: dict[str, dict] | None) -> list[dict]:
-    return [{**entry, **(overrides or {}).get(entry["code"], {})} for entry in V.RULES]
-
-
-def _absent(field: T.StructField):
-    return False if field.dataType == schemas.BOOL else None
+    flags = {f.name: False for f in schemas.RULES.fields if f.dataType == schemas.BOOL}
+    return [{**flags, **entry, **(overrides or {}).get(entry["code"], {})} for entry in V.RULES]
 
 
 def rules_table(spark: SparkSession, overrides: dict[str, dict] | None = None) -> DataFrame:
     """One row per modelled jurisdiction plus the default row (code ``US``)."""
-    rows = [tuple(entry.get(f.name, _absent(f)) for f in schemas.RULES.fields)
+    rows = [tuple(entry.get(name) for name in schemas.RULES.names)
             for entry in _rule_values(overrides)]
-    return spark.createDataFrame(rows, schemas.RULES)
+    return inline_table(spark, rows, schemas.RULES)
 
 
 def default_rules(overrides: dict[str, dict] | None = None) -> Column:
     """The default row as one literal struct."""
     entry = next(e for e in _rule_values(overrides) if e["code"] == V.DEFAULT_CODE)
-    return F.struct(*[F.lit(entry.get(f.name, _absent(f))).cast(f.dataType).alias(f.name)
-                      for f in schemas.RULES.fields])
+    return F.expr(struct_literal(entry, schemas.RULES))
 
 
 def guideline_table(spark: SparkSession) -> DataFrame:
     rows = [(year, size, usd)
             for year, g in V.GUIDELINES.items() for size, usd in enumerate(g["sizes"], 1)]
-    return spark.createDataFrame(rows, schemas.GUIDELINE)
+    return inline_table(spark, rows, schemas.GUIDELINE)
 
 
 def lookup_code(state: Column) -> Column:
@@ -50,11 +46,10 @@ def lookup_code(state: Column) -> Column:
 def with_rules(df: DataFrame, state: str = "state", out: str = "rules",
                overrides: dict[str, dict] | None = None) -> DataFrame:
     """Attach each row's rules as one struct column; unmodelled codes get the default row."""
-    fields = [f.name for f in schemas.RULES.fields]
+    fields = schemas.RULES.names
     modelled = (rules_table(df.sparkSession, overrides)
                 .filter(F.col("code") != V.DEFAULT_CODE)
-                .select(F.col("code").alias("_rule_code"),
-                        F.struct(*[F.col(name) for name in fields]).alias("_rule")))
+                .select(F.col("code").alias("_rule_code"), F.struct(*fields).alias("_rule")))
     return (df.withColumn("_rule_code", lookup_code(F.col(state)))
               .join(F.broadcast(modelled), "_rule_code", "left")
               .withColumn(out, F.coalesce("_rule", default_rules(overrides)))
