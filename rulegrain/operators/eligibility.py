@@ -291,3 +291,77 @@ def coerce_intakes(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = F.col("household_size").isNotNull() & F.col("annual_income").isNotNull()
     return parsed.filter(good), parsed.filter(~good).withColumn(
         "error", F.lit("income and household must be numbers"))
+
+
+# --- the plan --------------------------------------------------------------------------------
+
+
+def apply_keys(phone: Column, interest_free: Column) -> Column:
+    has_phone = F.coalesce(phone, F.lit("")) != ""
+    return F.array_compact(F.array(
+        F.when(has_phone, F.lit("step1_apply_phone")).otherwise(F.lit("step1_apply_nophone")),
+        F.lit("step1_retroactive"),
+        F.when(interest_free, F.lit("step1_interest_free"))))
+
+
+def plan_struct(scored: DataFrame, out: str = "plan") -> DataFrame:
+    """The nested plan of rows from `with_policy_tier`; texts are catalog keys.
+
+    Needs: policy, hospital, needs_review, the free-care table, household_size, annual_income,
+    insurance, in_collections, fpl_pct, tier, message_key."""
+    size = F.col("household_size")
+    phone = F.col("policy.contact.phone")
+    frame = help_doors(scored, out="_doors")
+    debt = debt_keys(F.col("in_collections"))
+    plan = F.struct(
+        F.col("fpl_pct").alias("fpl_pct"), F.col("tier").alias("tier"),
+        F.concat(F.lit("result_"), F.col("tier")).alias("headline"),
+        F.struct(S.py_title(F.col("hospital")).alias("name"), phone.alias("phone"),
+                 F.coalesce(F.col("needs_review"), F.lit(False)).alias("needs_review"))
+         .alias("hospital"),
+        F.struct(size.alias("household"), F.col("annual_income").alias("income"))
+         .alias("patient"),
+        F.struct(F.col("message_key").alias("message"),
+                 F.when(F.col("tier") == "free", S.dollars_for(
+                     F.col("free_care_income_ceiling_by_household"), size))
+                  .alias("income_ceiling"),
+                 apply_keys(phone, F.col("policy.payment_plans.interest_free")).alias("apply"))
+         .alias("charity"),
+        F.array(benefit_key(F.col("fpl_pct"), F.col("insurance"))).alias("benefits"),
+        debt.alias("debt"),
+        F.transform("_doors", lambda d: d["label"]).alias("resources"),
+        closing_step(F.lit(True), F.col("in_collections")).alias("closing_step"))
+    return frame.withColumn(out, plan).drop("_doors")
+
+
+def generic_plan(intakes: DataFrame, out: str = "plan") -> DataFrame:
+    """The hospital-free plan: no ceiling is invented, the tier stays unknown.
+
+    Needs: hospital_name, household_size, annual_income, insurance, in_collections, fpl_pct."""
+    frame = help_doors(intakes, out="_doors")
+    name = S.blank_to_null(F.trim(F.col("hospital_name")))
+    plan = F.struct(
+        F.col("fpl_pct").alias("fpl_pct"), F.lit("unknown").alias("tier"),
+        F.lit(True).alias("not_in_directory"), F.lit("result_unknown").alias("headline"),
+        F.struct(S.py_title(name).alias("name"), F.lit(False).alias("needs_review"))
+         .alias("hospital"),
+        F.struct(F.col("household_size").alias("household"),
+                 F.col("annual_income").alias("income")).alias("patient"),
+        F.struct(F.lit("cc_no_hospital").alias("message"),
+                 apply_keys(F.lit(None).cast("string"), F.lit(False)).alias("apply"))
+         .alias("charity"),
+        F.array(benefit_key(F.col("fpl_pct"), F.col("insurance"))).alias("benefits"),
+        debt_keys(F.col("in_collections")).alias("debt"),
+        F.transform("_doors", lambda d: d["label"]).alias("resources"),
+        closing_step(F.lit(True), F.col("in_collections")).alias("closing_step"))
+    return frame.withColumn(out, plan).drop("_doors")
+
+
+def match_or_generic(matched: DataFrame, found: Column) -> tuple[DataFrame, DataFrame]:
+    """Split resolved requests: (served or asking for general guidance, rejected).
+
+    `matched` holds `generic`; `found` says whether a hospital was resolved."""
+    keep = found | F.coalesce(F.col("generic"), F.lit(False))
+    served = matched.filter(keep).withColumn(
+        "route", F.when(found, F.lit("hospital")).otherwise(F.lit("generic")))
+    return served, matched.filter(~keep).withColumn("error", F.lit("hospital not found"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rulegrain import reference_values as V
+from rulegrain import rules as R
 from rulegrain.functions import scalars as S
 from rulegrain.operators import eligibility as E
 from rulegrain.plans import bindings as B
@@ -48,3 +50,334 @@ def statutory_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     "intake_id").agg(F.count("*").alias("n")))
     return per_household.groupBy("rule_code", "rural", "tier").agg(
         F.sum("n").alias("bills"), F.count("*").alias("households"))
+
+
+# --- rules lookup ----------------------------------------------------------------------------
+
+
+@query("j06_rules_lookup", f"""WITH {B.sql_roster_with_bands()}
+SELECT b.pos, b.rule_code, r.law, r.floor_pct FROM banded b JOIN rules r ON r.code = b.rule_code""")
+def rules_lookup(spark, sf_dir):
+    return R.with_rules(B.roster(spark, sf_dir)).select(
+        "pos", F.col("rules.code").alias("rule_code"), "rules.law", "rules.floor_pct")
+
+
+@query("j07_upper_tier", f"""WITH {B.sql_roster_with_bands()}
+SELECT pos, ccn, rural, free_band, discount_band FROM banded""")
+def upper_tier(spark, sf_dir):
+    return banded_roster(spark, sf_dir).select("pos", "ccn", "rural", "free_band",
+                                               "discount_band")
+
+
+# --- the law's answer ------------------------------------------------------------------------
+
+_FACTS = E.FACT_FIELDS
+SQL_FACTS = f"""{SQL_SCORED}, facts AS (SELECT s.*, {SQL_TIER} AS tier0,
+ r.free_pct IS NOT NULL OR r.discount_pct IS NOT NULL AS statutory, r.law, r.name AS state_name, r.is_program,
+ {", ".join("r." + f for f in _FACTS)}, r.names_medicaid_cap, r.bars_debt_lawsuits, r.apply_deadline_days
+ FROM scored s JOIN rules r ON r.code = s.rule_code)"""
+
+
+def fact_bills(spark, sf_dir):
+    return E.statutory_facts(scored_bills(spark, sf_dir))
+
+
+@query("r09_statutory_facts", f"""WITH {SQL_FACTS}
+SELECT CASE WHEN statutory THEN rule_code END AS fact_state, CASE WHEN statutory THEN law END AS fact_law,
+ CASE WHEN statutory THEN tier0 END AS tier, {", ".join(f"CASE WHEN statutory THEN {f} END AS {f}" for f in _FACTS)},
+ rural, free_band, discount_band, count(*) AS bills FROM facts GROUP BY ALL""")
+def statutory_facts(spark, sf_dir):
+    return fact_bills(spark, sf_dir).groupBy(
+        "fact_state", "fact_law", "tier", *_FACTS, "rural", "free_band", "discount_band") \
+        .agg(F.count("*").alias("bills"))
+
+
+@query("r10_message_keys", f"""WITH {SQL_FACTS}, m AS (SELECT rule_code, rural, tier0 AS tier, CASE WHEN NOT statutory THEN NULL
+ WHEN program_suspended THEN 'cc_program_suspended' ELSE concat_ws(',',
+ CASE WHEN tier0 = 'free' THEN 'cc_statutory_free' WHEN tier0 = 'discount' AND free_band IS NULL THEN 'cc_statutory_discount_only'
+  WHEN tier0 = 'discount' AND income_cap_pct IS NULL THEN 'cc_statutory_discount_nocap' WHEN tier0 = 'discount' THEN 'cc_statutory_discount'
+  WHEN discount_band IS NULL AND free_band IS NOT NULL THEN 'cc_statutory_over_free_only' ELSE 'cc_statutory_over' END,
+ CASE WHEN tier0 = 'discount' AND payment_cap_payoff_months > 0 AND fpl_pct <= payment_cap_ceiling_pct THEN 'cc_payment_cap_payoff'
+  WHEN tier0 = 'over' AND payment_cap_pct > 0 AND payment_cap_payoff_months IS NULL AND fpl_pct <= payment_cap_ceiling_pct THEN 'cc_payment_cap' END,
+ CASE WHEN tier0 = 'over' AND hardship_debt_pct > 0 AND fpl_pct <= hardship_ceiling_pct THEN 'cc_hardship_extend'
+  WHEN tier0 = 'over' AND catastrophic_cap_pct > 0 AND fpl_pct <= catastrophic_ceiling_pct THEN 'cc_catastrophic'
+  WHEN tier0 = 'over' AND medical_hardship_entry_pct > 0 THEN 'cc_medical_hardship' END) END AS keys FROM facts)
+SELECT rule_code, rural, keys, count(*) AS bills FROM m GROUP BY ALL""")
+def message_keys(spark, sf_dir):
+    keyed = fact_bills(spark, sf_dir).select(
+        F.col("rules.code").alias("rule_code"), "rural",
+        F.array_join(E.statutory_message_keys(), ",").alias("keys"))
+    return keyed.groupBy("rule_code", "rural", "keys").agg(F.count("*").alias("bills"))
+
+
+def _shape(stem: str, other: str) -> str:
+    return (f"CASE WHEN discount_band IS NULL THEN '{stem}_free_only' WHEN free_band IS NULL "
+            f"THEN '{stem}_discount_only' ELSE {other} END")
+
+
+def _prog(stem: str) -> str:
+    return f"CASE WHEN r.is_program THEN '{stem}_program' ELSE '{stem}' END"
+
+
+@query("r11_page_notes", f"""WITH {B.sql_roster_with_bands()}
+SELECT b.pos, CASE WHEN r.free_pct IS NULL AND r.discount_pct IS NULL THEN NULL ELSE concat_ws(',',
+ {_shape('s_meta', _prog('s_meta'))}, {_shape('s_h_lead', _prog('s_h_lead'))}, {_prog('s_law_h')},
+ {_shape('s_law_p', "CASE WHEN r.income_cap_pct IS NULL THEN 's_law_p_nocap' ELSE 's_law_p' END")},
+ CASE WHEN b.rural AND r.free_rural_pct IS NOT NULL THEN 's_rural_note' END, {_prog('s_minimum_note')},
+ CASE WHEN r.is_program THEN 's_program_currency' END,
+ CASE WHEN r.payment_cap_payoff_months > 0 THEN 's_payment_cap_payoff' WHEN r.payment_cap_pct > 0 THEN 's_payment_cap' END,
+ CASE WHEN r.immigration_excluded THEN 's_immigration' END, CASE WHEN r.names_medicaid_cap THEN 's_medicaid_cap' END,
+ CASE WHEN r.bars_debt_lawsuits THEN 's_debt_protection' END, CASE WHEN r.apply_deadline_days > 0 THEN 's_apply_deadline' END,
+ CASE WHEN r.hardship_ceiling_pct > 0 THEN 's_hardship_extend' END, CASE WHEN r.catastrophic_cap_pct > 0 THEN 's_catastrophic_cap' END,
+ CASE WHEN r.medical_hardship_entry_pct > 0 THEN 's_medical_hardship' END, CASE WHEN r.charity_excess_pct > 0 THEN 's_charity_excess' END,
+ CASE WHEN r.debt_suit_floor_usd > 0 THEN 's_debt_protection_md' END) END AS notes
+FROM banded b JOIN rules r ON r.code = b.rule_code""")
+def page_notes(spark, sf_dir):
+    return banded_roster(spark, sf_dir).select(
+        "pos", F.array_join(E.page_note_keys(), ",").alias("notes"))
+
+
+@query("r12_plan_extras", f"""WITH {SQL_FACTS}, m AS (SELECT rule_code, tier0 AS tier,
+ CASE WHEN statutory AND tier0 IN ('free', 'discount') THEN concat_ws(',', 's_minimum_note',
+  CASE WHEN tier0 = 'discount' AND names_medicaid_cap THEN 's_medicaid_cap' END,
+  CASE WHEN bars_debt_lawsuits THEN 's_debt_protection' END,
+  CASE WHEN apply_deadline_days > 0 THEN 's_apply_deadline' END) ELSE '' END AS extras FROM facts)
+SELECT rule_code, extras, count(*) AS bills FROM m GROUP BY ALL""")
+def plan_extras(spark, sf_dir):
+    keyed = fact_bills(spark, sf_dir).select(
+        F.col("rules.code").alias("rule_code"),
+        F.array_join(E.plan_extra_keys(), ",").alias("extras"))
+    return keyed.groupBy("rule_code", "extras").agg(F.count("*").alias("bills"))
+
+
+_SQL_PCT_INTAKE = f"""{B.SQL_INTAKE}, i AS (SELECT *, {B.sql_pct('annual_income', 'household_size')} AS fpl_pct,
+ insurance <> '' AND lower(insurance) NOT IN ('none', 'uninsured', 'self-pay') AS insured,
+ trim(lower(insurance)) IN ('', 'none', 'uninsured', 'self-pay') AS uninsured FROM intake)"""
+
+
+@query("p10_insured_uninsured", f"WITH {_SQL_PCT_INTAKE} SELECT intake_id, insured, uninsured FROM i")
+def insured_uninsured(spark, sf_dir):
+    return B.intakes(spark, sf_dir).select(
+        "intake_id", S.is_insured(F.col("insurance")).alias("insured"),
+        S.is_uninsured(F.col("insurance")).alias("uninsured"))
+
+
+_SQL_BENEFIT = """CASE WHEN insured THEN 'ben_insured' WHEN fpl_pct <= 138 THEN 'ben_medicaid_heuristic'
+ WHEN fpl_pct <= 400 THEN 'ben_aca_heuristic' ELSE 'ben_over_heuristic' END"""
+
+
+@query("r13_benefit_heuristic", f"WITH {_SQL_PCT_INTAKE} SELECT intake_id, {_SQL_BENEFIT} AS benefit FROM i")
+def benefit_heuristic(spark, sf_dir):
+    return scored_intakes(spark, sf_dir).select(
+        "intake_id", E.benefit_key(F.col("fpl_pct"), F.col("insurance")).alias("benefit"))
+
+
+_DEBT = "debt_rights,debt_retroactive,debt_legalaid,debt_credit_note"
+
+
+@query("r14_debt_guidance", f"""WITH {_SQL_PCT_INTAKE}
+SELECT intake_id, CASE WHEN in_collections THEN '{_DEBT}' ELSE '' END AS debt FROM i""")
+def debt_guidance(spark, sf_dir):
+    return B.intakes(spark, sf_dir).select(
+        "intake_id", F.array_join(E.debt_keys(F.col("in_collections")), ",").alias("debt"))
+
+
+_SQL_DOORS = """concat_ws(',', CASE WHEN uninsured AND fpl_pct <= 200 THEN {medical} END,
+ CASE WHEN uninsured AND fpl_pct > 138 THEN {coveredca} END, CASE WHEN uninsured THEN {clinic} END,
+ CASE WHEN in_collections THEN {legalaid} END)"""
+
+
+@query("j15_help_routing", f"""WITH {_SQL_PCT_INTAKE}
+SELECT intake_id, {_SQL_DOORS.format(medical="'medical'", coveredca="'coveredca'", clinic="'clinic'", legalaid="'legalaid'")} AS doors FROM i""")
+def help_routing(spark, sf_dir):
+    routed = E.help_doors(scored_intakes(spark, sf_dir))
+    return routed.select("intake_id", F.array_join(
+        F.transform("resources", lambda d: d["id"]), ",").alias("doors"))
+
+
+@query("f01_predicate_hooks", f"""WITH {_SQL_PCT_INTAKE}
+SELECT intake_id, concat_ws(',', CASE WHEN NOT uninsured OR fpl_pct > 300 THEN 'a' END,
+ CASE WHEN in_collections AND fpl_pct <= 250 THEN 'b' END) AS doors FROM i""")
+def predicate_hooks(spark, sf_dir):
+    """Doors with user-written conditions."""
+    doors = [("a", "https://example.org/a", None, "res_a", "NOT uninsured OR pct > 300"),
+             ("b", "https://example.org/b", None, "res_b", "in_collections AND pct <= 250")]
+    routed = E.help_doors(scored_intakes(spark, sf_dir), doors=doors)
+    return routed.select("intake_id", F.array_join(
+        F.transform("resources", lambda d: d["id"]), ",").alias("doors"))
+
+
+def _state_doors_sql() -> str:
+    rows = ",".join(f"('{c}','{a}','{b}')" for c, (a, b) in V.STATE_DOORS.items())
+    return f"doors(code, coverage, legal) AS (VALUES {rows})"
+
+
+@query("j16_state_help_routing", f"""WITH {_SQL_PCT_INTAKE}, {B.SQL_ROSTER}, {B.SQL_BILLS}, {_state_doors_sql()},
+m AS (SELECT r.state, CASE WHEN d.code IS NULL THEN '' ELSE concat_ws(' ', CASE WHEN i.uninsured THEN d.coverage END,
+ CASE WHEN i.uninsured THEN '{V.CLINIC_URL}' END, CASE WHEN i.in_collections THEN d.legal END) END AS doors
+ FROM bills JOIN i USING (intake_id) JOIN roster r USING (pos) LEFT JOIN doors d ON d.code = upper(coalesce(r.state, '')))
+SELECT state, doors, count(*) AS bills FROM m GROUP BY ALL""")
+def state_help_routing(spark, sf_dir):
+    bills = B.bills(spark, sf_dir)
+    joined = (bills.join(B.intakes(spark, sf_dir), "intake_id")
+                   .join(B.roster(spark, sf_dir).select("pos", "state"), "pos"))
+    routed = E.state_help_doors(joined).select("state", F.array_join(
+        F.transform("resources", lambda d: d["url"]), " ").alias("doors"))
+    return routed.groupBy("state", "doors").agg(F.count("*").alias("bills"))
+
+
+_PROGRAM_ROWS = """SELECT s_suppkey AS pos, s_suppkey % 3 <> 0 AS is_program, s_suppkey % 7 = 1 AS program_suspended,
+ CASE WHEN s_suppkey % 5 = 4 THEN NULL ELSE {date} END AS program_confirmed_through FROM {src}"""
+
+
+@query("r16_program_currency", f"""WITH p AS ({_PROGRAM_ROWS.format(
+    date="strftime(DATE '2026-01-01' + cast(s_suppkey % 365 as int), '%Y-%m-%d')", src="supplier")}),
+d AS (SELECT *, date_diff('day', DATE '2026-06-15', cast(program_confirmed_through as date)) AS days FROM p WHERE is_program)
+SELECT pos, CASE WHEN program_suspended THEN 'SUSPENDED' WHEN days IS NULL THEN 'UNTRACKED' WHEN days < 0 THEN 'STALE'
+ WHEN days <= 45 THEN 'WARN' ELSE 'OK' END AS currency, CASE WHEN NOT program_suspended THEN cast(days as int) END AS days_left,
+ program_suspended OR coalesce(days < 0, false) AS problem FROM d""")
+def program_currency(spark, sf_dir):
+    src = _PROGRAM_ROWS.format(
+        date="CAST(date_add(DATE'2026-01-01', CAST(s_suppkey % 365 AS INT)) AS STRING)",
+        src=f"parquet.`{sf_dir}/supplier.parquet`")
+    rows = spark.sql(src)
+    return E.program_currency(rows, F.lit("2026-06-15").cast("date")).select(
+        "pos", "currency", "days_left", "problem")
+
+
+# --- a hospital's own policy -----------------------------------------------------------------
+
+_K_PCT = "CAST((k * 7) % 1000 AS DOUBLE) / 10 * 9"
+_SQL_BAND = """CASE WHEN n_tiers = 0 THEN NULL WHEN NOT swapped AND fpl_pct BETWEEN lo1 AND hi1 THEN 1
+ WHEN fpl_pct BETWEEN lo2 AND hi2 THEN 2 WHEN fpl_pct BETWEEN lo1 AND hi1 THEN 1 END"""
+_SQL_MATCH = """CASE WHEN verdict IN ('ungrounded', 'stale_source', 'unreadable_source') THEN 'unknown:cc_unknown'
+ WHEN fpl_pct <= fc THEN 'free:cc_free' WHEN band IS NOT NULL THEN 'discount:cc_discount_tier'
+ WHEN fpl_pct <= dc THEN 'discount:cc_discount_ceiling' WHEN insured AND oop <> 0 THEN 'high_cost:cc_high_cost'
+ WHEN fc IS NULL AND dc IS NULL AND n_tiers = 0 THEN 'unknown:cc_unknown' ELSE 'over:cc_over' END"""
+
+
+@query("p07_suppression", f"""WITH {B.SQL_POLICY}
+SELECT k, coalesce(verdict IN ('ungrounded', 'stale_source', 'unreadable_source'), false) AS suppressed FROM pol""")
+def suppression(spark, sf_dir):
+    return B.policies(spark, sf_dir).select(
+        F.col("pos").alias("k"), E.suppressed(F.col("grounding")).alias("suppressed"))
+
+
+@query("j08_first_band", f"""WITH {B.SQL_POLICY}, p AS (SELECT *, {_K_PCT} AS fpl_pct FROM pol),
+b AS (SELECT *, {_SQL_BAND} AS band FROM p)
+SELECT k, CASE band WHEN 1 THEN lo1 WHEN 2 THEN lo2 END AS lo, CASE band WHEN 1 THEN hi1 WHEN 2 THEN hi2 END AS hi,
+ CASE band WHEN 1 THEN pays1 WHEN 2 THEN pays2 END AS pays FROM b""")
+def first_band(spark, sf_dir):
+    rows = B.policies(spark, sf_dir).withColumn("k", F.col("pos"))
+    band = E.first_band(F.col("policy.discount_payment.tiers"), F.expr(_K_PCT))
+    return rows.select("k", band["fpl_low_pct"].alias("lo"), band["fpl_high_pct"].alias("hi"),
+                       band["patient_pays_pct"].alias("pays"))
+
+
+@query("r07_charity_match", f"""WITH {B.SQL_POLICY}, p AS (SELECT *, {_K_PCT} AS fpl_pct, k % 3 = 0 AS insured FROM pol),
+b AS (SELECT *, {_SQL_BAND} AS band FROM p), m AS (SELECT *, {_SQL_MATCH} AS c FROM b)
+SELECT k, split_part(c, ':', 1) AS tier, split_part(c, ':', 2) AS message_key,
+ CASE WHEN c LIKE 'over%' THEN coalesce(greatest(fc, dc), 0) END AS ceiling FROM m""")
+def charity_match(spark, sf_dir):
+    rows = (B.policies(spark, sf_dir).withColumn("k", F.col("pos"))
+            .withColumn("fpl_pct", F.expr(_K_PCT)).withColumn("insured", F.col("k") % 3 == 0))
+    return E.with_policy_tier(rows).select("k", "tier", "message_key", "ceiling")
+
+
+SQL_POLICY_BILLS = f"""{_SQL_PCT_INTAKE}, {B.SQL_POLICY}, pb AS (SELECT i.*, p.*
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN i ON i.intake_id = o_custkey JOIN pol p ON p.k = l_partkey),
+banded_bill AS (SELECT *, {_SQL_BAND} AS band FROM pb), decided AS (SELECT *, {_SQL_MATCH} AS c FROM banded_bill)"""
+
+
+def policy_bills(spark, sf_dir):
+    """Every order line as a household's bill from the hospital that published a policy."""
+    orders = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    lines = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    intakes = scored_intakes(spark, sf_dir).withColumn("insured", S.is_insured(F.col("insurance")))
+    return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+                 .join(intakes, F.col("o_custkey") == F.col("intake_id"))
+                 .join(B.policies(spark, sf_dir), F.col("l_partkey") == F.col("pos")))
+
+
+@query("j19_intake_scoring", f"""WITH {SQL_POLICY_BILLS}
+SELECT k, split_part(c, ':', 1) AS tier, split_part(c, ':', 2) AS message_key, insured, count(*) AS bills,
+ max(fpl_pct) AS top_pct FROM decided GROUP BY ALL""")
+def intake_scoring(spark, sf_dir):
+    scored = E.with_policy_tier(policy_bills(spark, sf_dir))
+    return scored.groupBy(F.col("pos").alias("k"), "tier", "message_key", "insured").agg(
+        F.count("*").alias("bills"), F.max("fpl_pct").alias("top_pct"))
+
+
+_SQL_PLAN = f"""'{{"fpl_pct":' || fpl_pct || ',"tier":"' || tier || '","headline":"result_' || tier || '","hospital":{{"name":"'
+ || {B.sql_title('hospital')} || '"' || CASE WHEN phone IS NULL THEN '' ELSE ',"phone":"' || phone || '"' END
+ || ',"needs_review":' || needs_review || '}},"patient":{{"household":' || household_size || ',"income":' || annual_income
+ || '}},"charity":{{"message":"' || split_part(c, ':', 2) || '"' || CASE WHEN tier = 'free' AND household_size BETWEEN 1 AND 8
+  AND free_table_pct <> 0 THEN ',"income_ceiling":' || cast(round_even({B.sql_limit('household_size')} * free_table_pct / 100, 0) as bigint) ELSE '' END
+ || ',"apply":["' || CASE WHEN coalesce(phone, '') <> '' THEN 'step1_apply_phone' ELSE 'step1_apply_nophone' END
+ || '","step1_retroactive"' || CASE WHEN interest_free THEN ',"step1_interest_free"' ELSE '' END || ']}},"benefits":["' || {_SQL_BENEFIT}
+ || '"],"debt":[' || CASE WHEN in_collections THEN '"{_DEBT.replace(",", chr(34) + "," + chr(34))}"' ELSE '' END || '],"resources":['
+ || {_SQL_DOORS.format(medical="'" + chr(34) + "res_medical" + chr(34) + "'", coveredca="'" + chr(34) + "res_coveredca" + chr(34) + "'", clinic="'" + chr(34) + "res_clinic" + chr(34) + "'", legalaid="'" + chr(34) + "res_legalaid" + chr(34) + "'")}
+ || '],"closing_step":' || (3 + cast(in_collections as int)) || '}}'"""
+
+
+@query("r15_plan_struct", f"""WITH {SQL_POLICY_BILLS}, t AS (SELECT *, split_part(c, ':', 1) AS tier FROM decided)
+SELECT intake_id, k, tier, md5({_SQL_PLAN}) AS plan_md5 FROM t""")
+def plan_struct(spark, sf_dir):
+    plans = E.plan_struct(E.with_policy_tier(policy_bills(spark, sf_dir)))
+    return plans.select("intake_id", F.col("pos").alias("k"), "tier",
+                        F.md5(F.to_json("plan")).alias("plan_md5"))
+
+
+@query("w07_step_numbering", f"""WITH {_SQL_PCT_INTAKE}
+SELECT intake_id, cast(2 + cast(insured as int) + cast(in_collections as int) as int) AS closing_step FROM i""")
+def step_numbering(spark, sf_dir):
+    return B.intakes(spark, sf_dir).select("intake_id", E.closing_step(
+        S.is_insured(F.col("insurance")), F.col("in_collections")).alias("closing_step"))
+
+
+# --- requests --------------------------------------------------------------------------------
+
+_REQUEST = """o_orderkey AS id, {clerk} AS full_name,
+ CASE o_orderkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'four' WHEN 2 THEN ' 3 ' ELSE CAST(o_custkey % 9 AS {str}) END AS household,
+ CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '12k' WHEN 2 THEN '-500' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS {str}) END AS income,
+ CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'Medicare' END AS insurance,
+ concat('  ', repeat(o_orderpriority, 8)) AS account, CASE WHEN o_orderkey % 3 = 0 THEN '  ' ELSE o_orderpriority END AS phone"""
+_SQL_REQUEST = _REQUEST.format(clerk="CASE WHEN o_orderkey % 4 = 0 THEN '  ' ELSE 'Ana ' || o_custkey END", str="VARCHAR")
+_SPARK_REQUEST = _REQUEST.format(clerk="CASE WHEN o_orderkey % 4 = 0 THEN '  ' ELSE concat('Ana ', o_custkey) END", str="STRING")
+_SQL_COERCED = f"""q AS (SELECT {_SQL_REQUEST} FROM orders), h AS (SELECT *,
+ CASE WHEN coalesce(household, '') = '' OR trim(household) = '0' THEN 1 WHEN regexp_full_match(trim(household), '[+-]?[0-9]+') THEN try_cast(trim(household) as int) END AS household_size,
+ CASE WHEN coalesce(income, '') = '' THEN 0 WHEN regexp_full_match(trim(income), '[+-]?[0-9]+') THEN try_cast(trim(income) as bigint) END AS annual_income FROM q)"""
+
+
+def _requests(spark, sf_dir):
+    return B.table(spark, sf_dir, "orders").selectExpr(
+        *[c.strip() for c in B._split_top(_SPARK_REQUEST)])
+
+
+@query("p11_intake_coercion", f"""WITH {_SQL_COERCED}
+SELECT id, trim(full_name) AS full_name, CASE WHEN trim(full_name) = '' THEN 'there' ELSE split_part(trim(full_name), ' ', 1) END AS first_name,
+ household_size, annual_income, CASE WHEN insurance = '' THEN 'uninsured' ELSE insurance END AS insurance,
+ nullif(substr(trim(account), 1, 40), '') AS account, nullif(substr(trim(phone), 1, 40), '') AS phone
+FROM h WHERE household_size IS NOT NULL AND annual_income IS NOT NULL""")
+def intake_coercion(spark, sf_dir):
+    accepted, _ = E.coerce_intakes(_requests(spark, sf_dir))
+    return accepted.select("id", "full_name", "first_name", "household_size", "annual_income",
+                           "insurance", "account", "phone")
+
+
+@query("p11_intake_rejects", f"""WITH {_SQL_COERCED}
+SELECT id, 'income and household must be numbers' AS error FROM h WHERE household_size IS NULL OR annual_income IS NULL""")
+def intake_rejects(spark, sf_dir):
+    _, rejected = E.coerce_intakes(_requests(spark, sf_dir))
+    return rejected.select("id", "error")
+
+
+@query("p12_parse_int_loose", """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN ' $' || format('{:,}', cast(floor(o_totalprice) as bigint)) || ' '
+ WHEN 1 THEN o_orderpriority WHEN 2 THEN cast(o_totalprice as varchar) ELSE cast(o_custkey as varchar) END AS s FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 3) THEN cast(regexp_replace(trim(s), '[$,]', '', 'g') as bigint) END AS n FROM t""")
+def parse_int_loose(spark, sf_dir):
+    text = F.expr("CASE o_orderkey % 4 WHEN 0 THEN concat(' $', format_number(floor(o_totalprice), 0), ' ') "
+                  "WHEN 1 THEN o_orderpriority WHEN 2 THEN CAST(o_totalprice AS STRING) "
+                  "ELSE CAST(o_custkey AS STRING) END")
+    return B.table(spark, sf_dir, "orders").select("o_orderkey",
+                                                   S.parse_int_loose(text).alias("n"))
