@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rulegrain import reference_values as V
 from rulegrain.functions import evidence as T
 from rulegrain.functions import scalars as S
+from rulegrain.operators.flatten import unnest
 
 CLAIMS = "array<struct<label:string,value:double>>"
 
@@ -61,7 +62,7 @@ def ground_claims(rows: DataFrame, window: Column | None = None, claims: str = "
         c["label"].alias("label"), c["value"].alias("value"),
         T.grounding_of(c["value"], F.col(corpus), F.col("_mentions"), F.col("_markers"), window)
          .alias("g"))))
-    return graded.select(*keep, F.explode("_g").alias("_c")).select(
+    return unnest(graded, "_g", "_c", keep).select(
         *keep, "_c.label", "_c.value", "_c.g.grounded", "_c.g.evidence")
 
 
@@ -126,7 +127,6 @@ def window_sweep(rows: DataFrame, windows: list[int]) -> DataFrame:
         return F.struct(F.lit(window).alias("window"), ok.alias("ok"))
 
     graded = with_mentions(rows).withColumn("_sweep", F.array(*[under(w) for w in windows]))
-    per_claim = graded.select(F.explode("_sweep").alias("s")).select(
-        "s.window", F.explode("s.ok").alias("ok"))
+    per_claim = unnest(unnest(graded, "_sweep", "s", []).select("s.*"), "ok", "ok", ["window"])
     return per_claim.groupBy("window").agg(F.count_if("ok").alias("grounded"),
                                            F.count_if(~F.col("ok")).alias("ungrounded"))

@@ -115,14 +115,12 @@ def needs_review(spark, sf_dir):
 @query("r03_check_row", f"""WITH {SQL_FINDINGS} SELECT k, severity, "check", detail FROM finding""")
 def check_row(spark, sf_dir):
     checked = Q.check_rows(B.policies(spark, sf_dir).withColumnRenamed("pos", "k"))
-    return Q.explode_findings(checked, ["k"]).drop("ord")
+    return Q.explode_findings(checked, ["k"])
 
 
 @query("w04_tier_neighbours", f"""WITH {SQL_BOUNDED}, {SQL_GEOMETRY} SELECT k, severity, detail FROM geometry""")
 def tier_neighbours(spark, sf_dir):
-    rows = B.policies(spark, sf_dir).withColumn("_ordered", Q.ordered_tiers())
-    return rows.select(F.col("pos").alias("k"), F.inline(Q._geometry(F.col("_ordered")))) \
-               .drop("check")
+    return Q.tier_geometry(B.policies(spark, sf_dir).withColumnRenamed("pos", "k"), ["k"])
 
 
 @query("a05_chain_divergence", f"""WITH {SQL_FINDINGS}
