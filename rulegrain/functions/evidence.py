@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rulegrain import reference_values as V
+from rulegrain.functions.binding import let
 
 # words, digits and blanks are Unicode here, as the word lists need
 STOPWORDS = r"(?iU)\b(?:" + "|".join(V.STOPWORD_STEMS) + r")\w*\b"
@@ -77,16 +78,20 @@ def is_grounded(value: Column, mentions: Column, markers: Column, window: Column
 def grounding_of(value: Column, text: Column, mentions: Column, markers: Column,
                  window: Column) -> Column:
     """struct<grounded,evidence>; evidence is the text around the first supporting pair."""
+    def first_pair(supporting: Column) -> Column:
+        pos = F.get(supporting, F.lit(0))["start"]
+        return F.when(F.size(supporting) > 0, F.struct(pos.alias("pos"), F.get(F.filter(
+            markers, lambda k: _near(pos, k, window)), F.lit(0)).alias("mk")))
+
+    def shown(pair: Column) -> Column:
+        pos, mk = pair["pos"], pair["mk"]
+        low = F.greatest(F.lit(0), F.least(pos, mk["start"]) - V.EVIDENCE_MARGIN)
+        high = F.least(F.length(text), F.greatest(pos, mk["end"]) + V.EVIDENCE_MARGIN)
+        cut = F.substring(text, low + 1, high - low)
+        tidy = F.trim(F.regexp_replace(cut, r"(?U)\s+", " "))
+        return F.struct(pair.isNotNull().alias("grounded"),
+                        F.when(pair.isNotNull(), tidy).alias("evidence"))
+
     supporting = F.filter(mentions, lambda m: (m["value"] == value) & F.exists(
         markers, lambda k: _near(m["start"], k, window)))
-    pairs = F.transform(F.slice(supporting, 1, 1), lambda m: F.struct(
-        m["start"].alias("pos"),
-        F.get(F.filter(markers, lambda k: _near(m["start"], k, window)), F.lit(0)).alias("mk")))
-    shown = F.transform(pairs, lambda p: F.struct(
-        F.greatest(F.lit(0), F.least(p["pos"], p["mk"]["start"]) - V.EVIDENCE_MARGIN).alias("lo"),
-        F.least(F.length(text), F.greatest(p["pos"], p["mk"]["end"]) + V.EVIDENCE_MARGIN)
-         .alias("hi")))
-    texts = F.transform(shown, lambda s: F.trim(F.regexp_replace(
-        F.substring(text, s["lo"] + 1, s["hi"] - s["lo"]), r"(?U)\s+", " ")))
-    return F.struct((F.size(supporting) > 0).alias("grounded"),
-                    F.get(texts, F.lit(0)).alias("evidence"))
+    return let(let(supporting, first_pair), shown)
