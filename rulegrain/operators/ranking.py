@@ -38,8 +38,8 @@ def number_within(df: DataFrame, group: list[str], order: list[str],
                   out: str = "n") -> DataFrame:
     """Add `out`: 1..n within each group; groups may be of any size."""
     placed = number_rows(df, [*group, *order], out="_n")
-    first = placed.groupBy(*group).agg(F.min("_n").alias("_first"))
-    same = [placed[g].eqNullSafe(first[g]) for g in group]
-    joined = placed.join(first, same)
-    return joined.select(*[placed[c] for c in df.columns],
-                         (F.col("_n") - F.col("_first") + 1).alias(out))
+    first = placed.groupBy(*group).agg(F.min("_n").alias("_first")) \
+                  .withColumnsRenamed({g: f"_of_{g}" for g in group})
+    same = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]
+    return placed.join(first, same).select(
+        *df.columns, (F.col("_n") - F.col("_first") + 1).alias(out))
