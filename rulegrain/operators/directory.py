@@ -125,6 +125,20 @@ def find_hospitals(requests: DataFrame, index: DataFrame, ids: DataFrame | None
     return out.withColumn("target", best).select(*requests.columns, "target")
 
 
+def substring_index(index: DataFrame, shortest: int = 4) -> DataFrame:
+    """(gram, target): the first key, in index order, that contains each substring.
+
+    For lookups against a stream: written once, then joined by equality."""
+    size = F.length("key")
+    spans = unnest(index.filter(size >= shortest).withColumn(
+        "_lens", F.sequence(F.lit(shortest), size)), "_lens", "_n", ["key", "ord", "target"])
+    cuts = spans.withColumn("_cuts", F.transform(
+        F.sequence(F.lit(1), size - F.col("_n") + 1),
+        lambda at: F.substring(F.col("key"), at, F.col("_n"))))
+    return (unnest(cuts, "_cuts", "gram", ["ord", "target"])
+            .groupBy("gram").agg(F.min_by("target", "ord").alias("target")))
+
+
 def find_by_ccn(requests: DataFrame, roster: DataFrame, pos: str = "pos") -> DataFrame:
     """Add `target` by (state, ccn) only; names never resolve a statutory hospital."""
     keyed = roster.filter(S.blank_to_null(F.col("ccn")).isNotNull()).groupBy("state", "ccn").agg(
