@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column
@@ -181,17 +182,42 @@ def money(value: Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(value.try_cast("bigint"), 0))
 
 
-def fill(template: Column, args: Mapping[str, Column], numeric: tuple[str, ...] = ()) -> Column:
-    """Replace ``{name}`` — and for numeric names ``{name:.0f}`` and ``{name:,}`` too."""
+def _shown(value: Column, spec: str, numeric: bool) -> Column:
+    """A field's text under its format: ``.0f``, ``,`` or none."""
+    if not numeric:
+        text = value.cast("string")
+    elif spec == ".0f":
+        text = whole_text(value)
+    elif spec == ",":
+        text = thousands(value)
+    else:
+        text = number_text(value)
+    return F.coalesce(text, F.lit("None"))
+
+
+_FIELD = re.compile(r"\{(\w+)(?::([^}]*))?\}")
+
+
+def fill(template: Column | str, args: Mapping[str, Column],
+         numeric: tuple[str, ...] = ()) -> Column:
+    """Replace ``{name}`` — and for numeric names ``{name:.0f}`` and ``{name:,}`` too.
+
+    A template known while planning is cut at its fields once; one that comes from a column is
+    filled by replacement."""
+    if isinstance(template, str):
+        parts, at = [], 0
+        for field in _FIELD.finditer(template):
+            name, spec = field.group(1), field.group(2) or ""
+            if name in args:
+                parts += [F.lit(template[at:field.start()]),
+                          _shown(args[name], spec, name in numeric)]
+                at = field.end()
+        return F.concat(*parts, F.lit(template[at:]))
     out = template
     for name, value in args.items():
-        if name in numeric:
-            out = F.replace(out, F.lit("{" + name + ":.0f}"),
-                            F.coalesce(whole_text(value), F.lit("None")))
-            out = F.replace(out, F.lit("{" + name + ":,}"),
-                            F.coalesce(thousands(value), F.lit("None")))
-            value = number_text(value)
-        out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("None")))
+        for spec in ((".0f", ",", "") if name in numeric else ("",)):
+            mark = "{" + name + (":" + spec if spec else "") + "}"
+            out = F.replace(out, F.lit(mark), _shown(value, spec, name in numeric))
     return out
 
 

@@ -145,7 +145,7 @@ def letters(scored: DataFrame, today: str, template: Column | None = None,
     name = F.coalesce(S.blank_to_null(F.trim(F.col("full_name"))), F.lit("[Your full name]"))
     ask = F.when(F.col("tier") == "free", F.lit("free (fully charity) care")) \
            .otherwise(F.lit("a charity-care discount"))
-    filled = S.fill(template if template is not None else F.lit(LETTER), {
+    filled = S.fill(template if template is not None else LETTER, {
         "name": name, "address": given("address"), "phone": given("phone"),
         "today": F.lit(today), "hospital": S.py_title(F.col("hospital")),
         "account": given("account"), "service_date": given("service_date"), "ask": ask,

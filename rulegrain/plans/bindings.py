@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulegrain.functions import scalars as S
+from rulegrain.session import spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = False) -> DataFrame:
+    """A table; `heavy` asks for enough tasks for costly work per row."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if heavy else df
 
 
 # --- SQL spellings shared by oracles ---------------------------------------------------------
@@ -156,7 +159,7 @@ def sql_roster_with_bands() -> str:
 
 def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem", heavy=True).select("l_orderkey", "l_suppkey")
     return (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
                  .select(F.col("o_custkey").alias("intake_id"),
                          F.col("l_suppkey").alias("pos")))

@@ -292,7 +292,7 @@ banded_bill AS (SELECT *, {_SQL_BAND} AS band FROM pb), decided AS (SELECT *, {_
 def policy_bills(spark, sf_dir):
     """Every order line as a household's bill from the hospital that published a policy."""
     orders = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = B.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    lines = B.table(spark, sf_dir, "lineitem", heavy=True).select("l_orderkey", "l_partkey")
     intakes = scored_intakes(spark, sf_dir).withColumn("insured", S.is_insured(F.col("insurance")))
     return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
                  .join(intakes, F.col("o_custkey") == F.col("intake_id"))

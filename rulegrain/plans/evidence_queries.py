@@ -22,7 +22,7 @@ sized AS (SELECT *, sha256(corpus) AS real_sha FROM doc)"""
 def claim_docs(spark, sf_dir):
     """Documents as corpora with the claims published about them."""
     sentence = _SENTENCE.format(filler=_FILLER)
-    return (B.table(spark, sf_dir, "documents")
+    return (B.table(spark, sf_dir, "documents", heavy=True)
             .selectExpr("doc_id", "lang", "text", "100 + (doc_id % 7) * 50 AS n")
             .selectExpr("doc_id", "lang", "n", f"text || {sentence} AS corpus")
             .selectExpr(
@@ -72,7 +72,7 @@ support AS (SELECT c.doc_id, c.i AS ci, m.i AS mi, k.i AS ki, m.s AS pos, k.s AS
 @query("t02_intelligible", f"""SELECT doc_id, round({_density('text')}, 6) AS density, {_density('text')} >= 10 AS readable FROM documents""")
 def intelligible(spark, sf_dir):
     text = F.col("text")
-    return B.table(spark, sf_dir, "documents").select(
+    return B.table(spark, sf_dir, "documents", heavy=True).select(
         "doc_id", F.round(T.stopword_density(text), 6).alias("density"),
         T.intelligible(text).alias("readable"))
 
@@ -80,7 +80,7 @@ def intelligible(spark, sf_dir):
 @query("p04_route_unusable", f"""SELECT doc_id, length(trim(text)) < 500 OR NOT ({_density('text')} >= 10) AS needs_ocr, length(trim(text)) < 500 AS short FROM documents""")
 def route_unusable(spark, sf_dir):
     text = F.col("text")
-    return B.table(spark, sf_dir, "documents").select(
+    return B.table(spark, sf_dir, "documents", heavy=True).select(
         "doc_id", (T.short_text(text) | ~T.intelligible(text)).alias("needs_ocr"),
         T.short_text(text).alias("short"))
 

@@ -181,8 +181,8 @@ _SQL_CLEAN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(reg
 
 @query("t01_clean_text", f"SELECT page_id, md5({_SQL_CLEAN.format(h='html')}) AS clean FROM pages")
 def clean_text(spark, sf_dir):
-    return B.table(spark, sf_dir, "pages").select("page_id",
-                                                  F.md5(M.clean_text(F.col("html"))).alias("clean"))
+    return B.table(spark, sf_dir, "pages", heavy=True).select(
+        "page_id", F.md5(M.clean_text(F.col("html"))).alias("clean"))
 
 
 _DAY = "strftime(o_orderdate, '%m/%d/%Y')"
@@ -196,7 +196,8 @@ _SPARK_PAGE = _PAGE.format(day="date_format(o_orderdate, 'MM/dd/yyyy')")
 
 
 def _policy_pages(spark, sf_dir):
-    return B.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page", f"{_SPARK_PAGE} AS html")
+    return B.table(spark, sf_dir, "orders", heavy=True).selectExpr("o_orderkey AS page",
+                                                                   f"{_SPARK_PAGE} AS html")
 
 
 _A, _Bu, _C, _D = ("'https://host/Attachment?id=' || md5('a' || o_orderkey)", "'https://host/Attachment?id=b' || o_orderkey",
@@ -327,7 +328,7 @@ rated AS (SELECT *, CASE WHEN free_care_fpl_pct <= discount_max_fpl_pct THEN 'hi
 
 
 def policy_texts(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents").selectExpr(
+    return B.table(spark, sf_dir, "documents", heavy=True).selectExpr(
         "doc_id", f"text || {_POLICY_LINE.replace('chr(', 'char(')} AS text")
 
 

@@ -99,7 +99,7 @@ p AS (SELECT o_orderkey, nullif(d, '') AS d, CASE WHEN o_orderkey % 11 IN (0, 1,
  WHEN o_orderkey % 11 = 7 THEN date_trunc('year', o_orderdate)::date END AS parsed FROM t)
 SELECT o_orderkey, CASE WHEN parsed > DATE '{TODAY}' THEN NULL ELSE d END AS shown FROM p""")
 def effective_date_display(spark, sf_dir):
-    orders = B.table(spark, sf_dir, "orders")
+    orders = B.table(spark, sf_dir, "orders", heavy=True)
     return orders.select("o_orderkey", S.effective_date_display(
         F.expr(SPARK_DATE_TEXT), F.lit(TODAY).cast("date")).alias("shown"))
 
@@ -137,9 +137,9 @@ SELECT intake_id, '~' || cast(round_even(pct, 0) as bigint) || '% of ' || househ
  || format('{{:,}}', annual_income) || ' for ' || full_name || ' (' || {B.sql_num('pct')} || ') {{left}}'
  AS filled FROM p""")
 def fill_template(spark, sf_dir):
-    df = B.intakes(spark, sf_dir)
+    df = B.intakes(spark, sf_dir).withColumn("template", F.lit(_FILL))
     pct = S.fpl_percent(F.col("annual_income"), F.col("household_size"))
-    return df.select("intake_id", S.fill(F.lit(_FILL), {
+    return df.select("intake_id", S.fill(F.col("template"), {
         "pct": pct, "n": F.col("household_size"), "income": F.col("annual_income"),
         "name": F.col("full_name")}, numeric=("pct", "n", "income")).alias("filled"))
 

@@ -50,3 +50,21 @@ def settle(df: DataFrame) -> DataFrame:
     also when executors are lost.  Runs a job."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SPREAD_BYTES = 1 << 18
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Enough tasks for CPU-heavy work per row over an input with few splits.
+
+    Inputs with at least as many splits as the cluster has cores — anything large — come back
+    as they are; a small file of one row group is dealt out, a quarter megabyte or more per task."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    execution = df._jdf.queryExecution()
+    if execution.toRdd().getNumPartitions() >= cores:
+        return df
+    size = int(str(execution.optimizedPlan().stats().sizeInBytes()))
+    tasks = min(cores, max(1, size // _SPREAD_BYTES))
+    return df.repartition(tasks) if tasks > 1 else df
