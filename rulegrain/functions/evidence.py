@@ -53,8 +53,19 @@ def spans(text: Column, pattern: str) -> Column:
     return F.aggregate(step, empty, advance, lambda acc: acc["out"])
 
 
+# every poverty wording holds one of these, so most texts need no regular expression
+_MARKER_HINTS = ["fpl", "fpg", "poverty"]
+
+
 def marker_spans(text: Column, pattern: str = MARKERS) -> Column:
-    return spans(text, pattern)
+    if pattern != MARKERS:
+        return spans(text, pattern)
+    lower = F.lower(text)
+    hinted = lower.contains(_MARKER_HINTS[0])
+    for hint in _MARKER_HINTS[1:]:
+        hinted = hinted | lower.contains(hint)
+    none = F.expr("CAST(array() AS array<struct<start:int,end:int,hit:string>>)")
+    return F.when(hinted, spans(text, pattern)).otherwise(none)
 
 
 def percent_mentions(text: Column, pattern: str = PERCENTS) -> Column:

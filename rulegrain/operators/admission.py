@@ -33,17 +33,18 @@ def micros(df: DataFrame, ts: str) -> Column:
 def admit(hits: DataFrame, limit: int = V.RATE_LIMIT, window: float = V.RATE_WINDOW_SECONDS,
           key: str = "key", ts: str = "ts", hit_id: str = "id",
           earlier: DataFrame | None = None) -> DataFrame:
-    """Add `admitted`.  Hits of a key are taken by (ts, id).
+    """(key, ts, id, admitted).  Hits of a key are taken by (ts, id).
 
     `earlier` (key, ts) are hits admitted before this batch; they count but are not returned."""
     span = int(window * 1_000_000)
     width = span * _BLOCK_WINDOWS
+    kinds = dict(hits.dtypes)
     own = hits.select(F.col(key).alias("_k"), micros(hits, ts).alias("_t"),
-                      F.col(hit_id).cast("string").alias("_id"), F.lit(False).alias("_seed"))
+                      F.col(hit_id).alias("_id"), F.lit(False).alias("_seed"))
     if earlier is not None:
         own = own.unionByName(earlier.select(
-            F.col(key).alias("_k"), micros(earlier, ts).alias("_t"), F.lit("").alias("_id"),
-            F.lit(True).alias("_seed")))
+            F.col(key).alias("_k"), micros(earlier, ts).alias("_t"),
+            F.lit("0").cast(kinds[hit_id]).alias("_id"), F.lit(True).alias("_seed")))
     own = own.withColumn("_block", F.floor(F.col("_t") / width).cast("bigint")) \
              .withColumn("_own", F.lit(True))
     in_tail = F.col("_t") >= (F.col("_block") + 1) * width - span
@@ -69,18 +70,19 @@ def admit(hits: DataFrame, limit: int = V.RATE_LIMIT, window: float = V.RATE_WIN
     placed = runs.select("_k", "_block", "_run").join(dense_runs, ["_k", "_run"])
     rows = counted.join(placed, ["_k", "_block"])
     free = rows.filter(~F.col("_fold") & F.col("_own") & ~F.col("_seed")) \
-               .select("_k", "_id", F.lit(True).alias("admitted"))
+               .select("_k", "_t", "_id", F.lit(True).alias("admitted"))
     # a run is opened by its own hits and, before its first block, by hits known to be admitted
     fold = rows.filter(F.col("_fold") & (F.col("_own") | (F.col("_block") == F.col("_run")))) \
                .withColumn("_known", F.col("_seed") | ~F.col("_own")) \
-               .select("_k", F.col("_run"), "_t", "_id", "_known")
+               .select("_k", "_run", "_t", "_id", "_known")
     folded = (fold.repartition("_k", "_run").sortWithinPartitions("_k", "_run", "_t", "_id")
-              .mapInPandas(_folder(limit, span), f"_k {dict(fold.dtypes)['_k']}, _id string, "
-                                                 "admitted boolean"))
-    decided = free.unionByName(folded).select(F.col("_k").alias(key),
-                                              F.col("_id").alias("_hit"), "admitted")
-    return hits.withColumn("_hit", F.col(hit_id).cast("string")) \
-               .join(decided, [key, "_hit"]).drop("_hit")
+              .mapInPandas(_folder(limit, span), f"_k {kinds[key]}, _t bigint, "
+                                                 f"_id {kinds[hit_id]}, admitted boolean"))
+    epoch = F.lit("1970-01-01 00:00:00Z" if kinds[ts] == "timestamp" else "1970-01-01 00:00:00") \
+        .cast(kinds[ts])
+    return free.unionByName(folded).select(
+        F.col("_k").alias(key), F.timestamp_add("MICROSECOND", F.col("_t"), epoch).alias(ts),
+        F.col("_id").alias(hit_id), "admitted")
 
 
 def _folder(limit: int, span: int):
@@ -97,6 +99,6 @@ def _folder(limit: int, span: int):
                 if ok:
                     recent.append(t)
                 admitted.append(ok)
-            out = frame[["_k", "_id"]].assign(admitted=admitted)
+            out = frame[["_k", "_t", "_id"]].assign(admitted=admitted)
             yield out[~frame["_known"].astype(bool)]
     return fold

@@ -105,8 +105,10 @@ def find_hospitals(requests: DataFrame, index: DataFrame, ids: DataFrame | None
     named = requests.withColumn("_key", F.upper("name")).withColumn("_needle", F.trim("_key"))
     exact = index.select(F.col("key").alias("_key"), F.col("target").alias("_exact"))
     joined = named.join(exact, "_key", "left")
+    # a text longer than every key matches none, so the lengths asked for stay few
+    longest = index.agg(F.max(F.length("key"))).scalar()
     needles = (joined.filter(F.col("_exact").isNull() & (F.length("_needle") >= 4))
-               .select("_needle").distinct())
+               .select("_needle").distinct().filter(F.length("_needle") <= longest))
     lengths = needles.agg(F.sort_array(F.collect_set(F.length("_needle")))).scalar()
     pieces = unnest(index.withColumn("_lens", lengths), "_lens", "_n", ["key", "ord", "target"]) \
         .filter(F.col("_n") <= F.length("key"))

@@ -18,7 +18,7 @@ from rulegrain.streaming import conversation, rate_limit, refresh
 
 LIMIT, HOURS = 2, 6
 _WINDOW = HOURS * 3600
-_SQL_ADMIT = f"""WITH RECURSIVE h AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, cast(event_id as varchar)) AS rn FROM events),
+_SQL_ADMIT = f"""WITH RECURSIVE h AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 f AS (SELECT user_id, event_id, rn, [t] AS recent, true AS admitted FROM h WHERE rn = 1
  UNION ALL SELECT h.user_id, h.event_id, h.rn,
   CASE WHEN len(list_filter(f.recent, lambda x: x > h.t - {_WINDOW * 1_000_000})) < {LIMIT} THEN list_append(list_filter(f.recent, lambda x: x > h.t - {_WINDOW * 1_000_000}), h.t)
