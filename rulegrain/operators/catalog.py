@@ -129,10 +129,30 @@ _BLANKS = {"address": "[Your address]", "phone": "[Your phone]",
            "account": "[account number if known]", "service_date": "[date of service]"}
 
 
+def render(df: DataFrame, ids: list[str], keys: str, catalog: DataFrame, args: dict[str, Column],
+           numeric: tuple[str, ...] = (), out: str = "text") -> DataFrame:
+    """(ids…, out): each row's message keys resolved in its `lang`, filled and joined in order.
+
+    `ids` identify a row; a row carries a handful of keys."""
+    values = {name: value.cast("string") if name not in numeric else value
+              for name, value in args.items()}
+    flat = (df.select(*ids, "lang", *[v.alias(f"_a_{n}") for n, v in values.items()],
+                      F.posexplode_outer(keys).alias("_ord", "key"))
+            .filter(F.col("key").isNotNull()))
+    texts = resolve(flat, catalog).withColumn("_text", S.fill(
+        F.col("template"), {n: F.col(f"_a_{n}") for n in values}, numeric))
+    parts = texts.groupBy(*ids).agg(
+        F.sort_array(F.collect_list(F.struct("_ord", "_text"))).alias("_parts"))
+    joined = F.array_join(F.transform("_parts", lambda p: p["_text"]), " ")
+    return parts.select(*ids, joined.alias(out))
+
+
 def letters(scored: DataFrame, today: str, template: Column | None = None,
-            out: str = "letter") -> DataFrame:
+            ask: Column | None = None, out: str = "letter") -> DataFrame:
     """One letter per scored intake; what the intake leaves open shows as a bracket.
 
+    A translated twin takes its language's `template` and `ask` texts as columns.
+
     Needs: hospital, state, law, tier, fpl_pct, household_size, annual_income, full_name and,
     where given, address, phone, account, service_date."""
     def given(name: str) -> Column:
@@ -143,8 +163,9 @@ def letters(scored: DataFrame, today: str, template: Column | None = None,
     law = F.when(code == V.HOME_CODE, F.lit("California's Hospital Fair Pricing Act")) \
            .otherwise(F.col("law"))
     name = F.coalesce(S.blank_to_null(F.trim(F.col("full_name"))), F.lit("[Your full name]"))
-    ask = F.when(F.col("tier") == "free", F.lit("free (fully charity) care")) \
-           .otherwise(F.lit("a charity-care discount"))
+    if ask is None:
+        ask = F.when(F.col("tier") == "free", F.lit("free (fully charity) care")) \
+               .otherwise(F.lit("a charity-care discount"))
     filled = S.fill(template if template is not None else LETTER, {
         "name": name, "address": given("address"), "phone": given("phone"),
         "today": F.lit(today), "hospital": S.py_title(F.col("hospital")),

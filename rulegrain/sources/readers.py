@@ -64,3 +64,12 @@ def result_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def binary_documents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
+
+
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """Catalog files named by language, `{section: {key: text}}` -> (lang, section, key, template)."""
+    raw = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract(F.input_file_name(), r"([A-Za-z-]+)\.json$", 1).alias("lang"),
+        F.from_json("value", "map<string,map<string,string>>").alias("sections"))
+    sections = raw.select("lang", F.explode("sections").alias("section", "texts"))
+    return sections.select("lang", "section", F.explode("texts").alias("key", "template"))
