@@ -19,7 +19,7 @@ _POSITION_BITS = 33       # monotonically_increasing_id: partition id above, pos
 def number_rows(df: DataFrame, order: list[str], out: str = "n") -> DataFrame:
     """Add `out`: 1..n by `order`, which must be a total order.
 
-    Runs a job: the sorted rows are checkpointed so that both passes see the same partitions."""
+    Runs a job: the sorted rows are written with their positions, which both passes read."""
     spread = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
     placed = settle(spread.withColumn("_id", F.monotonically_increasing_id()))
     placed = placed.withColumn("_part", F.shiftright("_id", _POSITION_BITS))

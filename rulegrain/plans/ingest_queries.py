@@ -158,9 +158,10 @@ _LINE = """CASE event_id % 5 WHEN 0 THEN ''
  ELSE '{"custom_id":"c' || event_id || '","result":{"type":"succeeded","message":{"content":[{"type":"text"},{"type":"tool_use","input":{"value":' || user_id || '}}]}}}' END"""
 
 
-@query("io04_read_jsonl_results", """SELECT md5(event_type || event_id) AS source_sha256, CASE WHEN event_id % 5 = 4 THEN '{"value":' || user_id || '}' END AS policy,
- CASE event_id % 5 WHEN 1 THEN 'batch_errored: {"type":"overloaded","user":' || user_id || '}' WHEN 2 THEN 'batch_expired: "expired"' WHEN 3 THEN 'no tool_use block' END AS error
-FROM events WHERE event_id % 5 <> 0 AND event_type <> 'view'""")
+@query("io04_read_jsonl_results", f"""WITH line AS (SELECT *, {_LINE} AS line FROM events), p AS (SELECT *, json_extract_string(line, '$.result.type') AS kind,
+ json_extract(line, '$.result.message.content[1].input') AS made FROM line WHERE trim(line) <> '' AND event_type <> 'view')
+SELECT md5(event_type || event_id) AS source_sha256, cast(made as varchar) AS policy, CASE WHEN kind = 'succeeded' AND made IS NULL THEN 'no tool_use block'
+ WHEN kind <> 'succeeded' THEN 'batch_' || kind || ': ' || coalesce(cast(json_extract(line, '$.result.error') as varchar), '"' || kind || '"') END AS error FROM p""")
 def read_jsonl_results(spark, sf_dir):
     """Result lines written as text, read back, joined to the known ids."""
     events = B.table(spark, sf_dir, "events")

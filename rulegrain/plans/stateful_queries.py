@@ -10,6 +10,7 @@ from rulegrain.operators.admission import admit
 from rulegrain.plans import bindings as B
 from rulegrain.plans.change_queries import SQL_DIFF, snapshot
 from rulegrain.plans.directory_queries import _SQL_LABELLED, named_rows
+from rulegrain.plans.eligibility_queries import _SQL_BAND, _SQL_MATCH
 from rulegrain.plans.registry import query
 from rulegrain.session import scratch_path
 from rulegrain.streaming import conversation, rate_limit, refresh
@@ -83,7 +84,8 @@ feat AS (SELECT m.*, lower(trim(text)) AS w, coalesce(e.target, x.target) AS tar
   row_number() OVER (PARTITION BY sender ORDER BY "at") AS rn FROM msg m LEFT JOIN idx e ON e.key = upper(trim(text)) LEFT JOIN within x ON x.needle = upper(trim(text)) WHERE sender <> ''),
 m AS (SELECT *, w IN ('start', 'restart', 'reset', 'inicio') AS restart, w LIKE '2%' OR w LIKE 'es%' AS es, w IN ('y', 'yes', 'yeah', 'yep', 'si', 'sí', 's', '1', 'true', 'n', 'no', 'nope', '0', 'false') AS yn,
   w IN ('letter', 'carta') AS letter FROM feat),
-talk AS (SELECT sender, "at", conv_id, turn, rn, 0 AS step, cast(restart as bigint) AS session, CASE WHEN restart THEN 'restart' ELSE 'welcome' END AS reply, 'en' AS lang, 1 AS nxt, false AS said_es FROM m WHERE rn = 1
+talk AS (SELECT sender, "at", conv_id, turn, rn, 0 AS step, cast(restart as bigint) AS session, CASE WHEN restart THEN 'restart' ELSE 'welcome' END AS reply, 'en' AS lang, 1 AS nxt, false AS said_es,
+  cast(null as bigint) AS hosp, cast(null as bigint) AS inc, cast(null as bigint) AS hh, false AS insured, false AS coll FROM m WHERE rn = 1
  UNION ALL SELECT m.sender, m."at", m.conv_id, m.turn, m.rn, t.nxt, t.session + cast(m.restart as bigint),
   CASE WHEN m.restart THEN 'restart' WHEN t.nxt = 1 THEN 'ask_hospital' WHEN t.nxt = 2 THEN CASE WHEN target IS NULL THEN 'hospital_not_found' ELSE 'ask_income' END
    WHEN t.nxt = 3 THEN CASE WHEN num IS NULL THEN 'ask_number' ELSE 'ask_household' END WHEN t.nxt = 4 THEN CASE WHEN num >= 1 THEN 'ask_insurance' ELSE 'ask_number' END
@@ -92,7 +94,10 @@ talk AS (SELECT sender, "at", conv_id, turn, rn, 0 AS step, cast(restart as bigi
   CASE WHEN m.restart THEN 'en' WHEN t.nxt = 1 THEN CASE WHEN es THEN 'es' ELSE 'en' END WHEN t.said_es THEN 'es' ELSE 'en' END,
   CASE WHEN m.restart THEN 1 WHEN t.nxt = 7 THEN 7 WHEN t.nxt = 2 AND target IS NULL THEN 2 WHEN t.nxt = 3 AND num IS NULL THEN 3 WHEN t.nxt = 4 AND NOT coalesce(num >= 1, false) THEN 4
    WHEN t.nxt IN (5, 6) AND NOT yn THEN t.nxt ELSE t.nxt + 1 END,
-  CASE WHEN m.restart THEN false WHEN t.nxt = 1 THEN es ELSE t.said_es END
+  CASE WHEN m.restart THEN false WHEN t.nxt = 1 THEN es ELSE t.said_es END,
+  CASE WHEN t.nxt = 2 THEN target ELSE t.hosp END, CASE WHEN t.nxt = 3 THEN num ELSE t.inc END, CASE WHEN t.nxt = 4 THEN num ELSE t.hh END,
+  CASE WHEN t.nxt = 5 THEN w IN ('y', 'yes', 'yeah', 'yep', 'si', 'sí', 's', '1', 'true') ELSE t.insured END,
+  CASE WHEN t.nxt = 6 THEN w IN ('y', 'yes', 'yeah', 'yep', 'si', 'sí', 's', '1', 'true') ELSE t.coll END
  FROM talk t JOIN m ON m.sender = t.sender AND m.rn = t.rn + 1)"""
 
 
@@ -125,7 +130,9 @@ def conversation_stream(spark, sf_dir):
     return spark.read.schema(conversation.REPLIES).parquet(out)
 
 
-@query("st01_plan_replies")
+@query("st01_plan_replies", f"""WITH RECURSIVE {_SQL_TALK}, {B.SQL_POLICY}, done AS (SELECT t.*, p.* EXCLUDE (hospital, city), {B.sql_pct('t.inc', 't.hh')} AS fpl_pct
+ FROM talk t JOIN pol p ON p.k = t.hosp WHERE t.reply = 'plan'), b AS (SELECT *, {_SQL_BAND} AS band FROM done), c AS (SELECT *, split_part({_SQL_MATCH}, ':', 1) AS tier FROM b)
+SELECT sender, "at", lang, tier, fpl_pct, CASE WHEN tier = 'unknown' THEN 'sorry' ELSE 'plan_' || tier || ',plan_apply,plan_benefit' || CASE WHEN coll THEN ',plan_debt' ELSE '' END || ',plan_letter,plan_footer' END AS lines FROM c""")
 def plan_replies(spark, sf_dir):
     """Plan messages of completed conversations."""
     told = D.converse(inbound_resolved(spark, sf_dir))

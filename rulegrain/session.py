@@ -24,7 +24,7 @@ def build(app: str = "rulegrain", **extra: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The reliable folder the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
     Only where the session names none (tests on one machine) a temporary folder is
     made, and remembered in the session.
@@ -46,10 +46,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint: partitions and their row order stay fixed,
-    also when executors are lost.  Runs a job."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table in the shared folder: computed once, fixed from then on, also
+    when executors are lost, and of known size for the plans built on it.  Runs a job."""
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _SPREAD_BYTES = 1 << 18
