@@ -89,10 +89,10 @@ def roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier")
     nations = table(spark, sf_dir, "nation")
     joined = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    return joined.selectExpr(*[c.strip() for c in _split_top(_ROSTER)])
+    return joined.selectExpr(*[c.strip() for c in split_top(_ROSTER)])
 
 
-def _split_top(text: str) -> list[str]:
+def split_top(text: str) -> list[str]:
     """Split a select list at its top-level commas."""
     out, depth, start = [], 0, 0
     for i, ch in enumerate(text):

@@ -218,7 +218,7 @@ def page_metadata(spark, sf_dir):
 
 _KEY = "source || '_' || (doc_id % 7)"
 _TEMPLATE = """text || CASE WHEN lang = 'de' AND doc_id % 5 = 0 THEN ' {pct} {nome}' ELSE ' {pct:.0f} {name}' END
- || CASE WHEN doc_id % 3 = 0 THEN ' <a href="https://h/' || (doc_id % 4) || '">PolicyEngine</a>' ELSE '' END"""
+ || CASE WHEN doc_id % 3 = 0 THEN ' <a href="https://h/' || (doc_id % 4) || '">RulesEngine</a>' ELSE '' END"""
 _SQL_CATALOG = f"""entries AS (SELECT lang, 'sec' || (doc_id % 3) AS section, {_KEY} AS key, doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE {_TEMPLATE} END AS template FROM documents),
 catalog AS (SELECT lang, section, key, arg_min(template, doc_id) AS template FROM entries GROUP BY ALL)"""
 
@@ -250,7 +250,7 @@ _WANT = """event_id, CASE event_type WHEN 'view' THEN 'en' WHEN 'click' THEN 'es
 SELECT w.event_id, md5(coalesce(o.template, e.template)) AS text_md5 FROM want w LEFT JOIN full_text o ON o.lang = w.lang AND o.key = w.key
  LEFT JOIN full_text e ON e.lang = 'en' AND e.key = w.key""")
 def catalog_fallback(spark, sf_dir):
-    wanted = B.table(spark, sf_dir, "events").selectExpr(*[c.strip() for c in B._split_top(_WANT)])
+    wanted = B.table(spark, sf_dir, "events").selectExpr(*[c.strip() for c in B.split_top(_WANT)])
     merged = C.overlay(catalog(spark, sf_dir), _ORDER)
     return C.resolve(wanted, merged).select("event_id", F.md5("template").alias("text_md5"))
 
@@ -280,7 +280,7 @@ _SQL_TAG = " ".join(f"CASE WHEN length(t) - length(replace(t, '{tag}', '')) <> l
 
 @query("r18_catalog_drift", f"""WITH {_SQL_CATALOG}, {_SQL_OVERLAY}, p AS (SELECT m.lang, m.key, m.template AS t, e.template AS e FROM merged m JOIN merged e ON e.lang = 'en' AND e.key = m.key
  WHERE m.lang <> 'en' AND m.template <> '' AND e.template <> '')
-SELECT lang, key, concat_ws(',', CASE WHEN contains(t, 'PolicyEngine') <> contains(e, 'PolicyEngine') THEN 'token PolicyEngine' END, {_SQL_TAG}
+SELECT lang, key, concat_ws(',', CASE WHEN contains(t, 'RulesEngine') <> contains(e, 'RulesEngine') THEN 'token RulesEngine' END, {_SQL_TAG}
  CASE WHEN regexp_extract_all(t, 'href="([^"]+)"', 1) <> regexp_extract_all(e, 'href="([^"]+)"', 1) THEN 'links' END,
  CASE WHEN {_SQL_FIELDS.replace('{t}', 't')} <> {_SQL_FIELDS.replace('{t}', 'e')} THEN 'fields' END,
  CASE WHEN NOT (length(t) / greatest(length(e), 1) BETWEEN 0.5 AND 2.5) THEN 'length' END) AS problems FROM p""")
@@ -288,7 +288,7 @@ def catalog_drift(spark, sf_dir):
     merged = C.overlay(catalog(spark, sf_dir), _ORDER).filter("template <> ''")
     english = merged.filter("lang = 'en'").select("key", F.col("template").alias("en"))
     pairs = merged.filter("lang <> 'en'").join(english, "key")
-    return C.drift(pairs, ["PolicyEngine"]).select("lang", "key",
+    return C.drift(pairs, ["RulesEngine"]).select("lang", "key",
                                                    F.array_join("problems", ",").alias("problems"))
 
 

@@ -351,7 +351,7 @@ _SQL_COERCED = f"""q AS (SELECT {_SQL_REQUEST} FROM orders), h AS (SELECT *,
 
 def _requests(spark, sf_dir):
     return B.table(spark, sf_dir, "orders").selectExpr(
-        *[c.strip() for c in B._split_top(_SPARK_REQUEST)])
+        *[c.strip() for c in B.split_top(_SPARK_REQUEST)])
 
 
 @query("p11_intake_coercion", f"""WITH {_SQL_COERCED}

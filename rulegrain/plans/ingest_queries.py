@@ -35,7 +35,7 @@ def raw_roster(spark, sf_dir):
     cells = _RAW.format(fac="st. o''brien", str="string").replace("''", "\\'")
     cells = cells.replace("THEN \\' ELSE", "THEN '' ELSE").replace('"', "`")
     joined = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
-    return joined.selectExpr("s_suppkey AS pos", *[c.strip() for c in B._split_top(cells)])
+    return joined.selectExpr("s_suppkey AS pos", *[c.strip() for c in B.split_top(cells)])
 
 
 _SQL_NORMAL = f"""upper(trim("Facility Name")) AS hospital, "Facility ID" AS ccn, upper(trim("City/Town")) AS city,

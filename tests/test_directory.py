@@ -127,9 +127,9 @@ def test_gaps_and_drift(spark):
     allowed = spark.createDataFrame([("b", "k")], "section string, key string")
     assert {(r.lang, r.section, r.key) for r in C.key_gaps(catalog, allowed).collect()} == {("es", "a", "only")}
     pairs = spark.createDataFrame([
-        ("es", "We send {x} to PolicyEngine <b>now</b>", "Enviamos {x} a PolicyEngine <b>ya</b>"),
-        ("es", "We send {x} to PolicyEngine", "Enviamos {y} al motor de calculo"),
+        ("es", "We send {x} to RulesEngine <b>now</b>", "Enviamos {x} a RulesEngine <b>ya</b>"),
+        ("es", "We send {x} to RulesEngine", "Enviamos {y} al motor de calculo"),
         ("zh", "a long english sentence", "短句短句短句"), ("es", "a long english sentence", "corta")],
         "lang string, en string, template string")
-    got = [r.problems for r in C.drift(pairs, ["PolicyEngine"]).collect()]
-    assert got == [[], ["token PolicyEngine", "fields"], [], ["length"]]
+    got = [r.problems for r in C.drift(pairs, ["RulesEngine"]).collect()]
+    assert got == [[], ["token RulesEngine", "fields"], [], ["length"]]
