@@ -157,9 +157,9 @@ def sql_roster_with_bands() -> str:
 # --- bills: one per order line: which household owes which hospital --------------------------
 
 
-def bills(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bills(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = table(spark, sf_dir, "lineitem", heavy=True).select("l_orderkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem", heavy).select("l_orderkey", "l_suppkey")
     return (lines.join(orders, lines.l_orderkey == orders.o_orderkey)
                  .select(F.col("o_custkey").alias("intake_id"),
                          F.col("l_suppkey").alias("pos")))

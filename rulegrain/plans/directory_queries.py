@@ -316,7 +316,7 @@ for _field, _value in {
  FROM scored s JOIN rules r ON r.code = s.rule_code)
 SELECT intake_id, pos, md5('{_SQL_LETTER}') AS letter_md5 FROM t""")
 def letter_merge(spark, sf_dir):
-    scored = scored_bills(spark, sf_dir).drop("phone").withColumn("law", F.col("rules.law")).withColumn(
+    scored = scored_bills(spark, sf_dir, heavy=True).drop("phone").withColumn("law", F.col("rules.law")).withColumn(
         "tier", E.band_tier(F.col("fpl_pct"), F.col("free_band"), F.col("discount_band")))
     return C.letters(scored, "July 14, 2026").select("intake_id", "pos",
                                                      F.md5("letter").alias("letter_md5"))

@@ -24,8 +24,8 @@ def banded_roster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.with_statutory_bands(B.roster(spark, sf_dir))
 
 
-def scored_bills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bills = B.bills(spark, sf_dir)
+def scored_bills(spark: SparkSession, sf_dir: str, heavy: bool = False) -> DataFrame:
+    bills = B.bills(spark, sf_dir, heavy)
     return (bills.join(scored_intakes(spark, sf_dir), "intake_id")
                  .join(banded_roster(spark, sf_dir), "pos"))
 
@@ -289,10 +289,10 @@ SQL_POLICY_BILLS = f"""{_SQL_PCT_INTAKE}, {B.SQL_POLICY}, pb AS (SELECT i.*, p.*
 banded_bill AS (SELECT *, {_SQL_BAND} AS band FROM pb), decided AS (SELECT *, {_SQL_MATCH} AS c FROM banded_bill)"""
 
 
-def policy_bills(spark, sf_dir):
+def policy_bills(spark, sf_dir, heavy=False):
     """Every order line as a household's bill from the hospital that published a policy."""
     orders = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    lines = B.table(spark, sf_dir, "lineitem", heavy=True).select("l_orderkey", "l_partkey")
+    lines = B.table(spark, sf_dir, "lineitem", heavy).select("l_orderkey", "l_partkey")
     intakes = scored_intakes(spark, sf_dir).withColumn("insured", S.is_insured(F.col("insurance")))
     return (lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
                  .join(intakes, F.col("o_custkey") == F.col("intake_id"))
@@ -323,7 +323,7 @@ _SQL_PLAN = f"""'{{"fpl_pct":' || fpl_pct || ',"tier":"' || tier || '","headline
 @query("r15_plan_struct", f"""WITH {SQL_POLICY_BILLS}, t AS (SELECT *, split_part(c, ':', 1) AS tier FROM decided)
 SELECT intake_id, k, tier, md5({_SQL_PLAN}) AS plan_md5 FROM t""")
 def plan_struct(spark, sf_dir):
-    plans = E.plan_struct(E.with_policy_tier(policy_bills(spark, sf_dir)))
+    plans = E.plan_struct(E.with_policy_tier(policy_bills(spark, sf_dir, heavy=True)))
     return plans.select("intake_id", F.col("pos").alias("k"), "tier",
                         F.md5(F.to_json("plan")).alias("plan_md5"))
 
