@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rulegrain.llm import source_mix
+from rulegrain.llm import ngram_jaccard, source_mix, substring_dedup
 from rulegrain.llm.registry import query
 from rulegrain.llm.storage import read_table
 
@@ -47,3 +48,33 @@ def mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return source_mix.mix(docs).selectExpr("doc_id", "source", "mix_block AS block", "mix_slot AS slot",
                                            "mix_chars_before AS chars_before")
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_SUBSTRING_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+win AS (SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS t
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+late AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY t) AS least FROM win)
+  WHERE doc_id > least),
+gone AS (SELECT DISTINCT r, i + j AS p FROM late, (SELECT unnest(range(0, 13)) AS j)),
+word AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+kept AS (SELECT word.r, string_agg(word, ' ' ORDER BY word.p) AS text
+  FROM word LEFT JOIN gone ON gone.r = word.r AND gone.p = word.p WHERE gone.r IS NULL GROUP BY word.r),
+n AS (SELECT r, count(*) AS n_removed FROM gone GROUP BY r)
+SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(coalesce(n_removed, 0) AS bigint) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN kept USING (r)"""
+
+
+@query("op9_substring_dedup", _SUBSTRING_SQL)
+def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op1_ngram_jaccard")
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_jaccard.join(docs, width=4, num=85, den=100)
