@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,8 +107,6 @@ class Tables:
 
     def merge(self, pieces: list[bytes]) -> list[str]:
         """Each piece's tokens in order, as 'id:hex id:hex'."""
-        import numpy as np
-
         lengths = np.array([len(p) for p in pieces])
         token = np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(pieces), np.uint8)]
         begin = np.cumsum(lengths) - lengths
@@ -200,6 +199,11 @@ class _Texts:
             yield " ".join([x[0] for x in found]), b"".join([x[1] for x in found])
 
 
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate(parts) if parts else np.zeros(0, np.int32))
+
+
 def _encoder(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = _Texts(path, pattern)
@@ -210,13 +214,13 @@ def _encoder(path: str, pattern: str, with_ids: bool):
                 id_hashes.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_hashes.append(hashlib.sha256(decoded).hexdigest())
                 if with_ids:
-                    id_lists.append([int(x) for x in ids.split()])
+                    id_lists.append(np.fromstring(ids, np.int32, sep=" "))
             kept = [c for c in chunk.batch.schema.names if c != "bpe_text"]
             columns = [pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()),
                        pa.array(text_hashes, pa.string())]
             names = ["bpe_n", "bpe_ids", "bpe_decoded"]
             if with_ids:
-                columns.append(pa.array(id_lists, pa.list_(pa.int32())))
+                columns.append(_lists(id_lists))
                 names.append("bpe_list")
             yield pa.RecordBatch.from_arrays([chunk.batch.column(c) for c in kept] + columns, names=kept + names)
     return run

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.llm import ngram_jaccard, source_mix, substring_dedup
+from rulegrain.llm import line_dedup, ngram_jaccard, source_mix, substring_dedup
 from rulegrain.llm.registry import query
 from rulegrain.llm.storage import read_table
 
@@ -78,3 +78,35 @@ def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return ngram_jaccard.join(docs, width=4, num=85, den=100)
+
+
+_LINES_SQL = rf"""
+WITH l AS (
+  SELECT doc_id, i, regexp_replace(x, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body, x
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS line,
+             lead(body) OVER (PARTITION BY doc_id ORDER BY i) AS following FROM l WHERE body <> ''),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, line) AS one,
+         row_number() OVER (PARTITION BY body, following ORDER BY doc_id, line) AS two FROM n),
+gone AS (
+  SELECT doc_id, line FROM ranked
+  WHERE one > 1 AND len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) >= {line_dedup.MIN_WORDS}
+  UNION SELECT doc_id, line + k FROM ranked, (SELECT unnest([0, 1]) AS k) WHERE two > 1 AND following IS NOT NULL),
+lost AS (SELECT doc_id, i FROM n JOIN gone USING (doc_id, line)),
+counts AS (SELECT doc_id, count(*) AS n_lines FROM n GROUP BY doc_id),
+dropped AS (SELECT doc_id, count(*) AS n_deleted FROM lost GROUP BY doc_id),
+kept AS (SELECT l.doc_id, string_agg(x, chr(10) ORDER BY l.i) AS text FROM l LEFT JOIN lost USING (doc_id, i)
+  WHERE lost.i IS NULL GROUP BY l.doc_id)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted,
+       sha256(coalesce(kept.text, '')) AS text_sha256
+FROM documents LEFT JOIN counts USING (doc_id) LEFT JOIN dropped USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op3_line_dedup", _LINES_SQL)
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_repeated_lines(docs).select(
+        "doc_id", F.col("line_counts.n_lines").alias("n_lines"), F.col("line_counts.n_deleted").alias("n_deleted"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
