@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.llm import line_dedup, ngram_jaccard, source_mix, substring_dedup
+from rulegrain.llm import chat_repair, line_dedup, ngram_jaccard, source_mix, substring_dedup
 from rulegrain.llm.registry import query
 from rulegrain.llm.storage import read_table
 
@@ -110,3 +110,9 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_repeated_lines(docs).select(
         "doc_id", F.col("line_counts.n_lines").alias("n_lines"), F.col("line_counts.n_deleted").alias("n_deleted"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+@query("op6_chat_format")
+def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return chat_repair.repair(turns).select("conv_id", "turn", "role", "action", "new_role", "inserted", "cost", "rendered")
