@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulegrain.llm import chat_repair, line_dedup, ngram_jaccard, source_mix, substring_dedup
+from rulegrain.llm import chat_repair, line_dedup, ngram_jaccard, source_mix, substring_dedup, toxicity
 from rulegrain.llm.registry import query
 from rulegrain.llm.storage import read_table
 
@@ -116,3 +116,10 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read_table(spark, sf_dir, "conversations")
     return chat_repair.repair(turns).select("conv_id", "turn", "role", "action", "new_role", "inserted", "cost", "rendered")
+
+
+@query("op4_toxicity")
+def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.learn(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, chain)
