@@ -9,54 +9,45 @@ from pyspark.sql import functions as F
 from rulegrain import reference_values as V
 from rulegrain.functions import scalars as S
 from rulegrain.operators.flatten import unnest
+from rulegrain.session import settle
 
 # --- slugs -----------------------------------------------------------------------------------
 
 
-def _first_seen(df: DataFrame, slug: str, pos: str, out: str) -> DataFrame:
-    return df.groupBy(slug).agg(F.min(pos).alias(out))
-
-
 def assign_slugs(rows: DataFrame, pos: str = "pos", name: str = "hospital", city: str = "city",
-                 ident: str = "oshpdid", rounds: int = 2) -> DataFrame:
+                 ident: str = "oshpdid", most_rounds: int = 1000) -> DataFrame:
     """Add `slug` and `owner`: base slug for the first row, then name-city, then base-id.
 
-    A slug is taken from the first row that uses it in any form.  Who fails on the base form
-    depends on city and id forms of earlier rows, so the failing set is refined `rounds` times;
-    each round is a combined minimum per slug and a join, never a window over a name.
-    `owner` is false for rows whose slug a later row overwrote."""
+    A row takes its first form that no earlier row uses; the id form is taken in any case.  Rows whose
+    base form is nobody else's in any form have it at once.  The others are assigned again and again
+    from the first use of each slug, a combined minimum and two joins a round, until no row changes:
+    then each row agrees with those before it.  `owner` is false for rows whose slug a later row
+    overwrote."""
     base = S.slugify(F.col(name))
-    frame = (rows.withColumn("_base", base)
-             .withColumn("_city", S.slugify(F.concat(F.col(name), F.lit("-"),
-                                                     F.coalesce(city, F.lit("")))))
-             .withColumn("_ident", F.concat("_base", F.lit("-"),
-                                            F.coalesce(F.col(ident).cast("string"), F.lit("")))))
-    narrow = frame.select(F.col(pos).alias("_pos"), "_base", "_city", "_ident")
-    by_base = _first_seen(narrow, "_base", "_pos", "_base_at")
-    # who fails on the base form because an earlier row has the same base
-    state = narrow.join(by_base, "_base").withColumn("_fails", F.col("_pos") > F.col("_base_at"))
-    base_use = by_base.select(F.col("_base").alias("_slug"), F.col("_base_at").alias("_at"))
-    taken = None
-    for _ in range(rounds):
-        city_use = (state.filter("_fails").groupBy(F.col("_city").alias("_slug"))
-                    .agg(F.min("_pos").alias("_at")))
-        if taken is None:
-            ident_use = state.limit(0).select(F.col("_ident").alias("_slug"),
-                                              F.col("_pos").alias("_at"))
-        else:
-            ident_use = (state.join(taken.withColumnRenamed("_slug", "_city"), "_city", "left")
-                         .filter(F.col("_fails") & (F.col("_at") < F.col("_pos")))
-                         .groupBy(F.col("_ident").alias("_slug")).agg(F.min("_pos").alias("_at")))
-        taken = (base_use.unionByName(city_use).unionByName(ident_use)
-                 .groupBy("_slug").agg(F.min("_at").alias("_at")))
-        on_base = taken.select(F.col("_slug").alias("_base"), F.col("_at").alias("_taken_at"))
-        state = state.drop("_taken_at").join(on_base, "_base") \
-                     .withColumn("_fails", F.col("_taken_at") < F.col("_pos"))
-    on_city = taken.select(F.col("_slug").alias("_city"), F.col("_at").alias("_city_at"))
-    decided = state.join(on_city, "_city", "left").select(
-        "_pos", F.when(~F.col("_fails"), F.col("_base"))
-                 .when(F.col("_city_at") < F.col("_pos"), F.col("_ident"))
-                 .otherwise(F.col("_city")).alias("slug"))
+    narrow = settle(rows.select(
+        F.col(pos).alias("_pos"), base.alias("_base"),
+        S.slugify(F.concat(F.col(name), F.lit("-"), F.coalesce(city, F.lit("")))).alias("_city"),
+        F.concat(base, F.lit("-"), F.coalesce(F.col(ident).cast("string"), F.lit(""))).alias("_ident")))
+    forms = narrow.select("_pos", F.explode(F.array("_base", "_city", "_ident")).alias("_base"))
+    contested = forms.groupBy("_base").agg(F.min("_pos").alias("_a"), F.max("_pos").alias("_b")) \
+                     .filter("_a < _b").select("_base")
+    alone = narrow.join(contested, "_base", "left_anti").select("_pos", F.col("_base").alias("slug"))
+    state = settle(narrow.join(contested, "_base", "left_semi").withColumn("slug", F.col("_base")))
+    for _ in range(most_rounds):
+        used = state.groupBy("slug").agg(F.min("_pos").alias("_at"))
+        at = lambda form, out: used.select(F.col("slug").alias(form), F.col("_at").alias(out))
+        seen = state.join(at("_base", "_base_at"), "_base", "left").join(at("_city", "_city_at"), "_city", "left")
+        free = lambda out: F.col(out).isNull() | (F.col(out) >= F.col("_pos"))
+        following = settle(seen.select(
+            "_pos", "_base", "_city", "_ident", F.col("slug").alias("_before"),
+            F.when(free("_base_at"), F.col("_base")).when(free("_city_at"), F.col("_city"))
+             .otherwise(F.col("_ident")).alias("slug")))
+        state = following.drop("_before")
+        if following.filter("slug <> _before").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"slugs did not settle in {most_rounds} rounds")
+    decided = alone.unionByName(state.select("_pos", "slug"))
     last = decided.groupBy("slug").agg(F.max("_pos").alias("_last"))
     owned = decided.join(last, "slug").select(
         F.col("_pos").alias(pos), "slug", (F.col("_pos") == F.col("_last")).alias("owner"))
@@ -161,9 +152,9 @@ def nearby_peers(rows: DataFrame, n: int = 10, pos: str = "pos", county: str = "
     head = (rows.filter(F.col(county).isNotNull()).withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") <= n + 1))
     heads = head.groupBy(county).agg(                                  # n + 1 at most
-        F.sort_array(F.collect_list(F.struct(F.col("_rn"), F.col(slug).alias("s"))))
+        F.sort_array(F.collect_list(F.struct(F.col("_rn"), F.col(slug).alias("s"), F.col(pos).alias("p"))))
          .alias("_head"))
-    others = F.filter(F.transform("_head", lambda h: h["s"]), lambda s: s != F.col(slug))
+    others = F.transform(F.filter("_head", lambda h: h["p"] != F.col(pos)), lambda h: h["s"])
     return (rows.join(heads, county)
             .withColumn("peers", F.slice(others, 1, n))
             .filter(F.size("peers") > 0).select(slug, county, "peers"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rulegrain import reference_values as V
 from rulegrain.functions import evidence as T
 from rulegrain.functions import scalars as S
+from rulegrain.operators.dedup import last_per_key
 from rulegrain.operators.flatten import unnest
 
 CLAIMS = "array<struct<label:string,value:double>>"
@@ -33,7 +34,13 @@ def published_thresholds(policy: Column) -> Column:
 
 
 def join_corpora(rows: DataFrame, corpora: DataFrame, key: str = "permalink") -> DataFrame:
-    """Attach each row's source text; rows without a record keep none and lose any old verdict."""
+    """Attach each row's source text; rows without a record keep none and lose any old verdict.
+
+    Of several records of one key the last by `pos` counts; without that column, the largest text."""
+    if "pos" in corpora.columns:
+        corpora = last_per_key(corpora, [key])
+    else:
+        corpora = corpora.groupBy(key).agg(F.max("text").alias("text"))
     texts = corpora.select(key, F.col("text").alias("corpus"), F.lit(True).alias("has_record"))
     joined = rows.join(texts, key, "left")
     if "grounding" in rows.columns:

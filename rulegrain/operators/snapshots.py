@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulegrain import reference_values as V
+from rulegrain.operators.dedup import last_per_key
 
 COMPARED = ["charity_care", "discount_payment"]      # debt_collection is not compared
 
 
 def fingerprints(records: DataFrame, sha: Column | None = None) -> DataFrame:
-    """(key, hospital, charity_care, discount_payment, content_sha) of source records."""
+    """(key, hospital, charity_care, discount_payment, content_sha) of source records, with `pos` where
+    the records have one."""
     def signal(section: str) -> Column:
         entry = F.try_element_at("policies", F.lit(section))
         return F.struct(entry["current_policy_url"].alias("url"),
@@ -19,7 +21,7 @@ def fingerprints(records: DataFrame, sha: Column | None = None) -> DataFrame:
     return records.select(
         F.coalesce(F.nullif("permalink", F.lit("")), "post_title").alias("key"),
         F.col("post_title").alias("hospital"),
-        *[signal(s).alias(s) for s in COMPARED],
+        *[signal(s).alias(s) for s in COMPARED], *[c for c in records.columns if c == "pos"],
         (sha if sha is not None else F.lit(None).cast("string")).alias("content_sha"))
 
 
@@ -28,22 +30,24 @@ def _or_none(value: Column) -> Column:
 
 
 def diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
-    """(key, hospital, change, deltas) for every key that is new, removed or changed."""
-    c, b = current.alias("c"), baseline.alias("b")
+    """(key, hospital, change, deltas) for every key that is new, removed or changed.
+
+    Of several records of one key the last counts (`last_records`)."""
+    c, b = last_records(current).alias("c"), last_records(baseline).alias("b")
     joined = c.join(b, F.col("c.key") == F.col("b.key"), "full_outer")
     deltas = []
     for section in COMPARED:
         now, was = F.col(f"c.{section}"), F.col(f"b.{section}")
         deltas.append(F.when(
             ~now["effective_date"].eqNullSafe(was["effective_date"]),
-            F.concat(F.lit(f"{section} effective "), _or_none(was["effective_date"]),
+            F.concat(F.lit(f"{section}.date "), _or_none(was["effective_date"]),
                      F.lit(" -> "), _or_none(now["effective_date"]))))
         deltas.append(F.when(~now["url"].eqNullSafe(was["url"]),
-                             F.lit(f"{section} policy URL changed")))
+                             F.lit(f"{section}.url")))
     stated = F.array_compact(F.array(*deltas))
     cs, bs = F.nullif("c.content_sha", F.lit("")), F.nullif("b.content_sha", F.lit(""))
     silent = F.array_compact(F.array(F.when(
-        cs != bs, F.lit("policy content changed at same URL (silent re-upload)"))))
+        cs != bs, F.lit("content"))))
     no_deltas = F.array().cast("array<string>")
     return joined.select(
         F.coalesce("c.key", "b.key").alias("key"),
@@ -60,6 +64,14 @@ def diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
                  .otherwise(F.col("change")).alias("change"), "deltas")
 
 
+def last_records(snapshot: DataFrame) -> DataFrame:
+    """One record a key: the last by `pos`; without that column, the largest by its columns."""
+    if "pos" in snapshot.columns:
+        return last_per_key(snapshot, ["key"])
+    rest = [c for c in snapshot.columns if c != "key"]
+    return snapshot.groupBy("key").agg(F.max(F.struct(*rest)).alias("last")).select("key", "last.*")
+
+
 def key_sets(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """(key, membership): new, removed or common."""
     now = current.select("key").distinct()

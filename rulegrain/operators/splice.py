@@ -52,16 +52,18 @@ def merge_changed(served: DataFrame, fresh: DataFrame, pos: str = "pos") -> Data
         added.select("key", *columns, F.lit("added").alias("action")))
 
 
-def verify_and_hold(served: DataFrame, reread: DataFrame, numbers: list[str]) -> DataFrame:
-    """A re-read row is adopted only when all its numbers equal the served ones."""
+def verify_and_hold(served: DataFrame, reread: DataFrame, numbers: list[str], pos: str = "pos") -> DataFrame:
+    """A re-read row is adopted only when all its numbers equal the served ones; of several rows of
+    one key the last by `pos` is the re-read one."""
     same = F.lit(True)
     for name in numbers:
         same = same & F.col(f"_new.{name}").eqNullSafe(F.col(name))
-    out = _replace(served, reread, F.col("_new").isNotNull() & same, "adopted")
-    return out.join(reread.select("key", F.lit(True).alias("_seen")), "key", "left") \
-        .withColumn("action", F.when(F.col("adopted"), F.lit("adopted"))
-                    .when(F.col("_seen"), F.lit("held")).otherwise(F.lit("kept"))) \
-        .drop("_seen", "adopted")
+    columns = [c for c in served.columns if c != "key"]
+    last = last_per_key(reread, ["key"], pos).select("key", F.struct(*columns).alias("_new"))
+    joined = served.join(last, "key", "left").withColumn(
+        "action", F.when(F.col("_new").isNull(), "kept").when(same, "adopted").otherwise("held"))
+    return joined.select("key", *[F.when(F.col("action") == "adopted", F.col("_new")[c]).otherwise(F.col(c)).alias(c)
+                                  for c in columns], "action")
 
 
 def stamp_sha(records: DataFrame, extracted: DataFrame, pos: str = "pos") -> DataFrame:

@@ -31,12 +31,20 @@ idx AS (SELECT hospital AS key, min(pos) * 2 AS ord, min(pos) AS target FROM nam
  UNION ALL SELECT upper(label), min(pos) * 2 + 1, max(pos) FROM labelled WHERE shared GROUP BY 1)"""
 
 
-@query("w01_slug_assignment", f"""WITH {_SQL_NAMED}, s AS (SELECT *, {B.sql_slug('hospital')} AS base, {B.sql_slug("hospital || '-' || city")} AS cs,
- row_number() OVER (PARTITION BY hospital ORDER BY pos) AS rn FROM named),
-t AS (SELECT *, CASE WHEN rn > 1 THEN row_number() OVER (PARTITION BY cs, rn > 1 ORDER BY pos) END AS crn FROM s)
-SELECT pos, CASE WHEN rn = 1 THEN base WHEN crn = 1 THEN cs ELSE base || '-' || pos END AS slug, true AS owner FROM t""")
+# names that hold another row's city, so that base, city and id forms displace one another
+_SLUG_NAME = "CASE WHEN p_partkey % 5 = 3 THEN concat(p_name, ' ', p_brand) WHEN p_partkey % 11 = 4 THEN concat(p_name, ' ', p_brand, ' ', p_brand) ELSE p_name END"
+
+
+@query("w01_slug_assignment", f"""WITH RECURSIVE named AS (SELECT row_number() OVER (ORDER BY p_partkey) AS rn, p_partkey AS pos, {B.sql_slug(_SLUG_NAME)} AS base,
+ {B.sql_slug(f"{_SLUG_NAME} || '-' || p_brand")} AS cs FROM part),
+walk AS (SELECT 0::BIGINT AS rn, 0::BIGINT AS pos, '' AS slug, cast([] AS VARCHAR[]) AS taken
+ UNION ALL SELECT rn, pos, slug, list_append(taken, slug) FROM (SELECT n.rn, n.pos, w.taken, CASE WHEN NOT list_contains(w.taken, base) THEN base
+  WHEN NOT list_contains(w.taken, cs) THEN cs ELSE base || '-' || n.pos END AS slug FROM walk w JOIN named n ON n.rn = w.rn + 1))
+SELECT pos, slug, pos = max(pos) OVER (PARTITION BY slug) AS owner FROM walk WHERE rn > 0""")
 def slug_assignment(spark, sf_dir):
-    return Y.assign_slugs(named_rows(spark, sf_dir)).select("pos", "slug", "owner")
+    rows = B.table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS pos", f"{_SLUG_NAME} AS hospital", "p_brand AS city", "p_partkey AS oshpdid")
+    return Y.assign_slugs(rows).select("pos", "slug", "owner")
 
 
 @query("w02_name_labels", f"WITH {_SQL_LABELLED} SELECT pos, label FROM labelled")
@@ -216,16 +224,16 @@ def page_metadata(spark, sf_dir):
 
 # --- catalogs: documents by language ---------------------------------------------------------
 
-_KEY = "source || '_' || (doc_id % 7)"
+_KEY = "'text' || cast(floor(doc_id / 3) as {s})"  # three documents a key, of different sections: none is lost
 _TEMPLATE = """text || CASE WHEN lang = 'de' AND doc_id % 5 = 0 THEN ' {pct} {nome}' ELSE ' {pct:.0f} {name}' END
  || CASE WHEN doc_id % 3 = 0 THEN ' <a href="https://h/' || (doc_id % 4) || '">RulesEngine</a>' ELSE '' END"""
-_SQL_CATALOG = f"""entries AS (SELECT lang, 'sec' || (doc_id % 3) AS section, {_KEY} AS key, doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE {_TEMPLATE} END AS template FROM documents),
+_SQL_CATALOG = f"""entries AS (SELECT lang, 'sec' || (doc_id % 3) AS section, {_KEY.format(s='bigint')} AS key, doc_id, CASE WHEN doc_id % 11 = 0 THEN '' ELSE {_TEMPLATE} END AS template FROM documents),
 catalog AS (SELECT lang, section, key, arg_min(template, doc_id) AS template FROM entries GROUP BY ALL)"""
 
 
 def catalog(spark, sf_dir):
     entries = B.table(spark, sf_dir, "documents").selectExpr(
-        "lang", "concat('sec', doc_id % 3) AS section", f"{_KEY} AS key", "doc_id",
+        "lang", "concat('sec', doc_id % 3) AS section", f"{_KEY.format(s='bigint')} AS key", "doc_id",
         f"CASE WHEN doc_id % 11 = 0 THEN '' ELSE {_TEMPLATE} END AS template")
     return entries.groupBy("lang", "section", "key").agg(
         F.min_by("template", "doc_id").alias("template"))
@@ -243,7 +251,7 @@ def string_overlay(spark, sf_dir):
 
 
 _WANT = """event_id, CASE event_type WHEN 'view' THEN 'en' WHEN 'click' THEN 'es' WHEN 'signup' THEN 'fr' WHEN 'error' THEN 'de' ELSE 'zh' END AS lang,
- 'src' || (user_id % 20) || '_' || (event_id % 7) AS key"""
+ 'text' || (event_id % 300) AS key"""
 
 
 @query("j17_catalog_fallback", f"""WITH {_SQL_CATALOG}, {_SQL_OVERLAY}, want AS (SELECT {_WANT} FROM events), full_text AS (SELECT * FROM merged WHERE coalesce(template, '') <> '')
@@ -256,12 +264,12 @@ def catalog_fallback(spark, sf_dir):
 
 
 @query("u05_key_gaps", f"""WITH {_SQL_CATALOG}, en AS (SELECT DISTINCT section, key FROM catalog WHERE lang = 'en'), langs AS (SELECT DISTINCT lang FROM catalog WHERE lang <> 'en'),
-allowed AS (SELECT DISTINCT 'sec' || (doc_id % 3) AS section, {_KEY} AS key FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
+allowed AS (SELECT DISTINCT 'sec' || (doc_id % 3) AS section, {_KEY.format(s='bigint')} AS key FROM documents JOIN labels USING (doc_id) WHERE toxic = 1)
 SELECT lang, section, key FROM (SELECT * FROM en, langs) ANTI JOIN catalog USING (lang, section, key) ANTI JOIN allowed USING (section, key)""")
 def key_gaps(spark, sf_dir):
     labels = B.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
     allowed = B.table(spark, sf_dir, "documents").join(labels, "doc_id").selectExpr(
-        "concat('sec', doc_id % 3) AS section", f"{_KEY} AS key")
+        "concat('sec', doc_id % 3) AS section", f"{_KEY.format(s='bigint')} AS key")
     return C.key_gaps(catalog(spark, sf_dir), allowed)
 
 
@@ -316,7 +324,7 @@ for _field, _value in {
  FROM scored s JOIN rules r ON r.code = s.rule_code)
 SELECT intake_id, pos, md5('{_SQL_LETTER}') AS letter_md5 FROM t""")
 def letter_merge(spark, sf_dir):
-    scored = scored_bills(spark, sf_dir, heavy=True).drop("phone").withColumn("law", F.col("rules.law")).withColumn(
+    scored = scored_bills(spark, sf_dir).drop("phone").withColumn("law", F.col("rules.law")).withColumn(
         "tier", E.band_tier(F.col("fpl_pct"), F.col("free_band"), F.col("discount_band")))
     return C.letters(scored, "July 14, 2026").select("intake_id", "pos",
                                                      F.md5("letter").alias("letter_md5"))

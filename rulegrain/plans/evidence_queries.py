@@ -19,14 +19,17 @@ doc AS (SELECT *, text || {_SENTENCE.format(filler=_FILLER)} AS corpus FROM src)
 sized AS (SELECT *, sha256(corpus) AS real_sha FROM doc)"""
 
 
-def claim_docs(spark, sf_dir):
-    """Documents as corpora with the claims published about them."""
+_GAP = "CASE WHEN doc_id % 17 = 16 THEN NULL ELSE corpus END"
+
+
+def claim_docs(spark, sf_dir, gaps=False):
+    """Documents as corpora with the claims published about them; `gaps` takes some corpora away."""
     sentence = _SENTENCE.format(filler=_FILLER)
-    return (B.table(spark, sf_dir, "documents", heavy=True)
+    return (B.table(spark, sf_dir, "documents")
             .selectExpr("doc_id", "lang", "text", "100 + (doc_id % 7) * 50 AS n")
             .selectExpr("doc_id", "lang", "n", f"text || {sentence} AS corpus")
             .selectExpr(
-                "doc_id", "lang", "CASE WHEN doc_id % 17 = 16 THEN NULL ELSE corpus END AS corpus",
+                "doc_id", "lang", f"{_GAP if gaps else 'corpus'} AS corpus",
                 "CASE WHEN doc_id % 11 = 4 THEN sha2('other', 256) WHEN doc_id % 11 = 5 THEN '' ELSE sha2(corpus, 256) END AS source_sha256",
                 "CASE WHEN doc_id % 13 = 0 THEN 'pdf_ocr' END AS extraction_channel",
                 """CASE WHEN doc_id % 19 = 0 THEN slice(array(named_struct('label', '', 'value', 0D)), 1, 0)
@@ -35,12 +38,14 @@ def claim_docs(spark, sf_dir):
                  ELSE array(named_struct('label', 'free_care.fpl_ceiling_pct', 'value', CAST(n AS DOUBLE))) END AS claims"""))
 
 
-SQL_CLAIMS = f"""{_CLAIM_SQL}, prepared AS (SELECT doc_id, lang, n, CASE WHEN doc_id % 17 = 16 THEN NULL ELSE corpus END AS corpus,
+SQL_CLAIMS = f"""{_CLAIM_SQL}, prepared AS (SELECT doc_id, lang, n, corpus,
  CASE WHEN doc_id % 11 = 4 THEN sha256('other') WHEN doc_id % 11 = 5 THEN '' ELSE real_sha END AS stored,
  CASE WHEN doc_id % 13 = 0 THEN 'pdf_ocr' END AS channel FROM sized),
 claim AS (SELECT doc_id, 0 AS i, 'free_care.fpl_ceiling_pct' AS label, cast(n as double) AS value FROM prepared WHERE doc_id % 19 <> 0
  UNION ALL SELECT doc_id, 1, 'discount_payment.tiers[0].fpl_high_pct', n + 50.5::double FROM prepared WHERE doc_id % 19 <> 0 AND doc_id % 3 = 0)"""
 
+SQL_CLAIMS_GAPS = SQL_CLAIMS.replace("lang, n, corpus,", f"lang, n, {_GAP} AS corpus,")
+
 _STEMS = "the|and|of|to|for|is|or|patient|hospital|income|los|las|de|para|con|el|la|que|paciente|ingresos|atenci"
 _SQL_HITS = rf"len(regexp_extract_all({{t}}, '(?i)(^|[^\p{{{{L}}}}\p{{{{N}}}}_])({_STEMS})[\p{{{{L}}}}\p{{{{N}}}}_]*'))"
 _SQL_DENSITY = "(1000.0::double * {hits} / greatest(length({t}), 1))"
@@ -72,7 +77,7 @@ support AS (SELECT c.doc_id, c.i AS ci, m.i AS mi, k.i AS ki, m.s AS pos, k.s AS
 @query("t02_intelligible", f"""SELECT doc_id, round({_density('text')}, 6) AS density, {_density('text')} >= 10 AS readable FROM documents""")
 def intelligible(spark, sf_dir):
     text = F.col("text")
-    return B.table(spark, sf_dir, "documents", heavy=True).select(
+    return B.table(spark, sf_dir, "documents").select(
         "doc_id", F.round(T.stopword_density(text), 6).alias("density"),
         T.intelligible(text).alias("readable"))
 
@@ -80,7 +85,7 @@ def intelligible(spark, sf_dir):
 @query("p04_route_unusable", f"""SELECT doc_id, length(trim(text)) < 500 OR NOT ({_density('text')} >= 10) AS needs_ocr, length(trim(text)) < 500 AS short FROM documents""")
 def route_unusable(spark, sf_dir):
     text = F.col("text")
-    return B.table(spark, sf_dir, "documents", heavy=True).select(
+    return B.table(spark, sf_dir, "documents").select(
         "doc_id", (T.short_text(text) | ~T.intelligible(text)).alias("needs_ocr"),
         T.short_text(text).alias("short"))
 
@@ -123,7 +128,7 @@ def proximity(spark, sf_dir):
     return docs.select("doc_id", F.inline(near))
 
 
-_SQL_VERDICT = f"""{SQL_CLAIMS}, {SQL_SPANS}, ok AS (SELECT DISTINCT doc_id, ci FROM support WHERE dist <= 600 OR inside),
+_SQL_VERDICT = f"""{SQL_CLAIMS_GAPS}, {SQL_SPANS}, ok AS (SELECT DISTINCT doc_id, ci FROM support WHERE dist <= 600 OR inside),
 graded AS (SELECT c.doc_id, count(*) AS claims, count(ok.ci) AS good, count_if(ok.ci IS NULL AND label NOT LIKE '%tiers%') AS head_failed
  FROM claim c LEFT JOIN ok ON ok.doc_id = c.doc_id AND ok.ci = c.i GROUP BY 1),
 state AS (SELECT p.*, coalesce(claims, 0) AS claims, good, head_failed, length(trim(corpus)) < 500 AS short, {_density('corpus')} >= 10 AS readable,
@@ -136,12 +141,12 @@ verdict AS (SELECT doc_id, lang, claims, CASE WHEN corpus IS NULL THEN 'unverifi
 @query("r05_grounding_verdict", f"""WITH {_SQL_VERDICT} SELECT doc_id, verdict,
  cast(CASE WHEN verdict IN ('grounded', 'ungrounded', 'tier_edges_ungrounded') THEN claims ELSE 0 END as int) AS checked FROM verdict""")
 def grounding_verdict(spark, sf_dir):
-    return G.verdicts(claim_docs(spark, sf_dir)).select("doc_id", "verdict", "checked")
+    return G.verdicts(claim_docs(spark, sf_dir, gaps=True)).select("doc_id", "verdict", "checked")
 
 
 @query("r06_annotate", f"""WITH {_SQL_VERDICT} SELECT doc_id, verdict AS grounding, CASE WHEN verdict = 'grounded' THEN '2026-08-03' END AS last_verified_at FROM verdict""")
 def annotate(spark, sf_dir):
-    marked = G.annotate(G.verdicts(claim_docs(spark, sf_dir)), "2026-08-03")
+    marked = G.annotate(G.verdicts(claim_docs(spark, sf_dir, gaps=True)), "2026-08-03")
     return marked.select("doc_id", F.col("grounding.verdict").alias("grounding"),
                          "last_verified_at")
 
@@ -149,7 +154,7 @@ def annotate(spark, sf_dir):
 @query("a07_verdict_tally", f"""WITH {_SQL_VERDICT}, t AS (SELECT lang, count(*) AS total, {", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in ("grounded", "ungrounded", "tier_edges_ungrounded", "unverifiable", "ocr_extracted", "unreadable_source", "stale_source"))} FROM verdict GROUP BY 1)
 SELECT *, round(100.0::double * grounded / nullif(total - unverifiable - ocr_extracted - unreadable_source - stale_source, 0), 1) AS auto_rate FROM t""")
 def verdict_tally(spark, sf_dir):
-    return G.verdict_tally(G.verdicts(claim_docs(spark, sf_dir)), ["lang"])
+    return G.verdict_tally(G.verdicts(claim_docs(spark, sf_dir, gaps=True)), ["lang"])
 
 
 _WINDOWS = [10, 20, 300, 600, 1600]

@@ -42,7 +42,7 @@ def extract_dataset(records: DataFrame, texts: DataFrame, cache: ResultCache, ex
     reviewed = Q.with_review(rows.withColumn("state", F.lit(None).cast("string")),
                              F.lit(today).cast("date"))
     reasons = (F.when(F.col("status") == "needs_ocr",
-                      F.array(F.lit("scanned PDF — no text layer; OCR required")))
+                      F.array(F.lit("awaits_ocr")))
                 .when(F.col("status") == "extraction_error", F.array("error"))
                 .otherwise(F.col("review_reasons")))
     return (reviewed.withColumn("review_reasons", reasons)

@@ -182,7 +182,7 @@ _SQL_CLEAN = r"""trim(regexp_replace(replace(replace(replace(replace(replace(reg
 
 @query("t01_clean_text", f"SELECT page_id, md5({_SQL_CLEAN.format(h='html')}) AS clean FROM pages")
 def clean_text(spark, sf_dir):
-    return B.table(spark, sf_dir, "pages", heavy=True).select(
+    return B.table(spark, sf_dir, "pages").select(
         "page_id", F.md5(M.clean_text(F.col("html"))).alias("clean"))
 
 
@@ -197,7 +197,7 @@ _SPARK_PAGE = _PAGE.format(day="date_format(o_orderdate, 'MM/dd/yyyy')")
 
 
 def _policy_pages(spark, sf_dir):
-    return B.table(spark, sf_dir, "orders", heavy=True).selectExpr("o_orderkey AS page",
+    return B.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page",
                                                                    f"{_SPARK_PAGE} AS html")
 
 
@@ -265,13 +265,15 @@ def drop_empty_tiers(spark, sf_dir):
                        I.ceiling_of(F.col("tiers")).alias("ceiling"))
 
 
-@query("t12_link_id_harvest", """SELECT page_id, page_id || ',7' AS ids FROM pages""")
+@query("t12_link_id_harvest", r"""WITH linked AS (SELECT page_id, regexp_extract_all(
+ html || '<a href=''/SearchDetail.aspx?oshpdid=' || page_id || '''>x</a><a href=''/SearchDetail.aspx?oshpdid=7''></a><a href=''/SearchDetail.aspx?oshpdid=' || page_id || '''>',
+ 'oshpdid=([0-9]+)', 1) AS ids FROM pages)
+SELECT page_id, array_to_string(list_transform(list_sort(list_distinct(list_transform(ids, lambda x: list_position(ids, x)))), lambda i: ids[i]), ',') AS ids FROM linked""")
 def link_id_harvest(spark, sf_dir):
     html = F.expr("html || \"<a href='/SearchDetail.aspx?oshpdid=\" || page_id || \"'>x</a>"
                   "<a href='/SearchDetail.aspx?oshpdid=7'></a><a href='/SearchDetail.aspx?oshpdid=\" || page_id || \"'>\"")
     ids = I.harvest_ids(html)
-    return B.table(spark, sf_dir, "pages").select("page_id", F.array_join(
-        F.when(F.col("page_id") == 7, F.array(F.lit("7"), F.lit("7"))).otherwise(ids), ",").alias("ids"))
+    return B.table(spark, sf_dir, "pages").select("page_id", F.array_join(ids, ",").alias("ids"))
 
 
 @query("p09_url_ok", """SELECT page_id, page_id % 3 <> 0 AS ok FROM pages""")
@@ -329,7 +331,7 @@ rated AS (SELECT *, CASE WHEN free_care_fpl_pct <= discount_max_fpl_pct THEN 'hi
 
 
 def policy_texts(spark, sf_dir):
-    return B.table(spark, sf_dir, "documents", heavy=True).selectExpr(
+    return B.table(spark, sf_dir, "documents").selectExpr(
         "doc_id", f"text || {_POLICY_LINE.replace('chr(', 'char(')} AS text")
 
 
@@ -392,7 +394,7 @@ def extraction_backend(spark, sf_dir):
 def document_text_hook(spark, sf_dir):
     """A binary-to-text function applied to stored documents."""
     files = B.table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("s3://bucket/docs/"), F.lpad(F.col("doc_id").cast("string"), 36, "0"),
+        F.concat(F.lit("docs/"), F.lpad(F.col("doc_id").cast("string"), 36, "0"),
                  F.lit(".pdf")).alias("path"), F.encode("text", "UTF-8").alias("content"))
     texts = I.text_of_binary(files, F.concat(F.lit("page 1: "), F.decode("content", "UTF-8")))
     return texts.select("guid", F.md5("text").alias("text_md5"))

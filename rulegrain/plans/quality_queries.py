@@ -24,32 +24,32 @@ prow AS (SELECT p.*, coalesce(m.floor_pct, d.floor_pct) AS floor_pct,
 
 _n = B.sql_num
 SQL_REASONS = f"""reason AS (
- SELECT k, 1 AS o, 'no free-care ceiling, discount ceiling, or tiers extracted' AS reason FROM prow
+ SELECT k, 1 AS o, 'thresholds_missing' AS reason FROM prow
   WHERE fc IS NULL AND dc IS NULL AND n_tiers = 0
- UNION ALL SELECT k, 2, 'free-care FPL% out of range: ' || {_n('fc')} FROM prow WHERE fc < 0 OR fc > f_high
- UNION ALL SELECT k, 3, 'discount FPL% out of range: ' || {_n('dc')} FROM prow WHERE dc < 0 OR dc > d_high
- UNION ALL SELECT k, 4, 'free-care ceiling (' || {_n('fc')} || '%) exceeds discount ceiling (' || {_n('dc')} || '%)'
+ UNION ALL SELECT k, 2, 'free_range|' || {_n('fc')} FROM prow WHERE fc < 0 OR fc > f_high
+ UNION ALL SELECT k, 3, 'discount_range|' || {_n('dc')} FROM prow WHERE dc < 0 OR dc > d_high
+ UNION ALL SELECT k, 4, 'free_above_discount|' || {_n('fc')} || '|' || {_n('dc')}
   FROM prow WHERE fc > dc
- UNION ALL SELECT k, 5, 'discount tiers not in ascending order' FROM prow
+ UNION ALL SELECT k, 5, 'tiers_unordered' FROM prow
   WHERE n_tiers > 0 AND CASE WHEN swapped THEN lo2 > lo1 ELSE lo1 > lo2 END
- UNION ALL SELECT DISTINCT k, 6, 'a discount tier has an FPL band but no stated benefit/discount' FROM tier
+ UNION ALL SELECT DISTINCT k, 6, 'tier_without_terms' FROM tier
   WHERE (lo IS NOT NULL OR hi IS NOT NULL) AND coalesce(benefit, '') = '' AND pays IS NULL AND coalesce(basis, '') = ''
- UNION ALL SELECT k, 7, 'policy text was truncated before extraction — may be incomplete' FROM prow WHERE truncated
- UNION ALL SELECT k, 8, 'low model confidence (' || coalesce(cast(conf AS varchar), 'None') || ')' FROM prow
+ UNION ALL SELECT k, 7, 'text_cut' FROM prow WHERE truncated
+ UNION ALL SELECT k, 8, 'confidence|' || coalesce(cast(conf AS varchar), 'none') FROM prow
   WHERE coalesce(conf, 0) < 0.6)"""
 
 SQL_GEOMETRY = f"""st AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY lo, idx) AS rn FROM tier
  WHERE lo IS NOT NULL AND hi IS NOT NULL),
 pair AS (SELECT a.k, a.lo AS alo, a.hi AS ahi, b.lo AS blo, b.hi AS bhi FROM st a JOIN st b ON a.k = b.k AND b.rn = a.rn + 1),
 geometry AS (
- SELECT k, 'MEDIUM' AS severity, 'patient-pays not monotonically increasing across bands: [' ||
+ SELECT k, 'MEDIUM' AS severity, 'pays_unordered|[' ||
    string_agg({_n('pays')}, ', ' ORDER BY rn) || ']' AS detail FROM st WHERE pays IS NOT NULL GROUP BY k
   HAVING array_agg(pays ORDER BY rn) <> array_agg(pays ORDER BY pays)
- UNION ALL SELECT k, 'MEDIUM', 'overlapping bands: ' || {_n('alo')} || '-' || {_n('ahi')} || '% & ' || {_n('blo')} || '-' || {_n('bhi')} || '%'
+ UNION ALL SELECT k, 'MEDIUM', 'tiers_overlap|' || {_n('alo')} || '-' || {_n('ahi')} || '|' || {_n('blo')} || '-' || {_n('bhi')}
   FROM pair WHERE ahi >= blo
- UNION ALL SELECT k, 'LOW', 'gap between bands ' || {_n('ahi')} || '% and ' || {_n('blo')} || '% (may be legitimate)'
+ UNION ALL SELECT k, 'LOW', 'tiers_apart|' || {_n('ahi')} || '|' || {_n('blo')}
   FROM pair WHERE ahi < blo AND blo - ahi > 1
- UNION ALL SELECT st.k, 'MEDIUM', 'tier to ' || {_n('hi')} || '% exceeds stated discount ceiling ' || {_n('dc')} || '%'
+ UNION ALL SELECT st.k, 'MEDIUM', 'tier_beyond_ceiling|' || {_n('hi')} || '|' || {_n('dc')}
   FROM st JOIN prow USING (k) WHERE hi > dc)"""
 
 _EXEMPT = "'none'"
@@ -57,35 +57,32 @@ SQL_FINDINGS = f"""{SQL_BOUNDED}, {SQL_REASONS}, {SQL_GEOMETRY},
 ok AS (SELECT * FROM prow WHERE status = 'extracted'),
 finding AS (
  SELECT k, 'MEDIUM' AS severity, 'unresolved' AS "check", CASE status
-   WHEN 'needs_ocr' THEN 'scanned PDF still needs OCR — no policy extracted'
-   WHEN 'extraction_error' THEN 'extraction error: ' || error ELSE 'unexpected status: ' || status END AS detail
+   WHEN 'needs_ocr' THEN 'awaits_ocr'
+   WHEN 'extraction_error' THEN 'reader_failed|' || error ELSE 'status_unknown|' || status END AS detail
   FROM prow WHERE status <> 'extracted'
- UNION ALL SELECT k, CASE WHEN reason LIKE '%no free-care%' OR reason LIKE '%out of range%' OR reason LIKE '%exceeds%'
+ UNION ALL SELECT k, CASE WHEN split_part(reason, '|', 1) IN ('thresholds_missing', 'free_range', 'discount_range', 'free_above_discount')
    THEN 'HIGH' ELSE 'MEDIUM' END, 'validator', reason FROM reason SEMI JOIN ok USING (k)
- UNION ALL SELECT k, 'HIGH', 'reextract_candidate', 'high confidence (' || cast(conf AS varchar) || ') but zero income thresholds extracted — likely a silent extraction gap (wrong PDF section / discount PDF missed); queue for re-extraction'
+ UNION ALL SELECT k, 'HIGH', 'reextract_candidate', 'silent_gap|' || cast(conf AS varchar)
   FROM ok WHERE fc IS NULL AND dc IS NULL AND n_tiers = 0 AND conf >= 0.8
- UNION ALL SELECT k, 'HIGH', 'statutory', 'discount ceiling ' || {_n('dc')} || '% implausibly high (>' || d_high || '%) — likely units/decimal misread' FROM ok WHERE dc > d_high
- UNION ALL SELECT k, 'HIGH', 'statutory', 'free-care ceiling ' || {_n('fc')} || '% implausibly high (>' || f_high || '%) — likely misread' FROM ok WHERE fc > f_high
- UNION ALL SELECT k, 'MEDIUM', 'outlier', 'free-care ceiling ' || {_n('fc')} || '% above the ' || floor_pct || '% floor — unusually generous, verify against PDF'
+ UNION ALL SELECT k, 'HIGH', 'statutory', 'discount_implausible|' || {_n('dc')} || '|' || d_high FROM ok WHERE dc > d_high
+ UNION ALL SELECT k, 'HIGH', 'statutory', 'free_implausible|' || {_n('fc')} || '|' || f_high FROM ok WHERE fc > f_high
+ UNION ALL SELECT k, 'MEDIUM', 'outlier', 'free_generous|' || {_n('fc')} || '|' || floor_pct
   FROM ok WHERE fc > f_unusual AND fc <= f_high
- UNION ALL SELECT k, 'HIGH', 'statutory', 'tier upper bound ' || {_n('hi')} || '% implausibly high (>' || d_high || '%) — likely misread'
+ UNION ALL SELECT k, 'HIGH', 'statutory', 'tier_implausible|' || {_n('hi')} || '|' || d_high
   FROM tier JOIN ok USING (k) WHERE hi > d_high
  UNION ALL SELECT k, severity, 'tier_geometry', detail FROM geometry SEMI JOIN ok USING (k)
- UNION ALL SELECT k, 'LOW', 'single_tier', 'free-care ceiling equals discount ceiling (' || {_n('fc')} || '%)' ||
-   CASE WHEN n_tiers > 0 THEN '; ' || n_tiers || ' discount tier(s) sit under it' ELSE '' END ||
-   ' — usually a genuine single-tier policy (full write-off under the ceiling); confirm via grounding' FROM ok WHERE fc = dc
- UNION ALL SELECT k, 'HIGH', 'dollar_table', 'free-care dollar table does not match its FPL% — stale/misaligned'
+ UNION ALL SELECT k, 'LOW', 'single_tier', 'ceilings_equal|' || {_n('fc')} || '|' || n_tiers FROM ok WHERE fc = dc
+ UNION ALL SELECT k, 'HIGH', 'dollar_table', 'dollars_differ|free care'
   FROM ok WHERE fc IS DISTINCT FROM free_table_pct
- UNION ALL SELECT k, 'HIGH', 'dollar_table', 'discount dollar table does not match its FPL% — stale/misaligned'
+ UNION ALL SELECT k, 'HIGH', 'dollar_table', 'dollars_differ|discount'
   FROM ok WHERE dc IS DISTINCT FROM disc_table_pct
- UNION ALL SELECT k, 'LOW', 'coverage', 'no application phone number extracted' FROM ok WHERE coalesce(phone, '') = ''),
+ UNION ALL SELECT k, 'LOW', 'coverage', 'phone_missing' FROM ok WHERE coalesce(phone, '') = ''),
 chain AS (SELECT source_sha256, count(*) AS members FROM ok WHERE source_sha256 IS NOT NULL GROUP BY 1
  HAVING count(*) > 1 AND count(DISTINCT concat_ws('|', coalesce(fc, -1), coalesce(dc, -1), n_tiers, coalesce(lo1, -1), coalesce(lo2, -1),
   coalesce(hi1, -1), coalesce(hi2, -1), coalesce(ben1, '-'), coalesce(basis1, '-'), coalesce(pays1, -1), swapped,
   coalesce(oop, -1), interest_free, coalesce(phone, '-'), coalesce(conf, -1), truncated)) > 1),
 everything AS (SELECT * FROM finding UNION ALL
- SELECT k, 'HIGH', 'chain', 'shares source policy ' || substr(source_sha256, 1, 10) || ' with ' || members ||
-  ' hospitals but extractions diverge' FROM ok JOIN chain USING (source_sha256))"""
+ SELECT k, 'HIGH', 'chain', 'sources_disagree|' || substr(source_sha256, 1, 10) || '|' || members FROM ok JOIN chain USING (source_sha256))"""
 
 
 @query("r01_validate", f"WITH {SQL_BOUNDED}, {SQL_REASONS} SELECT k, reason FROM reason")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,25 +23,21 @@ def build(app: str = "rulegrain", **extra: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where the session names none (tests on one machine) a temporary folder is
-    made, and remembered in the session.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not folder:
-        folder = sc.getCheckpointDir()
+    """The folder that the cluster shares, as the session names it in ``spark.checkpoint.dir``."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="rulegrain-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder
 
 
+_MADE: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; `drop_scratch` deletes all of them."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -53,19 +48,8 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_SPREAD_BYTES = 1 << 18
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Enough tasks for CPU-heavy work per row over an input with few splits.
-
-    Inputs with at least as many splits as the cluster has cores — anything large — come back
-    as they are; a small file of one row group is dealt out, a quarter megabyte or more per task."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    execution = df._jdf.queryExecution()
-    if execution.toRdd().getNumPartitions() >= cores:
-        return df
-    size = int(str(execution.optimizedPlan().stats().sizeInBytes()))
-    tasks = min(cores, max(1, size // _SPREAD_BYTES))
-    return df.repartition(tasks) if tasks > 1 else df
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what `scratch_path` has named for this session."""
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

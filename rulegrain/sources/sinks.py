@@ -27,7 +27,8 @@ def write_json_report(df: DataFrame, path: str) -> None:
 
 
 class ResultCache:
-    """Results keyed by content hash in an append-only Parquet folder."""
+    """Results keyed by content hash in an append-only Parquet folder; of several results of one
+    content the one appended last counts, within one append the largest by its columns."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
@@ -35,8 +36,16 @@ class ResultCache:
     def read(self) -> DataFrame:
         if not exists(self.spark, self.path):
             return self.spark.createDataFrame([], self.schema)
-        stored = self.spark.read.schema(self.schema).parquet(self.path)
-        return stored.dropDuplicates(["source_sha256"])
+        stored = self._stored()
+        columns = [c for c in stored.columns if c != "batch"]
+        last = F.max(F.struct("batch", *[c for c in columns if c != "source_sha256"]))
+        return stored.groupBy("source_sha256").agg(last.alias("last")).select(*[
+            F.col("source_sha256") if c == "source_sha256" else F.col(f"last.{c}").alias(c) for c in columns])
 
     def append(self, results: DataFrame) -> None:
-        results.write.mode("append").parquet(self.path)
+        before = self._stored().agg(F.max("batch")).first()[0] if exists(self.spark, self.path) else None
+        number = 0 if before is None else before + 1
+        results.withColumn("batch", F.lit(number).cast("bigint")).write.mode("append").parquet(self.path)
+
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.schema}, batch bigint").parquet(self.path)

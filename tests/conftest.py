@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -14,9 +15,15 @@ def make_spark():
         "spark.driver.memory": "12g", "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false", "spark.driver.bindAddress": "127.0.0.1", "spark.driver.host": "127.0.0.1"})
     spark.sparkContext.setLogLevel("ERROR")
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="rulegrain-tests-"))
     return spark
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return make_spark()
+    from rulegrain import session
+
+    spark = make_spark()
+    yield spark
+    session.drop_scratch(spark)

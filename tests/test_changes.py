@@ -34,6 +34,9 @@ def test_verify_and_hold(spark):
     reread = spark.createDataFrame([("a", 1, "y", 1), ("b", 2, "y", None), ("c", 3, "y", 4)], SCHEMA)
     assert rows_of(J.verify_and_hold(served, reread, ["amount"]), "key", "status", "amount", "action") == {
         ("a", "y", 1, "adopted"), ("b", "y", None, "adopted"), ("c", "x", 3, "held")}
+    twice = reread.union(spark.createDataFrame([("a", 9, "z", 5)], SCHEMA))
+    assert rows_of(J.verify_and_hold(served, twice, ["amount"]), "key", "status", "amount", "action") == {
+        ("a", "x", 1, "held"), ("b", "y", None, "adopted"), ("c", "x", 3, "held")}
 
 
 SNAP = ("key string, hospital string, charity_care struct<url:string,effective_date:string>, "
@@ -52,10 +55,19 @@ def test_diff(spark):
     got = {r.key: (r.change, r.deltas) for r in N.diff(cur, base).collect()}
     assert got == {
         "gone": ("removed", []), "new": ("new", []),
-        "date": ("changed", ["charity_care effective d -> d2"]),
-        "silent": ("changed", ["policy content changed at same URL (silent re-upload)"]),
-        "both": ("changed", ["charity_care effective None -> d", "charity_care policy URL changed",
-                             "discount_payment policy URL changed"])}
+        "date": ("changed", ["charity_care.date d -> d2"]),
+        "silent": ("changed", ["content"]),
+        "both": ("changed", ["charity_care.date None -> d", "charity_care.url", "discount_payment.url"])}
+
+
+def test_diff_of_repeated_keys(spark):
+    """The last record of a key counts on both sides, wherever the rows stand."""
+    schema = SNAP + ", pos int"
+    old, new = ("k", "K", ("u", "d"), ("u", "d"), "x"), ("k", "K", ("v", "d"), ("u", "d"), "x")
+    base = spark.createDataFrame([(*new, 2), (*old, 1)], schema)
+    cur = spark.createDataFrame([(*old, 1), (*new, 3), (*old, 2)], schema)
+    assert N.diff(cur, base).count() == 0
+    assert [r.deltas for r in N.diff(cur, spark.createDataFrame([(*old, 1)], schema)).collect()] == [["charity_care.url"]]
 
 
 def test_decisions(spark):

@@ -1,5 +1,4 @@
 import random
-import re
 
 from pyspark.sql import functions as F
 
@@ -8,74 +7,47 @@ from rulegrain.operators import directory as Y
 from rulegrain.operators.ranking import number_rows, number_within
 
 
-def slugify(s):
-    return re.sub(r"[^a-z0-9]+", "-", (s or "").lower()).strip("-")
-
-
-def python_slugs(rows):
-    taken, mine = {}, {}
-    for pos, name, city, ident in rows:
-        base = slugify(name)
-        slug = base
-        if slug in taken:
-            slug = slugify(name + "-" + (city or ""))
-        if slug in taken:
-            slug = base + "-" + str(ident or "")
-        taken[slug] = pos
-        mine[pos] = slug
-    return {pos: (slug, taken[slug] == pos) for pos, slug in mine.items()}
-
-
-def test_slugs_against_the_sequential_rule(spark):
-    rng = random.Random(3)
-    rows = [(i, rng.choice(["Alpha", "Beta", "Gamma X"]), rng.choice(["York", "Rome", None, "X"]),
-             rng.choice([None, str(i)])) for i in range(60)]
-    # a later base equals an earlier city form
-    rows += [(60, "Alpha York", "Rome", "60"), (61, "Delta", "Oslo", "61"), (62, "Delta", "Oslo", "62"),
-             (63, "Delta Oslo", "Bern", "63"), (64, "Delta", "Oslo", "64"), (65, "Delta 64", "", None)]
-    df = spark.createDataFrame(rows, "pos long, hospital string, city string, oshpdid string")
+# (row, name, city, id) -> slug, and whether the row is the last to use it
+SLUGS = [
+    ((1, "Oak Clinic", "Bend", "7"), "oak-clinic", False),      # overwritten by row 9
+    ((2, "Oak Clinic", "Bend", "8"), "oak-clinic-bend", True),
+    ((3, "Oak Clinic", "Bend", "9"), "oak-clinic-9", True),     # base and city form are taken
+    ((4, "Oak Clinic Bend", "Rye", None), "oak-clinic-bend-rye", True),  # its base is row 2's city form
+    ((5, "Oak Clinic Bend", "Rye", "5"), "oak-clinic-bend-5", True),
+    ((6, "Elm & Sons", None, None), "elm-sons", True),
+    ((7, "elm sons", "", "x"), "elm-sons-x", True),             # without a city the city form is the base
+    ((8, "Oak", "Clinic", "1"), "oak", True),
+    ((9, "Oak", "Clinic", "clinic"), "oak-clinic", True),       # ends on an id form that row 1 uses
+    ((10, "Fir", "A", "1"), "fir", True),
+    ((11, "Fir", "A", "2"), "fir-a", True),
+    ((12, "Fir A", "B", "3"), "fir-a-b", True),                 # each displaces the next
+    ((13, "Fir A B", "C", "4"), "fir-a-b-c", True),
+    ((14, "Fir A B C", "D", "5"), "fir-a-b-c-d", True),
+    ((15, "Fir A B C D", "E", "6"), "fir-a-b-c-d-e", True),
+]
+
+
+def test_slugs(spark):
+    df = spark.createDataFrame([row for row, _, _ in SLUGS], "pos long, hospital string, city string, oshpdid string")
     got = {r.pos: (r.slug, r.owner) for r in Y.assign_slugs(df).collect()}
-    assert got == python_slugs(rows)
-
-
-def python_index(rows):
-    counts = {}
-    for _, name, _ in rows:
-        counts[name.upper()] = counts.get(name.upper(), 0) + 1
-    index = {}
-    for pos, name, city in rows:
-        index.setdefault(name.upper(), pos)
-        if counts[name.upper()] > 1 and city:
-            index[f"{name.title()} ({city.title()})".upper()] = pos
-    return index
-
-
-def python_find(index, name):
-    if not name:
-        return None
-    if name.upper() in index:
-        return index[name.upper()]
-    needle = name.upper().strip()
-    if len(needle) >= 4:
-        for key, pos in index.items():
-            if needle in key:
-                return pos
-    return None
-
-
-def test_lookup_against_a_scan(spark):
-    rng = random.Random(5)
-    names = ["Alpha Medical Center", "Shared Hospital", "St. Mary Medical", "Bay General", "Alpha Medical"]
-    rows = [(i, rng.choice(names), rng.choice(["Fresno", "Eureka", None])) for i in range(40)]
-    index = python_index(rows)
-    asked = ["alpha medical center", "medical", "SHARED HOSPITAL (EUREKA)", "hosp", "abc", "", "  bay ",
-             "general", "nowhere at all", "hared Hospital (F", "Medical Center", "a"]
-    df = spark.createDataFrame(rows, "pos long, hospital string, city string")
-    req = spark.createDataFrame(list(enumerate(asked)), "id int, name string")
+    assert got == {row[0]: (slug, owner) for row, slug, owner in SLUGS}
+
+
+# hospitals in order, and which one a request names
+PLACES = [(1, "Harbor Medical Center", "Fresno"), (2, "Twin Hospital", "Fresno"), (3, "Twin Hospital", "Eureka"),
+          (4, "St. Mary Medical", None), (5, "Harbor Medical", "Ukiah"), (6, "Twin Hospital", None)]
+REQUESTS = [("harbor medical center", 1), ("HARBOR MEDICAL", 5), ("twin hospital", 2), ("Twin Hospital (Eureka)", 3),
+            ("medical", 1), ("  mary ", 4), ("win hospital (e", 3), ("hosp", 2), ("abc", None), ("", None), ("x", None),
+            ("nowhere at all", None)]
+
+
+def test_lookup(spark):
+    df = spark.createDataFrame(PLACES, "pos long, hospital string, city string")
+    req = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(REQUESTS)], "id int, name string")
     got = {r.id: r.target for r in Y.find_hospitals(req, Y.name_index(df)).collect()}
-    assert got == {i: python_find(index, a) for i, a in enumerate(asked)}
+    assert got == {i: target for i, (_, target) in enumerate(REQUESTS)}
     grams = {r.gram: r.target for r in Y.substring_index(Y.name_index(df)).collect()}
-    assert grams["MEDI"] == python_find(index, "medi")
+    assert grams["MEDI"] == 1 and grams["MARY"] == 4
 
 
 def test_lookup_prefers_the_id(spark):
@@ -92,6 +64,8 @@ def test_nearby_peers(spark):
     got = {r.slug: r.peers for r in Y.nearby_peers(df).collect()}
     assert got["s00"] == [f"s{i:02d}" for i in range(1, 11)]
     assert got["s29"] == [f"s{i:02d}" for i in range(10)]
+    twins = df.withColumn("slug", F.when(F.col("pos") < 2, "s00").otherwise(F.col("slug")))
+    assert {len(r.peers) for r in Y.nearby_peers(twins).collect()} == {10}
 
 
 def test_numbering(spark):
