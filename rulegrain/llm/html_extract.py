@@ -47,6 +47,7 @@ CLOSES = {
     "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
+INNER_SHARE = 0.8
 HEADINGS = set("h1 h2".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
@@ -193,7 +194,11 @@ def _best_below(node: Element) -> Element:
         if at.total > best.total:
             best = at
         stack.extend(c for c in reversed(at.children) if isinstance(c, Element) and not c.part)
-    return best
+    while True:  # a child with nearly all of the sum is the tighter choice
+        inner = max((c for c in best.children if isinstance(c, Element) and not c.part), key=lambda c: c.total, default=None)
+        if inner is None or inner.total < INNER_SHARE * best.total or not inner.total:
+            return best
+        best = inner
 
 
 def _content(body: Element) -> set[int]:
