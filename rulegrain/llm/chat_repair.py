@@ -33,7 +33,7 @@ from rulegrain.llm.storage import Scratch
 
 SEGMENT = 512
 FAN = 256
-MERGE, RELABEL, INSERT = 1, 2, 3  # prices
+MERGE, RELABEL, INSERT, TO_SYSTEM = 1, 2, 3, 2  # prices; the last on top, for a turn relabelled as system
 ROLES = ["system", "user", "assistant"]
 #: Other spellings of roles, as fixed values.
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant",
@@ -62,7 +62,7 @@ def _actions() -> dict[tuple[int, int, int], tuple[int, str, list[str]]]:
     out: dict[tuple[int, int, int], tuple[int, str, list[str]]] = {}
     for code, start, role in product(range(4), range(4), ROLES):
         own = code < 3 and ROLES[code] == role
-        price, name = (0, "keep") if own else (RELABEL, "relabel")
+        price, name = (0, "keep") if own else (RELABEL + TO_SYSTEM * (role == "system"), "relabel")
         ways = []
         if _STATE_ROLE[start] == role:
             ways.append((start, price + MERGE, "merge" if own else "relabel+merge", []))
