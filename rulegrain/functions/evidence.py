@@ -34,15 +34,22 @@ def short_text(text: Column) -> Column:
     return F.length(F.trim(text)) < V.MIN_USABLE_CHARS
 
 
+#: Matches that are placed together; lists grow by copying, so no list grows longer than this at once.
+STRETCH = 256
+
+
 def spans(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,hit>> of all matches, 0-based, end exclusive."""
+    """array<struct<start,end,hit>> of all matches, 0-based, end exclusive.
+
+    Matches are placed stretch by stretch, from where each stretch begins, so a text with many of
+    them costs in proportion to their number."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern)
     pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
     # the last piece has no match after it
-    step = F.filter(pairs, lambda p: p["hit"].isNotNull())
-    empty = F.expr("named_struct('at', 0, 'out', CAST(array() AS "
-                   "array<struct<start:int,end:int,hit:string>>))")
+    found = F.filter(pairs, lambda p: p["hit"].isNotNull())
+    none = F.expr("CAST(array() AS array<struct<start:int,end:int,hit:string>>)")
+    no_starts = F.expr("named_struct('at', 0, 'out', CAST(array() AS array<int>))")
 
     def advance(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["gap"])
@@ -50,7 +57,20 @@ def spans(text: Column, pattern: str) -> Column:
         item = F.struct(start.alias("start"), end.alias("end"), p["hit"].alias("hit"))
         return F.struct(end.alias("at"), F.array_append(acc["out"], item).alias("out"))
 
-    return F.aggregate(step, empty, advance, lambda acc: acc["out"])
+    def placed(matches: Column) -> Column:
+        stretches = F.sequence(F.lit(0), F.floor(F.greatest(F.size(matches) - 1, F.lit(0)) / STRETCH).cast("int"))
+
+        def of(i: Column) -> Column:
+            return F.slice(matches, i * STRETCH + 1, F.lit(STRETCH))
+
+        sizes = F.transform(stretches, lambda i: F.aggregate(
+            of(i), F.lit(0), lambda n, p: n + F.length(p["gap"]) + F.length(p["hit"])))
+        starts = F.aggregate(sizes, no_starts, lambda acc, n: F.struct(
+            (acc["at"] + n).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(stretches, starts, lambda i, at: F.aggregate(
+            of(i), F.struct(at.alias("at"), none.alias("out")), advance, lambda acc: acc["out"])))
+
+    return let(found, placed)
 
 
 # every poverty wording holds one of these, so most texts need no regular expression
