@@ -36,3 +36,32 @@ def skewed(tmp_path_factory):
 def test_hot_keys(spark, skewed, key):
     problem = compare(spark, duck(skewed), skewed, key, entry.queries(), entry.oracle_sql(), empty_ok=True)
     assert problem is None, problem
+
+
+LOW = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+       "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
+
+def test_hot_join_is_split(spark):
+    """A third of all records share one content: the fan-out of its result is split over tasks."""
+    from pyspark.sql import functions as F
+
+    from rulegrain.operators import splice
+
+    before = {k: spark.conf.get(k, None) for k in LOW}
+    try:
+        for key, value in LOW.items():
+            spark.conf.set(key, value)
+        records = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(
+            F.col("id").cast("string")).alias("source_sha256"), F.sha2(F.col("id").cast("string"), 512).alias("filler"))
+        results = spark.range(30_000).filter("id % 3 <> 0 OR id = 0").select(
+            F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("source_sha256"),
+            F.lit("p").alias("policy"), F.lit(None).cast("string").alias("error"))
+        joined = splice.map_results(records, results)
+        assert joined.filter("status = 'extracted'").count() == 30_000
+        done = joined.select("id", "status", "filler")
+        done.collect()
+        assert "SortMergeJoin(skew=true)" in done._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
