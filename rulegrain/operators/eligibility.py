@@ -357,6 +357,26 @@ def generic_plan(intakes: DataFrame, out: str = "plan") -> DataFrame:
     return frame.withColumn(out, plan).drop("_doors")
 
 
+def statutory_plan(facts: DataFrame, out: str = "plan") -> DataFrame:
+    """The nested plan of rows of `statutory_facts` where the law sets a band: what the law gives, with no
+    ceiling of the hospital's own and no benefits; help comes from the state's own doors.
+
+    Needs also: hospital, state, household_size, annual_income, insurance, in_collections."""
+    frame = state_help_doors(facts.filter("statutory"), out="_doors")
+    owes = F.coalesce(F.col("in_collections"), F.lit(False))
+    plan = F.struct(
+        F.col("fpl_pct").alias("fpl_pct"), F.col("tier").alias("tier"),
+        F.concat(F.lit("result_"), F.col("tier")).alias("headline"),
+        F.struct(S.py_title(F.col("hospital")).alias("name"), F.col("fact_state").alias("state"),
+                 F.col("fact_law").alias("law")).alias("hospital"),
+        F.struct(F.col("household_size").alias("household"), F.col("annual_income").alias("income")).alias("patient"),
+        F.struct(statutory_message_keys().alias("messages"), plan_extra_keys().alias("notes")).alias("charity"),
+        F.array().cast("array<string>").alias("benefits"), debt_keys(owes).alias("debt"),
+        F.transform("_doors", lambda d: d["label"]).alias("resources"),
+        closing_step(F.lit(False), owes).alias("closing_step"))
+    return frame.withColumn(out, plan).drop("_doors")
+
+
 def match_or_generic(matched: DataFrame, found: Column) -> tuple[DataFrame, DataFrame]:
     """Split resolved requests: (served or asking for general guidance, rejected).
 

@@ -328,6 +328,33 @@ def plan_struct(spark, sf_dir):
                         F.md5(F.to_json("plan")).alias("plan_md5"))
 
 
+_SQL_KEYS = """CASE WHEN NOT statutory THEN NULL
+ WHEN program_suspended THEN 'cc_program_suspended' ELSE concat_ws(',',
+ CASE WHEN tier0 = 'free' THEN 'cc_statutory_free' WHEN tier0 = 'discount' AND free_band IS NULL THEN 'cc_statutory_discount_only'
+  WHEN tier0 = 'discount' AND income_cap_pct IS NULL THEN 'cc_statutory_discount_nocap' WHEN tier0 = 'discount' THEN 'cc_statutory_discount'
+  WHEN discount_band IS NULL AND free_band IS NOT NULL THEN 'cc_statutory_over_free_only' ELSE 'cc_statutory_over' END,
+ CASE WHEN tier0 = 'discount' AND payment_cap_payoff_months > 0 AND fpl_pct <= payment_cap_ceiling_pct THEN 'cc_payment_cap_payoff'
+  WHEN tier0 = 'over' AND payment_cap_pct > 0 AND payment_cap_payoff_months IS NULL AND fpl_pct <= payment_cap_ceiling_pct THEN 'cc_payment_cap' END,
+ CASE WHEN tier0 = 'over' AND hardship_debt_pct > 0 AND fpl_pct <= hardship_ceiling_pct THEN 'cc_hardship_extend'
+  WHEN tier0 = 'over' AND catastrophic_cap_pct > 0 AND fpl_pct <= catastrophic_ceiling_pct THEN 'cc_catastrophic'
+  WHEN tier0 = 'over' AND medical_hardship_entry_pct > 0 THEN 'cc_medical_hardship' END) END"""
+
+
+@query("r15_statutory_plan", f"""WITH {SQL_FACTS}, {_state_doors_sql()}, f AS (SELECT f.*, d.code IS NOT NULL AS known, i.insurance AS ins FROM facts f
+ LEFT JOIN doors d ON d.code = upper(coalesce(f.state, '')) JOIN intake i USING (intake_id) WHERE statutory)
+SELECT intake_id, pos, tier0 AS tier, {_SQL_KEYS} AS messages, CASE WHEN tier0 IN ('free', 'discount') THEN concat_ws(',', 's_minimum_note',
+  CASE WHEN tier0 = 'discount' AND names_medicaid_cap THEN 's_medicaid_cap' END, CASE WHEN bars_debt_lawsuits THEN 's_debt_protection' END,
+  CASE WHEN apply_deadline_days > 0 THEN 's_apply_deadline' END) ELSE '' END AS notes,
+ CASE WHEN NOT known THEN '' ELSE concat_ws(',', CASE WHEN lower(trim(ins)) IN ('', 'none', 'uninsured', 'self-pay') THEN 'res_coverage,res_clinic' END,
+  CASE WHEN in_collections THEN 'res_legalaid' END) END AS resources, cast(2 + cast(in_collections AS int) AS int) AS closing_step FROM f""")
+def statutory_plan(spark, sf_dir):
+    plans = E.statutory_plan(fact_bills(spark, sf_dir))
+    return plans.select("intake_id", "pos", F.col("plan.tier").alias("tier"),
+                        F.array_join("plan.charity.messages", ",").alias("messages"),
+                        F.array_join("plan.charity.notes", ",").alias("notes"),
+                        F.array_join("plan.resources", ",").alias("resources"), F.col("plan.closing_step").alias("closing_step"))
+
+
 @query("w07_step_numbering", f"""WITH {_SQL_PCT_INTAKE}
 SELECT intake_id, cast(2 + cast(insured as int) + cast(in_collections as int) as int) AS closing_step FROM i""")
 def step_numbering(spark, sf_dir):
