@@ -81,7 +81,8 @@ def test_jaccard_of_a_large_group_whose_members_do_not_all_link(spark, monkeypat
     df = spark.createDataFrame(rows, DOCS)
     got = {(r.doc_id, r.component_id) for r in ngram_jaccard.join(df, 4, 85, 100).collect()}
     assert got == {(d, c) for d, _, c in brute.components(rows, 4, 85, 100)}
-    monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", 40)  # several tiles
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SETS", 20)  # several tiles
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_GRAMS", 2000)
     monkeypatch.setattr(ngram_jaccard, "FRAGMENT_GRAMS", 16)
     assert {(r.doc_id, r.component_id) for r in ngram_jaccard.join(df, 4, 85, 100).collect()} == got
 
