@@ -199,7 +199,11 @@ def fit(table: dict[str, np.ndarray], bad: np.ndarray, prune: np.ndarray, max_ru
 def learn(stats: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS,
           **limits) -> list[Rule]:
     """Rules from `labels` (doc_id, label: 0 is low quality) and a table (doc_id, stats)."""
-    marked = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("mark"))
+    marked = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select(
+        "doc_id", F.col(label).alias("mark"))
+    # tasks send about what the sample needs, however many labels there are
+    share = min(1.0, 1.2 * sample_rows / max(1, marked.count()))
+    marked = marked.filter(F.xxhash64("doc_id") <= min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64))))
     rows = (stats.select("doc_id", "stats").join(marked, "doc_id")
                  .filter(~base_failed(F.col("stats")))
                  .select(F.xxhash64("doc_id").alias("draw"), "doc_id", "mark",
