@@ -29,8 +29,8 @@ from rulegrain.llm import text_arrays as A
 
 WINDOW = 13
 SEED = 4
-BUCKET_BYTES = 8 << 20  # text a bucket, on average
-FLUSH_BYTES = 10 << 20  # text a task packs at a time
+BUCKET_BYTES = 5 << 20  # text a bucket, on average
+FLUSH_BYTES = 8 << 20  # text a task packs at a time
 _SENT = "bucket int, local boolean, n int, packed binary"
 _MARKS = "doc_id bigint, text_key int, low int, high int"
 
@@ -138,7 +138,7 @@ class _Packer:
         return met < doc
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=5)
         if self.parts:
             bucket, doc, key, place, n_words, start, size = (np.concatenate(x) for x in zip(*self.parts, strict=True))
             text = np.concatenate(self.texts)
