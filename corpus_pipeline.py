@@ -1,7 +1,9 @@
 """From raw documents to token ids: the stages of a training corpus, each written and read again.
 
 A stage takes (spark, docs, sf_dir) and returns the rows that go on, with the columns of `docs` (the
-last one returns token ids).  Columns beyond those of documents travel along under any name.
+last one returns token ids).  Columns beyond those of documents travel along under any name.  The
+places of the mix are a side table, as order does not outlive a table that is read again: the
+metadata of doc_id name it, which Parquet keeps, and the last stage joins it back.
 
 Defined cases: rows without text or with few words fail the quality rules; a document that loses all
 its lines goes; rows with a null id are kept by every stage that compares documents; of rows with
@@ -14,8 +16,11 @@ from pyspark.sql import functions as F
 
 from rulegrain.llm import bpe, line_dedup, ngram_jaccard, quality_rules, source_mix
 from rulegrain.llm.storage import Scratch, read_table
+from rulegrain.session import scratch_path
 
 _OWN = ("doc_id", "text", "source")
+_PLACE_KEY = ("doc_id", "text_key", "source")
+_PLACES = "mix_places"
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -67,17 +72,46 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix: each file holds one stretch of it, in order."""
+    """All documents in the order of the mix, and their places in it in a side table."""
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return _unpacked(source_mix.in_order(source_mix.mix(_packed(docs)), tasks), docs)
+    mixed = source_mix.mix(_packed(docs).withColumn("text_key", F.xxhash64("text")))
+    places = scratch_path(spark, "mix-places")
+    mixed.select(*_PLACE_KEY, "mix_slot", "mix_chars_before").write.parquet(places)
+    rows = _unpacked(source_mix.in_order(mixed, tasks), docs)
+    return rows.withMetadata("doc_id", {**docs.schema["doc_id"].metadata, _PLACES: places})
+
+
+def _placed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows with mix_slot and mix_chars_before, sorted by them.
+
+    Copies, which may only differ in columns that the mix does not look at, are numbered on both
+    sides, so that each place is given once."""
+    path = docs.schema["doc_id"].metadata.get(_PLACES)
+    if path is None:
+        raise ValueError("the rows do not come from the source mix")
+    table = spark.read.parquet(path)
+    one = Window.partitionBy(*_PLACE_KEY)
+    places = table.select(*[F.col(c).alias(f"place_{c}") for c in _PLACE_KEY], "mix_slot", "mix_chars_before",
+                          F.row_number().over(one.orderBy("mix_slot", "mix_chars_before")).alias("place_copy"))
+    rows = docs.withColumn("text_key", F.xxhash64("text"))
+    rows = rows.withColumn("copy", F.row_number().over(one.orderBy("lang" if "lang" in docs.columns else "text_key")))
+    same = F.col("copy") == F.col("place_copy")
+    for c in _PLACE_KEY:
+        same &= F.col(c).eqNullSafe(F.col(f"place_{c}"))
+    lost = F.raise_error(F.lit("a row has no place in the mix")).cast("bigint")
+    found = rows.join(places.hint("merge"), same, "left").select(
+        *docs.columns, F.coalesce("mix_slot", lost).alias("mix_slot"), "mix_chars_before")
+    return source_mix.in_order(found, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the hash of what they decode to."""
+    """Token ids of each document and the hash of what they decode to, in the order of the mix:
+    sorted by (mix_slot, mix_chars_before, doc_id)."""
     import public_tokenizers
 
-    return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
-                      keep=[c for c in ("doc_id", "lang", "source") if c in docs.columns])
+    own = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    return bpe.encode(_placed(spark, docs.select(*own, "text")), public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                      public_tokenizers.PATTERN, keep=[*own, "mix_slot", "mix_chars_before"])
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram jaccard join", near_duplicates),

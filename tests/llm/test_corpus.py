@@ -1,5 +1,6 @@
 """Mixing, chats and the pipeline."""
 
+import hashlib
 import random
 import re
 from collections import Counter
@@ -184,3 +185,52 @@ def test_stages_of_nothing(spark, tmp_path):
         stage(spark, out, sf_dir).write.parquet(f"{sf_dir}/{k}")
         out = spark.read.parquet(f"{sf_dir}/{k}")
         assert out.count() == 0
+
+
+def slots_by_brute_force(rows):
+    """(slot, characters before) of each (id, text, source) row, with all defaults of the mix."""
+    sources = {}
+    for doc, text, source in rows:
+        key = "" if source is None else "=" + source
+        shuffled = hashlib.md5(f"mix{'' if doc is None else doc}/{text}".encode()).hexdigest()
+        sources.setdefault(key, []).append((shuffled, doc, text))
+    chars = {s: sum(len(x[2]) for x in of) for s, of in sources.items()}
+    whole = sum(c ** 0.5 for c in chars.values())
+    exact = {s: c ** 0.5 / whole * (source_mix.FRAME - len(chars)) for s, c in chars.items()}
+    slots = {s: 1 + int(e) for s, e in exact.items()}
+    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:source_mix.FRAME - sum(slots.values())]:
+        slots[s] += 1
+    at = {}
+    for t, s in enumerate(brute.pfair(slots)):
+        at.setdefault(s, []).append(t)
+    out = []
+    for s, of in sources.items():
+        before = 0
+        for _, doc, text in sorted(of, key=lambda x: x[0]):
+            block = min(before // source_mix.BLOCK_CHARS, -(-chars[s] // source_mix.BLOCK_CHARS) - 1)
+            out.append((block // slots[s] * source_mix.FRAME + at[s][block % slots[s]], before, doc, brute.sha(text)))
+            before += len(text)
+    return out
+
+
+def test_the_mix_reaches_the_token_ids(spark, tmp_path):
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(900)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, say(rng.choice([200, 12_000])), "en", rng.choice(["a", "a", "b", None]), 1) for i in range(40)]
+    twin = (None, say(300), "en", None, 1)
+    rows += [twin, twin, (None, say(300), "en", "b", 1)]
+    sf_dir = str(tmp_path)
+    spark.createDataFrame(rows, DOCS).repartition(5).write.parquet(f"{sf_dir}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf_dir}/labels.parquet")
+    out = corpus_pipeline.run(spark, sf_dir)
+    got = [(r.mix_slot, r.mix_chars_before, r.doc_id, r.decoded_sha256) for r in out.collect()]
+    want = slots_by_brute_force([(r[0], r[1], r[3]) for r in rows])
+    assert len({x[0] for x in want}) > 20
+    assert Counter(got) == Counter(want)
+    assert [x[:2] for x in got] == sorted(x[:2] for x in got)
+
+
+def test_token_ids_ask_for_the_mix(spark):
+    with pytest.raises(ValueError):
+        corpus_pipeline.token_ids(spark, spark.createDataFrame([], DOCS), "")
