@@ -1,7 +1,11 @@
 """Main text of HTML pages by composite text density.
 
-A page is parsed into elements, and what is never content is left out (scripts, styles, menus,
-forms, adverts, comments and other parts that tags, roles or class names declare).  For every
+A page is parsed into elements, and what is never content is left out (scripts, styles, what is
+hidden).  So are menus, forms, adverts, comments and other parts that tags, roles or class names
+declare; but where no <main> or <article> says what the content is, a declaration may be that of a
+wrapper ('has-sidebar', a form around the page).  There an element that holds the core of the page
+as measured with all declared parts in it, or most of the text outside links, stays; one named
+after comments only if it holds `INNER_SHARE` of that text.  For every
 element of the rest: composite density = characters per tag, times a logarithm that falls with the
 share of link text; density sum = the sum of its children's densities.  The element of the largest
 sum is the core of the content.  The smallest density on the path from it to the body is the
@@ -47,6 +51,7 @@ CLOSES = {
     "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
+COMMENT_WORDS = set("comment comments reply replies disqus respond".split())
 INNER_SHARE = 0.8
 HEADINGS = set("h1 h2".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -55,12 +60,12 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 class Element:
     __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total",
-                 "holds_main", "holds_heading", "part")
+                 "holds_main", "holds_heading", "part", "declared")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Element | str] = []
-        self.holds_main = self.holds_heading = self.part = False
+        self.holds_main = self.holds_heading = self.part = self.declared = False
         self.density = self.total = 0.0
 
 
@@ -115,9 +120,9 @@ class _Tree(HTMLParser):
             node = node.parent
 
 
-def _names_part(node: Element) -> bool:
-    words = _WORD.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}")
-    return any(w.lower() in PART_WORDS for w in words)
+def _names_part(node: Element, words: set[str] = PART_WORDS) -> bool:
+    found = _WORD.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}")
+    return any(w.lower() in words for w in found)
 
 
 def _order(root: Element) -> list[Element]:
@@ -149,19 +154,44 @@ def _mark_parts(order: list[Element]) -> None:
         elif ("hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style", ""))):
             node.part = True
         elif node.tag == "article":
-            node.part = _names_part(node) and not any(
+            node.declared = _names_part(node) and not any(
                 isinstance(c, Element) and c.holds_main for c in node.children) and bool(
                 {"comment", "comments", "reply", "ad", "ads", "related", "promo", "sponsored"}
                 & {w.lower() for w in _WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")})
         elif not node.holds_main:
             titled = id(node) in inside and node.holds_heading
-            node.part = node.tag in PARTS or (not titled and (
+            node.declared = node.tag in PARTS or (not titled and (
                 node.tag == "header" or attrs.get("role") in PART_ROLES or _names_part(node)))
 
 
+def _cut_declared(order: list[Element]) -> None:
+    """Leave declared parts out, but not the wrappers of a page that declares no content."""
+    declared, body = [n for n in order if n.declared], order[0]
+    wrappers: set[int] = set()
+    if declared and not body.holds_main:
+        _measure(order)
+        node: Element | None = _best_below(body)
+        while node is not None and node is not body:
+            wrappers.add(id(node))
+            node = node.parent
+        whole = body.chars - body.link_chars
+        for n in declared:
+            own = n.chars - n.link_chars
+            if _names_part(n, COMMENT_WORDS):
+                if own >= INNER_SHARE * whole > 0:
+                    wrappers.add(id(n))
+                else:
+                    wrappers.discard(id(n))
+            elif 2 * own > whole:
+                wrappers.add(id(n))
+    for n in declared:
+        n.part = id(n) not in wrappers
+
+
 def _measure(order: list[Element]) -> None:
     for node in reversed(order):
         node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = 0.0
         for child in node.children:
             if isinstance(child, str):
                 node.chars += len("".join(child.split()))
@@ -262,6 +292,7 @@ def main_text(html: str | None) -> str:
     body = next((n for n in tree.root.children if isinstance(n, Element) and n.tag == "body"), tree.root)
     order = _order(body)
     _mark_parts(order)
+    _cut_declared(order)
     _measure(order)
     return " ".join(_blocks(body, _content(body)))
 

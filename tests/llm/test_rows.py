@@ -46,6 +46,27 @@ def test_density_falls_with_links():
     assert html_extract.main_text(links) == ("plain words here " * 30).strip()
 
 
+WRAPPERS = ["<div class='has-sidebar'>%s</div>", "<div id='page' class='no-sidebar'>%s</div>", "<div class='long-form'>%s</div>",
+            "<div class='elementor-widget'>%s</div>", "<form id='aspnetForm'>%s</form>", "<div class='comments-open'>%s</div>",
+            "<form id='aspnetForm'><div class='elementor-widget'>%s</div></form>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_a_wrapper_named_like_a_part_stays(wrapper):
+    words = ["Plain words that a reader came for. " * 12, "More words of the same page. " * 10]
+    content = "<h1>Title</h1>" + "".join(f"<p>{w}</p>" for w in words)
+    menu = "<ul class='menu'><li><a href=x>Home</a><li><a href=y>About</a></ul>"
+    parts = "<div class='sidebar'>Short remarks beside it</div><section id=comments><p>I liked it</p></section><footer>me</footer>"
+    want = " ".join(["Title", *(w.strip() for w in words)])
+    assert html_extract.main_text(f"<body>{wrapper % content}</body>") == want
+    assert html_extract.main_text(f"<body>{wrapper % (menu + content + parts)}</body>") == want
+
+
+def test_parts_beside_declared_content_go():
+    talk = "<section id=comments>" + "<p>A long comment by somebody who was here. </p>" * 20 + "</section>"
+    assert html_extract.main_text(f"<body><article><p>Body words.</p></article>{talk}</body>") == "Body words."
+
+
 # --- encoding -------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def own():
