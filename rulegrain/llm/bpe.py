@@ -8,8 +8,10 @@ order give the ids and the decoded bytes of a piece.
 
 The merge table is read from the file on each worker and is of the vocabulary's size.  A worker
 remembers `KNOWN_PIECES` pieces in a DuckDB table and `KNOWN_SEGMENTS` segments, then starts anew, so
-memory is bounded whatever the texts hold.  Time is linear in the text; for a single piece
-(a run of letters without a break) it is quadratic in its length.
+memory is bounded whatever the texts hold.  The query keeps the rows of all its steps, which are
+quadratic in a piece, so steps are sized by that; a piece of more than `LONG_BYTES` (a run of
+letters or signs without a break) is merged outside DuckDB, by a heap of pairs, in n log n time and
+memory linear in the piece.
 
 Defined cases: a null or empty text has no tokens and decodes to nothing; special tokens do not
 exist, their spelling is ordinary text; null ids and repeated rows are passed through."""
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import os
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,7 +38,9 @@ KNOWN_PIECES = 1_000_000  # pieces a worker remembers
 KNOWN_SEGMENTS = 500_000  # segments a task remembers
 BATCH_BYTES = 3 << 19  # text that is looked up together
 STEP_PIECES = 30_000  # pieces a recursive query takes, or
-STEP_BYTES = 150_000  # bytes
+STEP_BYTES = 150_000  # bytes, or
+STEP_ROWS = 8_000_000  # squares of their bytes, twice the rows of all steps
+LONG_BYTES = 1000  # longer pieces are merged one by one
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -56,6 +61,7 @@ class Tables:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
+        self.ranks, self.bytes_of = ranks, {r: t for t, r in ranks.items()}
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
         self.n_known = 0
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
@@ -120,6 +126,39 @@ class Tables:
         self.con.unregister("start")
         return self.con.sql(self._READ).to_arrow_table()["label"].to_pylist()
 
+    def merge_long(self, piece: bytes) -> str:
+        """The same for one piece of any length: the leftmost pair of minimum rank comes off a heap;
+        entries whose pair has changed since are passed over."""
+        n, ranks, bytes_of = len(piece), self.ranks, self.bytes_of
+        token: list[int] = [self.byte_ids[b] for b in piece]
+        prev, after = list(range(-1, n - 1)), list(range(1, n + 1))
+
+        def rank(p: int) -> int | None:
+            q = after[p]
+            return ranks.get(bytes_of[token[p]] + bytes_of[token[q]]) if q < n else None
+
+        pair = [rank(p) for p in range(n)]
+        heap = [(r, p) for p, r in enumerate(pair) if r is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, p = heapq.heappop(heap)
+            if pair[p] != r:
+                continue
+            q = after[p]
+            token[p], after[p], pair[q] = r, after[q], None
+            if after[q] < n:
+                prev[after[q]] = p
+            for at in (prev[p], p):
+                if at >= 0:
+                    pair[at] = new = rank(at)
+                    if new is not None:
+                        heapq.heappush(heap, (new, at))
+        out, p = [], 0
+        while p < n:
+            out.append(f"{token[p]}:{bytes_of[token[p]].hex()}")
+            p = after[p]
+        return " ".join(out)
+
     def labels(self, pieces: list[str]) -> dict[str, str]:
         """Tokens of each of the different pieces: known ones are looked up, the rest merged."""
         self.con.register("asked", pa.table({"text": pa.array(pieces, pa.string())}))
@@ -131,10 +170,12 @@ class Tables:
             self.con.execute("CREATE OR REPLACE TABLE known (text VARCHAR, label VARCHAR)")
             self.n_known = 0
         for part in _steps(new):
-            merged = self.merge([p.encode() for p in part])
-            self.con.register("merged", pa.table({"text": pa.array(part, pa.string()), "label": merged}))
-            self.con.execute("INSERT INTO known SELECT text, label FROM merged")
-            self.con.unregister("merged")
+            encoded = [p.encode() for p in part]
+            merged = [self.merge_long(encoded[0])] if len(encoded[0]) > LONG_BYTES else self.merge(encoded)
+            if len(encoded[0]) <= LONG_BYTES:  # long ones are not remembered
+                self.con.register("merged", pa.table({"text": pa.array(part, pa.string()), "label": merged}))
+                self.con.execute("INSERT INTO known SELECT text, label FROM merged")
+                self.con.unregister("merged")
             out.update(zip(part, merged, strict=True))
         self.n_known += len(new)
         return out
@@ -146,13 +187,15 @@ def tables(path: str) -> Tables:
 
 
 def _steps(pieces: list[str]) -> Iterator[list[str]]:
-    held, size = [], 0
-    for p in sorted(pieces, key=len):  # pieces that need as many steps go together
-        if held and (len(held) >= STEP_PIECES or size + len(p) > STEP_BYTES):
+    """Pieces that are merged together; one of more than LONG_BYTES is alone."""
+    held, size, rows = [], 0, 0
+    for n, p in sorted(((len(p.encode()), p) for p in pieces), key=lambda x: x[0]):  # as many steps go together
+        if held and (len(held) >= STEP_PIECES or size + n > STEP_BYTES or rows + n * n > STEP_ROWS or n > LONG_BYTES):
             yield held
-            held, size = [], 0
+            held, size, rows = [], 0, 0
         held.append(p)
-        size += len(p)
+        size += n
+        rows += n * n
     if held:
         yield held
 
@@ -197,6 +240,8 @@ class _Texts:
         for segments in cut:
             found = [self.known[s] for s in segments]
             yield " ".join([x[0] for x in found]), b"".join([x[1] for x in found])
+        for long in {s for segments in cut for s in segments if len(s) > LONG_BYTES}:
+            self.known.pop(long, None)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:

@@ -106,6 +106,18 @@ def test_memory_of_pieces_is_bounded_and_changes_nothing(own, monkeypatch):
         assert [ids for ids, _ in work.encode(texts)] == [" ".join(map(str, library.encode_ordinary(t))) for t in texts]
 
 
+def test_long_runs_take_little_memory(own):
+    path, pattern, library = own
+    rng = random.Random(4)
+    letters = "".join(rng.choice(string.ascii_lowercase) for _ in range(100_000))
+    runs = [letters, letters[:20_000], "a" * 100_000, "-" * 20_000, "-" * 100_000, "=-" * 10_000, "日本語テスト" * 3000,
+            letters[:1000], letters[:1001], *[letters[k:k + 900] for k in range(0, 45_000, 900)]]
+    want = [library.encode_ordinary(t) for t in runs]
+    got = list(bpe._Texts(path, pattern).encode(runs))
+    assert [ids for ids, _ in got] == [" ".join(map(str, w)) for w in want]
+    assert [text.decode() for _, text in got] == runs
+
+
 # --- search ---------------------------------------------------------------------------------------------
 def test_top_k_against_all_products(spark, monkeypatch):
     monkeypatch.setattr(exact_topk, "BLOCK_ROWS", 7)
