@@ -3,5 +3,5 @@ to its whole table."""
 
 from __future__ import annotations
 
-from rulegrain.llm import mining_queries, training_queries  # noqa: F401
+from rulegrain.llm import mining_queries, structure_queries, training_queries  # noqa: F401
 from rulegrain.llm.registry import ORACLES, PLANS  # noqa: F401
