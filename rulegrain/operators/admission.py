@@ -5,7 +5,8 @@ The fold is cut where its state is known without it.  Admitted hits are a subset
 a hit with fewer than `limit` raw predecessors in its window is admitted for certain; after a
 window of such hits the state is exactly those hits.  A key's time line therefore falls apart
 into runs that fold independently, and only runs that ever reach the limit fold at all — a hot
-key is one task's work only for as long as it is being refused without pause.
+key is one task's work only for as long as it is being refused without pause, and that task
+jumps over the refused hits.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,6 +32,11 @@ def micros(df: DataFrame, ts: str) -> Column:
     return F.unix_micros(ts)
 
 
+def from_micros(t: Column, kind: str) -> Column:
+    epoch = F.lit("1970-01-01 00:00:00Z" if kind == "timestamp" else "1970-01-01 00:00:00").cast(kind)
+    return F.timestamp_add("MICROSECOND", t, epoch)
+
+
 def admit(hits: DataFrame, limit: int = V.RATE_LIMIT, window: float = V.RATE_WINDOW_SECONDS,
           key: str = "key", ts: str = "ts", hit_id: str = "id",
           earlier: DataFrame | None = None) -> DataFrame:
@@ -78,27 +85,49 @@ def admit(hits: DataFrame, limit: int = V.RATE_LIMIT, window: float = V.RATE_WIN
     folded = (fold.repartition("_k", "_run").sortWithinPartitions("_k", "_run", "_t", "_id")
               .mapInPandas(_folder(limit, span), f"_k {kinds[key]}, _t bigint, "
                                                  f"_id {kinds[hit_id]}, admitted boolean"))
-    epoch = F.lit("1970-01-01 00:00:00Z" if kinds[ts] == "timestamp" else "1970-01-01 00:00:00") \
-        .cast(kinds[ts])
     return free.unionByName(folded).select(
-        F.col("_k").alias(key), F.timestamp_add("MICROSECOND", F.col("_t"), epoch).alias(ts),
+        F.col("_k").alias(key), from_micros(F.col("_t"), kinds[ts]).alias(ts),
         F.col("_id").alias(hit_id), "admitted")
 
 
+def pass_hits(times: np.ndarray, known: np.ndarray, recent: deque, limit: int, span: int) -> np.ndarray:
+    """Which of one key's hits pass, in order of time; `recent` are admitted times before them and is brought
+    up to date, `known` ones pass whatever the window holds.
+
+    A refused hit changes nothing: from a full window the next hit that can pass is the first one a window after
+    the oldest admitted one, found by a binary search.  Steps grow with the admitted hits alone."""
+    out, at, n = known.copy(), 0, len(times)
+    sure = np.append(np.flatnonzero(known), n)
+    while at < n:
+        while recent and recent[0] <= times[at] - span:
+            recent.popleft()
+        if known[at] or len(recent) < limit:
+            out[at] = True
+            recent.append(int(times[at]))
+            at += 1
+        else:
+            free = int(np.searchsorted(times, recent[len(recent) - limit] + span)) if limit else n
+            at = min(max(free, at + 1), int(sure[np.searchsorted(sure, at)]))
+    return out
+
+
 def _folder(limit: int, span: int):
+    """Folds the runs of a task, which come together and in order of time."""
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, recent = None, deque()
         for frame in frames:
-            admitted = []
-            for k, run, t, known in zip(frame["_k"], frame["_run"], frame["_t"], frame["_known"]):
-                if (k, run) != current:
-                    current, recent = (k, run), deque()
-                while recent and recent[0] <= t - span:
-                    recent.popleft()
-                ok = bool(known) or len(recent) < limit
-                if ok:
-                    recent.append(t)
-                admitted.append(ok)
-            out = frame[["_k", "_t", "_id"]].assign(admitted=admitted)
-            yield out[~frame["_known"].astype(bool)]
+            codes = pd.factorize(frame["_k"])[0]  # a null key is a key
+            runs, times = frame["_run"].to_numpy(np.int64), frame["_t"].to_numpy(np.int64)
+            known = frame["_known"].to_numpy(bool)
+            edges = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (runs[1:] != runs[:-1])) + 1), len(frame)]
+            parts = []
+            for begin, end in zip(edges, edges[1:], strict=False):
+                if begin == end:
+                    continue
+                own = None if codes[begin] < 0 else frame["_k"].iloc[begin], runs[begin]
+                if own != current:
+                    current, recent = own, deque()
+                parts.append(pass_hits(times[begin:end], known[begin:end], recent, limit, span))
+            if parts:
+                yield frame[["_k", "_t", "_id"]].assign(admitted=np.concatenate(parts))[~known]
     return fold

@@ -53,6 +53,19 @@ def content_groups(hashed: DataFrame, pos: str = "pos") -> DataFrame:
                   .agg(F.min(pos).alias("first_pos"), F.count("*").alias("copies")))
 
 
+def content_sketches(hashed: DataFrame, by: list[str], lg_k: int = 14) -> DataFrame:
+    """(by…, sketch): a mergeable sketch of the different contents of each group, of a fixed size.
+
+    A batch's sketches are stored once; its texts and hashes are not needed again."""
+    return (hashed.filter(F.col("source_sha256").isNotNull()).groupBy(*by)
+            .agg(F.hll_sketch_agg("source_sha256", F.lit(lg_k)).alias("sketch")))
+
+
+def distinct_contents(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(by…, contents): about how many different contents the groups' stored sketches have seen together."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("contents"))
+
+
 def unique_texts(hashed: DataFrame, pos: str = "pos") -> DataFrame:
     """The first document of every distinct content.  Texts cross the network once."""
     first = content_groups(hashed, pos).select(F.col("first_pos").alias(pos))

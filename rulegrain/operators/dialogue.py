@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rulegrain import reference_values as V
 from rulegrain.functions import scalars as S
 from rulegrain.operators.scan import FANOUT, LEVELS, steps_before
+from rulegrain.rules import with_rules
 from rulegrain.session import settle
 
 STEPS = ["welcome", "lang", "hospital", "income", "household", "insurance", "collections", "done"]
@@ -90,26 +91,46 @@ def converse(messages: DataFrame, entry: DataFrame | None = None, fanout: int =
         .withColumn("reply", reply_key(step)) \
         .withColumn("lang", F.when(F.col("restart") | (step == WELCOME), F.lit("en"))
                     .otherwise(F.coalesce("said_lang", F.lit("en"))))
-    once = message_features(alone).withColumn("step", F.lit(WELCOME)) \
-        .withColumn("session", F.col("restart").cast("bigint")) \
-        .withColumn("reply", reply_key(F.lit(WELCOME))).withColumn("lang", F.lit("en"))
-    return told.unionByName(once, allowMissingColumns=True)
+    return told.unionByName(answered_alone(message_features(alone)), allowMissingColumns=True)
 
 
-def plan_replies(told: DataFrame, policies: DataFrame, row_id: str = "pos") -> DataFrame:
-    """The plan message of conversations that just completed, as ordered text keys.
+def answered_alone(featured: DataFrame) -> DataFrame:
+    """Messages without sender: each one opens a conversation that nobody remembers."""
+    return (featured.withColumn("step", F.lit(WELCOME)).withColumn("session", F.col("restart").cast("bigint"))
+            .withColumn("reply", reply_key(F.lit(WELCOME))).withColumn("lang", F.lit("en")))
 
-    A tier without a text of its own (an unreadable policy) gives the apology reply."""
+
+def _scored(told: DataFrame, reply: str, policies: DataFrame, row_id: str) -> DataFrame:
+    """Messages with that reply, scored by their session's answers against the hospital named in it."""
     from rulegrain.operators import eligibility as E
 
-    done = told.filter(F.col("reply") == "plan").select(
+    done = told.filter(F.col("reply") == reply).select(
         "sender", "at", "lang", "hospital_id", "insured", "in_collections",
         F.col("income").alias("annual_income"),
         F.col("household").cast("int").alias("household_size"))
     scored = (done.join(policies, F.col("hospital_id") == F.col(row_id))
               .withColumn("fpl_pct", S.fpl_percent(F.col("annual_income"),
                                                    F.col("household_size"))))
-    tiered = E.with_policy_tier(scored)
+    return E.with_policy_tier(scored)
+
+
+def letter_replies(told: DataFrame, policies: DataFrame, today: str, row_id: str = "pos") -> DataFrame:
+    """(sender, at, tier, letter): the letters asked for after a plan.  The sender is anonymous, so the
+    letter addresses the hospital in the name of `V.ANONYMOUS`."""
+    from rulegrain.operators import catalog as C
+
+    asked = _scored(told, "letter_sent", policies, row_id).withColumn("full_name", F.lit(V.ANONYMOUS))
+    if "state" not in asked.columns:
+        asked = asked.withColumn("state", F.lit(None).cast("string"))
+    lawful = with_rules(asked, out="_rules").withColumn("law", F.col("_rules.law")).drop("_rules", "phone", "address")
+    return C.letters(lawful, today).select("sender", "at", "tier", "letter")
+
+
+def plan_replies(told: DataFrame, policies: DataFrame, row_id: str = "pos") -> DataFrame:
+    """The plan message of conversations that just completed, as ordered text keys.
+
+    A tier without a text of its own (an unreadable policy) gives the apology reply."""
+    tiered = _scored(told, "plan", policies, row_id)
     lines = F.array_compact(F.array(
         F.concat(F.lit("plan_"), F.col("tier")), F.lit("plan_apply"), F.lit("plan_benefit"),
         F.when(F.col("in_collections"), F.lit("plan_debt")), F.lit("plan_letter"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,45 +18,83 @@ from rulegrain.session import settle
 
 
 def assign_slugs(rows: DataFrame, pos: str = "pos", name: str = "hospital", city: str = "city",
-                 ident: str = "oshpdid", most_rounds: int = 1000) -> DataFrame:
+                 ident: str = "oshpdid") -> DataFrame:
     """Add `slug` and `owner`: base slug for the first row, then name-city, then base-id.
 
-    A row takes its first form that no earlier row uses; the id form is taken in any case.  Rows whose
-    base form is nobody else's in any form have it at once.  The others are assigned again and again
-    from the first use of each slug, a combined minimum and two joins a round, until no row changes:
-    then each row agrees with those before it.  `owner` is false for rows whose slug a later row
-    overwrote."""
+    A row takes its first form that no earlier row uses; the id form is taken in any case.  Most rows need
+    no order at all.  After the first row of a base the base is in use, and after two rows of one
+    base and city the city form is, so all further ones have the id form.  Where nobody else claims a
+    form, who has it is known from those ranks.  What is left are two rows at most for each base and city whose
+    form somebody else claims as well.  All forms of a row begin with its base, so rivals have bases of which one
+    continues the other: they share the shortest such base, and each of these groups is settled in one ordered
+    pass that remembers the forms in use.  The number of jobs is fixed, whatever displaces what.
+
+    `owner` is false for rows whose slug a later row overwrote."""
     base = S.slugify(F.col(name))
     narrow = settle(rows.select(
         F.col(pos).alias("_pos"), base.alias("_base"),
         S.slugify(F.concat(F.col(name), F.lit("-"), F.coalesce(city, F.lit("")))).alias("_city"),
         F.concat(base, F.lit("-"), F.coalesce(F.col(ident).cast("string"), F.lit(""))).alias("_ident")))
-    forms = narrow.select("_pos", F.explode(F.array("_base", "_city", "_ident")).alias("_base"))
-    contested = forms.groupBy("_base").agg(F.min("_pos").alias("_a"), F.max("_pos").alias("_b")) \
-                     .filter("_a < _b").select("_base")
-    alone = narrow.join(contested, "_base", "left_anti").select("_pos", F.col("_base").alias("slug"))
-    state = settle(narrow.join(contested, "_base", "left_semi").withColumn("slug", F.col("_base")))
-    for _ in range(most_rounds):
-        used = state.groupBy("slug").agg(F.min("_pos").alias("_at"))
-        at = lambda form, out: used.select(F.col("slug").alias(form), F.col("_at").alias(out))
-        seen = state.join(at("_base", "_base_at"), "_base", "left").join(at("_city", "_city_at"), "_city", "left")
-        free = lambda out: F.col(out).isNull() | (F.col(out) >= F.col("_pos"))
-        following = settle(seen.select(
-            "_pos", "_base", "_city", "_ident", F.col("slug").alias("_before"),
-            F.when(free("_base_at"), F.col("_base")).when(free("_city_at"), F.col("_city"))
-             .otherwise(F.col("_ident")).alias("slug")))
-        state = following.drop("_before")
-        if following.filter("slug <> _before").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"slugs did not settle in {most_rounds} rounds")
-    decided = alone.unionByName(state.select("_pos", "slug"))
+    ranked = F.row_number().over(W.partitionBy("_base", "_city").orderBy("_pos"))
+    heads = narrow.withColumn("_rank", ranked).filter("_rank <= 2")
+    openers = heads.filter("_rank = 1").groupBy("_base").agg(F.min_by("_city", "_pos").alias("_first_city"))
+    one = lambda kind, *cols: narrow.select(*cols).distinct().select(F.col(cols[-1]).alias("_form"), F.lit(kind).alias("_kind"))
+    claims = one("base", "_base").unionByName(one("city", "_base", "_city")).unionByName(one("ident", "_ident"))
+    rival = settle(claims.groupBy("_form").count().filter("count > 1").select("_form"))
+    marked = lambda df, form, out: df.join(rival.select(F.col("_form").alias(form), F.lit(True).alias(out)), form, "left")
+    opening = F.col("_city") == F.col("_first_city")         # the class of the base's first row
+    told = marked(marked(heads.join(openers, "_base"), "_base", "_base_rival"), "_city", "_city_rival")
+    told = settle(told.withColumn("_opens", opening & (F.col("_rank") == 1)).withColumn("_contested", F.coalesce(
+        F.col("_city_rival"), F.lit(False)) | (opening & F.coalesce(F.col("_base_rival"), F.lit(False))))
+        .select("_pos", "_base", "_city", "_ident", "_opens", "_contested", F.when(F.col("_opens"), F.col("_base"))
+                .when((F.col("_rank") == 1) | opening, F.col("_city")).otherwise(F.col("_ident")).alias("slug")))
+    later = narrow.join(told.select("_pos"), "_pos", "left_anti").withColumn("slug", F.col("_ident"))
+    known = told.filter("NOT _contested").select(*later.columns).unionByName(later)
+    # the earliest use of a rival form by a row that is settled already
+    taken = known.filter("slug = _ident").join(rival, F.col("slug") == F.col("_form"), "left_semi") \
+                 .groupBy("_base", "slug").agg(F.min("_pos").alias("_pos"))
+    turns = told.filter("_contested").select(
+        "_base", "_pos", F.when(F.col("_opens"), F.col("_base")).alias("_1"), F.col("_city").alias("_2"),
+        F.col("_ident").alias("_3")).unionByName(taken.select(
+            "_base", "_pos", F.lit(None).cast("string").alias("_1"), F.lit(None).cast("string").alias("_2"),
+            F.col("slug").alias("_3")).withColumn("_fixed", F.lit(True)), allowMissingColumns=True)
+    kind = narrow.schema["_pos"].dataType.simpleString()
+    passed = (turns.join(_shortest_base(turns), "_base").repartition("_root").sortWithinPartitions("_root", "_pos")
+              .select("_root", "_pos", "_1", "_2", "_3", F.coalesce("_fixed", F.lit(False)).alias("_fixed")).mapInPandas(_take_turns, f"_pos {kind}, slug string"))
+    decided = settle(known.select("_pos", "slug").unionByName(passed))
     last = decided.groupBy("slug").agg(F.max("_pos").alias("_last"))
     owned = decided.join(last, "slug").select(
         F.col("_pos").alias(pos), "slug", (F.col("_pos") == F.col("_last")).alias("owner"))
     return rows.join(owned, pos)
 
 
+def _shortest_base(turns: DataFrame) -> DataFrame:
+    """(_base, _root): the shortest of all bases that this one continues at a hyphen; a base without any
+    letter is continued by all."""
+    bases = turns.select("_base").distinct()
+    words = F.split("_base", "-")
+    begins = F.array_append(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(
+        F.slice(words, 1, n), "-")), F.lit(""))
+    return (unnest(bases.withColumn("_begins", begins), "_begins", "_root", ["_base"])
+            .join(bases.select(F.col("_base").alias("_root")), "_root")
+            .groupBy("_base").agg(F.min_by("_root", F.length("_root")).alias("_root")))
+
+
+def _take_turns(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a root come together and in order; each takes its first form that is not in use."""
+    root, used = None, set()
+    for frame in frames:
+        slugs = []
+        for own, *forms, fixed in zip(frame["_root"], frame["_1"], frame["_2"], frame["_3"], frame["_fixed"]):
+            if own != root:
+                root, used = own, set()
+            slug = next((f for f in forms[:2] if f is not None and f not in used), forms[2])
+            used.add(slug)
+            slugs.append(None if fixed else slug)
+        out = frame[["_pos"]].assign(slug=slugs)
+        yield out[out["slug"].notna()]
+
+
 # --- names -----------------------------------------------------------------------------------
 
 
@@ -84,31 +125,50 @@ def name_index(rows: DataFrame, pos: str = "pos", name: str = "hospital",
     return bare.unionByName(with_city)
 
 
+GRAM = 4            # the shortest text that may be part of a name
+
+
+def _grams(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (GRAM - 1)),
+                                        lambda at: F.substring(text, at, F.lit(GRAM))))
+
+
+def gram_index(index: DataFrame) -> DataFrame:
+    """(gram, key, ord, target): an inverted index of four-character grams over a `name_index`.
+
+    A key has as many rows as distinct grams.  Batches build it when they need it, a stream's is written once."""
+    long = index.filter(F.length("key") >= GRAM).withColumn("_grams", _grams(F.col("key")))
+    return unnest(long, "_grams", "gram", ["key", "ord", "target"])
+
+
+def first_containing(needles: DataFrame, postings: DataFrame) -> DataFrame:
+    """(_needle, _within): the first key, in index order, that contains each of the different texts.
+
+    A text is joined on the rarest of its grams alone and then compared, so rows grow with the
+    postings of rare grams; a gram that no key has ends the search of its text."""
+    longest = postings.agg(F.max(F.length("key"))).scalar()  # a longer text is in no key
+    asked = needles.filter(F.length("_needle").between(F.lit(GRAM), longest))
+    parts = unnest(asked.withColumn("_grams", _grams(F.col("_needle"))), "_grams", "gram", ["_needle"])
+    sizes = postings.groupBy("gram").agg(F.count("*").alias("_n"))
+    rarest = (parts.join(sizes, "gram", "left").groupBy("_needle")
+              .agg(F.min_by("gram", F.coalesce("_n", F.lit(0))).alias("gram"), F.count_if(F.col("_n").isNull()).alias("_none"))
+              .filter("_none = 0").select("_needle", "gram"))
+    return (rarest.join(postings, "gram").filter(F.contains("key", "_needle"))
+            .groupBy("_needle").agg(F.min_by("target", "ord").alias("_within")))
+
+
 def find_hospitals(requests: DataFrame, index: DataFrame, ids: DataFrame | None = None,
-                   request_id: str = "id") -> DataFrame:
+                   postings: DataFrame | None = None) -> DataFrame:
     """Add `target`: by exact id, else exact name, else the first key (in index order) that
     contains the name, if the name has four characters or more.
 
-    `requests`: request_id, name and, with `ids` (oshpdid, target), oshpdid.  The containment
-    step runs on distinct unmatched names only and as an equality join: keys are cut into the
-    substrings of exactly the lengths asked for, so no pair of name and key is formed that does
-    not match."""
+    `requests`: name and, with `ids` (oshpdid, target), oshpdid; `postings` is the `gram_index`
+    of the index where it is kept.  Only distinct names without an exact match are searched for."""
+    postings = gram_index(index) if postings is None else postings
     named = requests.withColumn("_key", F.upper("name")).withColumn("_needle", F.trim("_key"))
     exact = index.select(F.col("key").alias("_key"), F.col("target").alias("_exact"))
     joined = named.join(exact, "_key", "left")
-    # a text longer than every key matches none, so the lengths asked for stay few
-    longest = index.agg(F.max(F.length("key"))).scalar()
-    needles = (joined.filter(F.col("_exact").isNull() & (F.length("_needle") >= 4))
-               .select("_needle").distinct().filter(F.length("_needle") <= longest))
-    lengths = needles.agg(F.sort_array(F.collect_set(F.length("_needle")))).scalar()
-    pieces = unnest(index.withColumn("_lens", lengths), "_lens", "_n", ["key", "ord", "target"]) \
-        .filter(F.col("_n") <= F.length("key"))
-    pieces = pieces.withColumn("_cuts", F.transform(
-        F.sequence(F.lit(1), F.length("key") - F.col("_n") + 1),
-        lambda at: F.substring(F.col("key"), at, F.col("_n"))))
-    grams = unnest(pieces, "_cuts", "_needle", ["ord", "target"])
-    found = (grams.join(needles, "_needle", "left_semi").groupBy("_needle")
-             .agg(F.min_by("target", "ord").alias("_within")))
+    found = first_containing(joined.filter(F.col("_exact").isNull()).select("_needle").distinct(), postings)
     out = joined.join(found, "_needle", "left")
     best = F.coalesce("_exact", "_within")
     if ids is not None:
@@ -118,20 +178,6 @@ def find_hospitals(requests: DataFrame, index: DataFrame, ids: DataFrame | None
     return out.withColumn("target", best).select(*requests.columns, "target")
 
 
-def substring_index(index: DataFrame, shortest: int = 4) -> DataFrame:
-    """(gram, target): the first key, in index order, that contains each substring.
-
-    For lookups against a stream: written once, then joined by equality."""
-    size = F.length("key")
-    spans = unnest(index.filter(size >= shortest).withColumn(
-        "_lens", F.sequence(F.lit(shortest), size)), "_lens", "_n", ["key", "ord", "target"])
-    cuts = spans.withColumn("_cuts", F.transform(
-        F.sequence(F.lit(1), size - F.col("_n") + 1),
-        lambda at: F.substring(F.col("key"), at, F.col("_n"))))
-    return (unnest(cuts, "_cuts", "gram", ["ord", "target"])
-            .groupBy("gram").agg(F.min_by("target", "ord").alias("target")))
-
-
 def find_by_ccn(requests: DataFrame, roster: DataFrame, pos: str = "pos") -> DataFrame:
     """Add `target` by (state, ccn) only; names never resolve a statutory hospital."""
     keyed = roster.filter(S.blank_to_null(F.col("ccn")).isNotNull()).groupBy("state", "ccn").agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from rulegrain import reference_values as V
@@ -33,7 +33,25 @@ def diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
     """(key, hospital, change, deltas) for every key that is new, removed or changed.
 
     Of several records of one key the last counts (`last_records`)."""
-    c, b = last_records(current).alias("c"), last_records(baseline).alias("b")
+    return _diff(last_records(current), last_records(baseline), None)
+
+
+def observed_diff(current: DataFrame, baseline: DataFrame) -> tuple[DataFrame, Observation]:
+    """`diff`, and what the guards count, collected while its rows are made.
+
+    Both sides are counted by key where they meet, in the stage whose tasks make the result, so a
+    task that runs again counts once.  The counts are there after one action on the rows."""
+    counts = Observation()
+    return _diff(last_records(current), last_records(baseline), counts), counts
+
+
+def observed_metrics(counts: Observation) -> tuple[int, int, int, int]:
+    """(n, removed, current, baseline) as `guard_metrics` has them for snapshots without repeated keys."""
+    return tuple(counts.get[name] for name in ("n", "removed", "current", "baseline"))
+
+
+def _diff(current: DataFrame, baseline: DataFrame, counts: Observation | None) -> DataFrame:
+    c, b = current.alias("c"), baseline.alias("b")
     joined = c.join(b, F.col("c.key") == F.col("b.key"), "full_outer")
     deltas = []
     for section in COMPARED:
@@ -49,7 +67,7 @@ def diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
     silent = F.array_compact(F.array(F.when(
         cs != bs, F.lit("content"))))
     no_deltas = F.array().cast("array<string>")
-    return joined.select(
+    met = joined.select(
         F.coalesce("c.key", "b.key").alias("key"),
         F.coalesce("c.hospital", "b.hospital").alias("hospital"),
         F.when(F.col("b.key").isNull(), F.lit("new"))
@@ -57,11 +75,15 @@ def diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
          .otherwise(F.lit("common")).alias("change"),
         stated.alias("_stated"), silent.alias("_silent")) \
         .withColumn("deltas", F.when(F.col("change") != "common", no_deltas)
-                    .when(F.size("_stated") > 0, F.col("_stated")).otherwise(F.col("_silent"))) \
-        .filter((F.col("change") != "common") | (F.size("deltas") > 0)) \
-        .select("key", "hospital",
-                F.when(F.col("change") == "common", F.lit("changed"))
-                 .otherwise(F.col("change")).alias("change"), "deltas")
+                    .when(F.size("_stated") > 0, F.col("_stated")).otherwise(F.col("_silent")))
+    differs = (F.col("change") != "common") | (F.size("deltas") > 0)
+    if counts is not None:
+        met = met.observe(counts, F.count_if(differs & (F.col("change") != "removed")).alias("n"),
+                          F.count_if(F.col("change") == "removed").alias("removed"),
+                          F.count_if(F.col("change") != "removed").alias("current"),
+                          F.count_if(F.col("change") != "new").alias("baseline"))
+    return met.filter(differs).select("key", "hospital", F.when(F.col("change") == "common", F.lit("changed"))
+                                      .otherwise(F.col("change")).alias("change"), "deltas")
 
 
 def last_records(snapshot: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from rulegrain.operators import snapshots as N
 from rulegrain.operators import splice as J
 from rulegrain.plans import bindings as B
 from rulegrain.plans.registry import query
+from rulegrain.session import scratch_path
 
 # --- splice: orders by status; the second dataset has one row per order line -----------------
 
@@ -102,6 +103,18 @@ def content_dedup(spark, sf_dir):
     return D.content_groups(hashed(spark, sf_dir))
 
 
+@query("a08_distinct_sketches", f"""WITH {SQL_HASHED} SELECT lang, count(DISTINCT source_sha256) AS exact, true AS close FROM hashed WHERE source_sha256 IS NOT NULL GROUP BY 1""")
+def distinct_sketches(spark, sf_dir):
+    """Eight batches leave their sketches in a table; their union is held against the exact number."""
+    path, docs = scratch_path(spark, "sketches"), hashed(spark, sf_dir).withColumn("batch", F.col("pos") % 8)
+    D.content_sketches(docs, ["batch", "lang"]).write.partitionBy("batch").parquet(path)
+    about = D.distinct_contents(spark.read.parquet(path), ["lang"])
+    exact = docs.filter("source_sha256 IS NOT NULL").groupBy("lang").agg(F.countDistinct("source_sha256").alias("exact"))
+    known = about.withColumnRenamed("lang", "_lang")
+    return exact.join(known, exact["lang"].eqNullSafe(known["_lang"])).select(
+        "lang", "exact", (F.abs(F.col("contents") - F.col("exact")) <= F.col("exact") * 0.02).alias("close"))
+
+
 @query("a08_unique_texts", f"""WITH {SQL_HASHED} SELECT h.pos, length(text) AS chars FROM hashed h JOIN grouped g ON h.pos = g.first_pos""")
 def unique_texts(spark, sf_dir):
     return D.unique_texts(hashed(spark, sf_dir)).select("pos", F.length("text").cast("bigint").alias("chars"))
@@ -240,6 +253,15 @@ def guard_metrics(spark, sf_dir):
     return N.guard_metrics(N.diff(cur, base), cur, base)
 
 
+@query("a15_observed_guards", f"""WITH {SQL_DIFF} SELECT (SELECT count(*) FROM changes WHERE change <> 'removed') AS n,
+ (SELECT count(*) FROM changes WHERE change = 'removed') AS removed, (SELECT count(*) FROM cur) AS current, (SELECT count(*) FROM base) AS baseline""")
+def observed_guards(spark, sf_dir):
+    """The same counts, collected while the changes are written."""
+    found, counts = N.observed_diff(snapshot(spark, sf_dir, CURRENT), snapshot(spark, sf_dir, BASE))
+    found.write.parquet(scratch_path(spark, "changes"))
+    return spark.createDataFrame([N.observed_metrics(counts)], "n bigint, removed bigint, current bigint, baseline bigint")
+
+
 @query("a16_refresh_decision", f"""WITH {SQL_DIFF}, t AS (SELECT region, change <> 'removed' AS n, change = 'removed' AS removed, false AS c, false AS b FROM changes
  UNION ALL SELECT region, false, false, true, false FROM cur UNION ALL SELECT region, false, false, false, true FROM base),
 m AS (SELECT region, count_if(n) AS n, count_if(removed) AS removed, count_if(c) AS current, count_if(b) AS baseline FROM t GROUP BY 1),

@@ -309,20 +309,24 @@ def leaked_fields(spark, sf_dir):
     return merged.select("lang", "key", C.leaked(filled).alias("leaked"))
 
 
-_SQL_LETTER = C.LETTER.replace("'", "''")
-for _field, _value in {
-        "name": "coalesce(nullif(trim(full_name), ''), '[Your full name]')", "address": "'[Your address]'",
-        "phone": "'[Your phone]'", "today": "'July 14, 2026'", "hospital": B.sql_title("hospital"),
-        "account": "'[account number if known]'", "service_date": "'[date of service]'",
-        "ask": "CASE WHEN tier = 'free' THEN 'free (fully charity) care' ELSE 'a charity-care discount' END",
-        "law": "law", "household": "household_size", "income:,": "format('{:,}', annual_income)",
-        "pct:.0f": "cast(round_even(fpl_pct, 0) as bigint)"}.items():
-    _SQL_LETTER = _SQL_LETTER.replace("{" + _field + "}", f"' || {_value} || '")
+def sql_letter(full_name: str = "full_name", household_size: str = "household_size",
+               annual_income: str = "annual_income") -> str:
+    """The letter as the inside of a SQL text."""
+    out = C.LETTER.replace("'", "''")
+    for field, value in {
+            "name": f"coalesce(nullif(trim({full_name}), ''), '[Your full name]')", "address": "'[Your address]'",
+            "phone": "'[Your phone]'", "today": "'July 14, 2026'", "hospital": B.sql_title("hospital"),
+            "account": "'[account number if known]'", "service_date": "'[date of service]'",
+            "ask": "CASE WHEN tier = 'free' THEN 'free (fully charity) care' ELSE 'a charity-care discount' END",
+            "law": "law", "household": household_size, "income:,": f"format('{{:,}}', {annual_income})",
+            "pct:.0f": "cast(round_even(fpl_pct, 0) as bigint)"}.items():
+        out = out.replace("{" + field + "}", f"' || {value} || '")
+    return out
 
 
 @query("r17_letter_merge", f"""WITH {SQL_SCORED}, t AS (SELECT s.*, {SQL_TIER} AS tier, CASE WHEN coalesce(state, 'CA') = 'CA' THEN 'California''s Hospital Fair Pricing Act' ELSE r.law END AS law
  FROM scored s JOIN rules r ON r.code = s.rule_code)
-SELECT intake_id, pos, md5('{_SQL_LETTER}') AS letter_md5 FROM t""")
+SELECT intake_id, pos, md5('{sql_letter()}') AS letter_md5 FROM t""")
 def letter_merge(spark, sf_dir):
     scored = scored_bills(spark, sf_dir).drop("phone").withColumn("law", F.col("rules.law")).withColumn(
         "tier", E.band_tier(F.col("fpl_pct"), F.col("free_band"), F.col("discount_band")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rulegrain.functions import evidence as T
 from rulegrain.operators import grounding as G
+from rulegrain.operators import proximity as P
 from rulegrain.plans import bindings as B
 from rulegrain.plans.registry import query
 
@@ -186,3 +187,14 @@ UNION ALL SELECT k, 'discount_payment.tiers[' || idx || '].fpl_high_pct', hi FRO
 def published_thresholds(spark, sf_dir):
     return B.policies(spark, sf_dir).select(
         F.col("pos").alias("k"), F.inline(G.published_thresholds(F.col("policy"))))
+
+
+@query("j13_proximity_exploded", f"""WITH {SQL_CLAIMS}, {SQL_SPANS}, best AS (SELECT * FROM support WHERE dist <= 600 OR inside QUALIFY row_number() OVER (PARTITION BY doc_id, ci ORDER BY mi, ki) = 1)
+SELECT c.doc_id, c.label, c.value, b.doc_id IS NOT NULL AS grounded, b.pos AS start, b.ms AS marker_start, b.me AS marker_end
+FROM claim c LEFT JOIN best b ON b.doc_id = c.doc_id AND b.ci = c.i""")
+def proximity_exploded(spark, sf_dir):
+    """Claims, mentions and markers as rows that meet in bins of the window's width."""
+    docs = claim_docs(spark, sf_dir)
+    texts = docs.select("doc_id", F.col("corpus").alias("text"))
+    claims = docs.select("doc_id", F.inline("claims"))
+    return P.ground_exploded(claims, P.mention_rows(texts, "doc_id"), P.marker_rows(texts, "doc_id"), "doc_id")

@@ -69,7 +69,7 @@ def score_requests(requests: DataFrame, rows: DataFrame, pos: str = "pos",
     generic — all as sent."""
     ids = rows.filter(S.blank_to_null(F.col("oshpdid")).isNotNull()).groupBy("oshpdid").agg(
         F.max(pos).alias("target"))
-    resolved = Y.find_hospitals(requests, Y.name_index(rows, pos), ids, request_id)
+    resolved = Y.find_hospitals(requests, Y.name_index(rows, pos), ids)
     served, lost = E.match_or_generic(resolved, F.col("target").isNotNull())
     accepted, invalid = E.coerce_intakes(served)
     scored = accepted.withColumn("fpl_pct", S.fpl_percent(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rulegrain import reference_values as V
 from rulegrain.functions import scalars as S
+from rulegrain.operators.asof import as_of
 from rulegrain.plans import bindings as B
 from rulegrain.plans.registry import query
 
@@ -49,6 +50,23 @@ def versioned_guideline(spark, sf_dir):
         S.poverty_limit_as_of(F.col("o_custkey") % 11, year).alias("usd"))
 
 
+# the guideline as announced: a revision for each order status every January and July from 1993 on
+_REVISIONS = """SELECT st AS status, make_date(1993 + i // 2, CASE WHEN i % 2 = 0 THEN 1 ELSE 7 END, 1) AS effective, 9000 + i * 310 + length(st) AS first_usd, 2000 + i * 55 AS next_usd"""
+
+
+@query("s04_guideline_as_of", f"""WITH v AS ({_REVISIONS.replace("length(st)", "ascii(st)")} FROM (SELECT unnest(['F', 'O']) AS st), (SELECT unnest(range(14)) AS i))
+SELECT o_orderkey, effective, cast(first_usd + next_usd * (greatest(o_custkey % 11, 1) - 1) as bigint) AS usd
+FROM orders o ASOF LEFT JOIN v ON o.o_orderstatus = v.status AND o.o_orderdate >= v.effective""")
+def guideline_as_of(spark, sf_dir):
+    """The guideline in force on each order's date; there is none before the first revision and none for some."""
+    revisions = spark.range(28).selectExpr("CASE WHEN id < 14 THEN 'F' ELSE 'O' END AS st", "CAST(id % 14 AS INT) AS i").selectExpr(
+        *[c.strip() for c in B.split_top(_REVISIONS.removeprefix("SELECT ").replace("length(st)", "ascii(st)").replace("//", "div"))])
+    orders = B.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.col("o_orderstatus").alias("status"))
+    found = as_of(orders, revisions, "o_orderdate", "effective", by=["status"], out="v")
+    size = F.greatest(F.col("o_custkey") % 11, F.lit(1))
+    return found.select("o_orderkey", "v.effective", (F.col("v.first_usd") + F.col("v.next_usd") * (size - 1)).cast("bigint").alias("usd"))
+
+
 @query("s05_dollars_for", f"""WITH {B.SQL_POLICY}
 SELECT k, cast(k % 11 as int) AS household_size, CASE WHEN k % 11 BETWEEN 1 AND 8 AND
  free_table_pct <> 0 THEN cast(round_even({B.sql_limit('k % 11')} * free_table_pct / 100, 0) as bigint)

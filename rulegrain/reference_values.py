@@ -139,6 +139,7 @@ STOPWORD_STEMS = ["the", "and", "of", "to", "for", "is", "or", "patient", "hospi
 UNINSURED_WORDS = ["none", "uninsured", "self-pay"]
 RESTART_WORDS = ["start", "restart", "reset", "inicio"]
 LETTER_WORDS = ["letter", "carta"]
+ANONYMOUS = "there"
 YES_WORDS = ["y", "yes", "yeah", "yep", "si", "sí", "s", "1", "true"]
 NO_WORDS = ["n", "no", "nope", "0", "false"]
 

@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from rulegrain import schemas
 
 
+_CORRUPT = "_corrupt_record"
+
+
 def _text_keys(kind: T.DataType) -> T.DataType:
     """JSON objects have text keys, so maps are read with them and cast afterwards."""
     if isinstance(kind, T.MapType):
@@ -30,6 +33,35 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType,
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def parsed_records(texts: DataFrame, schema: T.StructType, text: str = "value") -> DataFrame:
+    """One JSON record a row -> its fields and `corrupt`, the text of a row that is none; blank rows go."""
+    kind = T.StructType([*_text_keys(schema).fields, T.StructField(_CORRUPT, T.StringType())])
+    made = (texts.filter(F.trim(F.translate(text, "\r\n\t", "   ")) != "")
+            .select(F.from_json(text, kind, {"columnNameOfCorruptRecord": _CORRUPT}).alias("r")))
+    return made.select(*[F.col("r")[f.name].cast(f.dataType).alias(f.name) for f in schema.fields],
+                       F.col("r")[_CORRUPT].alias("corrupt"))
+
+
+def read_checked(spark: SparkSession, path: str, schema: T.StructType,
+                 indent: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, broken): the records of a JSON file, and the texts (`corrupt`) that are no record.
+
+    One record per line or, with `indent`, an array whose records stand `indent` blanks deep, as indenting writers
+    leave it.  Such a file is cut where a record closes, which no text inside it can imitate, so both forms are split
+    over tasks before they are parsed."""
+    if indent is None:
+        texts = spark.read.text(path)
+    else:
+        close = "\n" + " " * indent + "}"
+        pieces = spark.read.option("lineSep", close + ",").text(path)
+        body = F.regexp_replace("value", r"\A\s*\[(?=\s*(\{|\]|\z))", "")
+        last = F.col("value").rlike(r"\n\]\s*\z") | F.trim("value").isin("[]", "")
+        texts = pieces.select(F.when(last, F.regexp_replace(body, r"\]\s*\z", "")).otherwise(
+            F.concat(body, F.lit(close))).alias("value"))
+    parsed = parsed_records(texts, schema)
+    return parsed.filter("corrupt IS NULL").drop("corrupt"), parsed.filter("corrupt IS NOT NULL").select("corrupt")
+
+
 def read_roster_csv(spark: SparkSession, path: str,
                     schema: T.StructType = schemas.ROSTER_CSV) -> DataFrame:
     """A header CSV by column name; a byte-order mark before the first name is ignored."""

@@ -26,6 +26,49 @@ def write_json_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+class KeyedTable:
+    """A table with one row a `key`, in folders by the hash of the key.
+
+    A merge reads and rewrites only the buckets that hold a touched key; the others stay as
+    they are.  New buckets are written aside first, since a table cannot be overwritten while it is
+    read; the same merge run again gives the same table."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = 64):
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int"))
+
+    def _stored(self) -> DataFrame:
+        if not exists(self.spark, f"{self.path}/rows"):
+            return self.spark.createDataFrame([], f"{self.schema}, bucket int")
+        return self.spark.read.schema(f"{self.schema}, bucket int").parquet(f"{self.path}/rows")
+
+    def read(self) -> DataFrame:
+        return self._stored().filter("key IS NOT NULL").drop("bucket")
+
+    def merge(self, rows: DataFrame, removed: DataFrame | None = None) -> list[int]:
+        """Put `rows` (one a key) in place of rows of the same keys, take `removed` keys out; returns
+        the buckets that were rewritten, of which there are `self.buckets` at most."""
+        names = self.read().columns
+        new = self._bucketed(rows.select(*names))
+        gone = self._bucketed(removed.select("key")) if removed is not None else new.select("key", "bucket").limit(0)
+        touched = [r[0] for r in new.select("bucket").union(gone.select("bucket")).distinct().collect()]
+        if touched:
+            keys = new.select("key").unionByName(gone.select("key"))
+            kept = self._stored().filter(F.col("bucket").isin(touched) & F.col("key").isNotNull()).join(
+                keys, "key", "left_anti")
+            # a bucket that loses all its rows gets a row without a key, so that it is overwritten as well
+            empty = gone.select("bucket").distinct().select(
+                *[F.lit(None).cast(f.dataType).alias(f.name) for f in self.read().schema.fields], "bucket")
+            aside = f"{self.path}/aside"
+            kept.unionByName(new).unionByName(empty).write.mode("overwrite").parquet(aside)
+            (self.spark.read.schema(f"{self.schema}, bucket int").parquet(aside).repartition("bucket")
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket")
+             .parquet(f"{self.path}/rows"))
+        return sorted(touched)
+
+
 class ResultCache:
     """Results keyed by content hash in an append-only Parquet folder; of several results of one
     content the one appended last counts, within one append the largest by its columns."""

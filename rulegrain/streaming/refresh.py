@@ -1,4 +1,4 @@
-"""Incremental refresh: every arriving snapshot is compared, guarded and, if sound, adopted."""
+"""Incremental refresh: every arriving snapshot is compared, guarded and, if sound, merged."""
 
 from __future__ import annotations
 
@@ -10,38 +10,55 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rulegrain import reference_values as V
 from rulegrain.operators import snapshots as N
-from rulegrain.streaming.state import BatchState
+from rulegrain.sources.readers import exists
+from rulegrain.sources.sinks import KeyedTable
 
 SNAPSHOT = ("key string, hospital string, charity_care struct<url:string,effective_date:string>, "
             "discount_payment struct<url:string,effective_date:string>, content_sha string")
+METRICS = "n bigint, removed bigint, current bigint, baseline bigint"
+BUCKETS = 64
+
+
+def baseline_table(spark, folder: str, buckets: int = BUCKETS) -> KeyedTable:
+    return KeyedTable(spark, f"{folder}/baseline", SNAPSHOT, buckets)
 
 
 def refresh(current: DataFrame, folder: str, batch_id: int,
             on_change: Callable[[DataFrame, int], None] | None = None,
             max_changed: int = V.REFRESH_MAX_CHANGED,
-            max_removed: int = V.REFRESH_MAX_REMOVED) -> str:
+            max_removed: int = V.REFRESH_MAX_REMOVED, buckets: int = BUCKETS) -> str:
     """One refresh run; returns the decision.
 
-    The first snapshot becomes the baseline.  A later one is adopted as the new baseline only
-    when the guards let it proceed and `on_change` (re-extraction and merge of the changed keys)
-    succeeded; otherwise the baseline stays, so the change is seen again next time."""
+    The first snapshot becomes the baseline.  A later one is merged into it only when the guards let it
+    proceed and `on_change` (re-extraction of the changed keys) succeeded; otherwise the
+    baseline stays, so the change is seen again next time.  Only buckets that hold a changed key are
+    rewritten.
+
+    A run that is started again finds its changes and counts written and goes on from there; merging
+    them twice gives the same baseline."""
     spark = current.sparkSession
-    state = BatchState(spark, f"{folder}/baseline", SNAPSHOT)
-    incoming = f"{folder}/incoming/batch={batch_id:012d}"
-    current.write.mode("overwrite").parquet(incoming)
-    fresh = spark.read.schema(SNAPSHOT).parquet(incoming)
-    baseline = state.before(batch_id)
+    at = lambda kind: f"{folder}/{kind}/batch={batch_id:012d}"
+    baseline = baseline_table(spark, folder, buckets)
+    done = exists(spark, f"{at('metrics')}/_SUCCESS")
+    if not done:
+        current.write.mode("overwrite").parquet(at("incoming"))
+    fresh = spark.read.schema(SNAPSHOT).parquet(at("incoming"))
     if batch_id == 0:
-        state.write(fresh, batch_id)
+        baseline.merge(N.last_records(fresh))
         return "established"
-    out = f"{folder}/changes/batch={batch_id:012d}"
-    N.diff(fresh, baseline).write.mode("overwrite").parquet(out)
-    changes = spark.read.parquet(out)
-    verdict = N.decide(N.guard_metrics(changes, fresh, baseline), max_changed, max_removed)
+    if not done:
+        found, counts = N.observed_diff(fresh, baseline.read())
+        found.write.mode("overwrite").parquet(at("changes"))
+        spark.createDataFrame([N.observed_metrics(counts)], METRICS).write.mode("overwrite").parquet(at("metrics"))
+    changes = spark.read.parquet(at("changes"))
+    verdict = N.decide(spark.read.schema(METRICS).parquet(at("metrics")), max_changed, max_removed)
     decision = verdict.select("decision").first()[0]        # one row
-    if decision == "proceed" and on_change is not None:
-        on_change(changes.filter(F.col("change").isin("changed", "new")), batch_id)
-    state.write(fresh if decision in ("proceed", "none") else baseline, batch_id)
+    if decision == "proceed":
+        if on_change is not None:
+            on_change(changes.filter(F.col("change").isin("changed", "new")), batch_id)
+        keys = changes.select("key", "change")
+        baseline.merge(N.last_records(fresh).join(keys.filter("change <> 'removed'").select("key"), "key", "left_semi"),
+                       keys.filter("change = 'removed'").select("key"))
     return decision
 
 

@@ -1,37 +1,12 @@
-"""State that survives lost executors and replayed batches: one folder per batch id."""
+"""Where Spark keeps the state of keyed streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
-from rulegrain.sources.readers import exists
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-class BatchState:
-    """A table rewritten by every micro-batch.
-
-    Batch n reads what batch n - 1 wrote and writes its own folder, so running a batch again
-    gives the same result."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _folder(self, batch_id: int) -> str:
-        return f"{self.path}/batch={batch_id:012d}"
-
-    def _finished(self, batch_id: int) -> bool:
-        return exists(self.spark, self._folder(batch_id) + "/_SUCCESS")
-
-    def before(self, batch_id: int) -> DataFrame:
-        if batch_id > 0 and self._finished(batch_id - 1):
-            return self.spark.read.schema(self.schema).parquet(self._folder(batch_id - 1))
-        return self.spark.createDataFrame([], self.schema)
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(self._folder(batch_id))
-
-    def latest(self) -> DataFrame:
-        batch = 0
-        while self._finished(batch):
-            batch += 1
-        return self.before(batch)
+def use_state_store(spark: SparkSession) -> None:
+    """Keyed processors need the store that holds state on disk, with changes in the checkpoint folder."""
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

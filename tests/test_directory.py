@@ -1,5 +1,7 @@
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from rulegrain.operators import catalog as C
@@ -33,6 +35,43 @@ def test_slugs(spark):
     assert got == {row[0]: (slug, owner) for row, slug, owner in SLUGS}
 
 
+def plain_slugs(rows):
+    slug = lambda x: re.sub("[^a-z0-9]+", "-", (x or "").lower()).strip("-")
+    used, owner = set(), {}
+    out = {}
+    for pos, name, city, ident in sorted(rows):
+        base = slug(name)
+        form = next((f for f in (base, slug(f"{name or ''}-{city or ''}")) if f not in used), f"{base}-{ident or ''}")
+        used.add(form)
+        owner[form] = pos
+        out[pos] = form
+    return {pos: (form, owner[form] == pos) for pos, form in out.items()}
+
+
+@pytest.mark.parametrize("seed,hot", [(1, 0.0), (2, 0.3), (3, 0.6), (4, 0.0)])
+def test_slugs_against_one_pass(spark, seed, hot):
+    rng = random.Random(seed)
+    words = ["oak", "elm", "fir"] if seed != 4 else ["oak", "elm", "", "-"]
+    rows = [(i, "oak" if rng.random() < hot else "-".join(rng.choice(words) for _ in range(rng.randrange(1, 4))),
+             rng.choice(["oak", "elm", "fir", "fir elm", "", None]), rng.choice(["1", "2", "oak", "elm-fir", None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "pos long, hospital string, city string, oshpdid string").repartition(5)
+    assert {r.pos: (r.slug, r.owner) for r in Y.assign_slugs(df).collect()} == plain_slugs(rows)
+
+
+def test_a_chain_of_displacements_takes_no_more_jobs(spark):
+    def run(n):
+        rows = [(0, "w", "c0", "i")] + [(i + 1, "-".join(["w", *(f"c{k}" for k in range(i))][:i + 1]), f"c{i}", str(i)) for i in range(n)]
+        tracker, group = spark.sparkContext.statusTracker(), f"slugs-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = {r.pos: (r.slug, r.owner) for r in Y.assign_slugs(spark.createDataFrame(
+            rows, "pos long, hospital string, city string, oshpdid string")).collect()}
+        jobs = len(tracker.getJobIdsForGroup(group))
+        spark.sparkContext.setJobGroup("other", "other")
+        assert got == plain_slugs(rows)
+        return jobs
+    assert abs(run(40) - run(400)) <= 3      # the optimizer may merge a stage
+
+
 # hospitals in order, and which one a request names
 PLACES = [(1, "Harbor Medical Center", "Fresno"), (2, "Twin Hospital", "Fresno"), (3, "Twin Hospital", "Eureka"),
           (4, "St. Mary Medical", None), (5, "Harbor Medical", "Ukiah"), (6, "Twin Hospital", None)]
@@ -46,8 +85,24 @@ def test_lookup(spark):
     req = spark.createDataFrame([(i, name) for i, (name, _) in enumerate(REQUESTS)], "id int, name string")
     got = {r.id: r.target for r in Y.find_hospitals(req, Y.name_index(df)).collect()}
     assert got == {i: target for i, (_, target) in enumerate(REQUESTS)}
-    grams = {r.gram: r.target for r in Y.substring_index(Y.name_index(df)).collect()}
-    assert grams["MEDI"] == 1 and grams["MARY"] == 4
+    kept = Y.gram_index(Y.name_index(df)).collect()
+    assert {r.key for r in kept if r.gram == "MARY"} == {"ST. MARY MEDICAL"} and max(len(r.gram) for r in kept) == 4
+
+
+def test_lookup_against_a_scan(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("aab c") for _ in range(rng.randrange(1, 14)))
+    names = [word().strip() or "x" for _ in range(300)]
+    index = spark.createDataFrame([(n.upper(), i, i) for i, n in enumerate(dict.fromkeys(names))], "key string, ord long, target long")
+    keys = [(r.key, r.target) for r in index.collect()]
+    asked = [word() for _ in range(400)] + ["", None, "a" * 5000]
+    got = {r.id: r.target for r in Y.find_hospitals(spark.createDataFrame(list(enumerate(asked)), "id int, name string"), index).collect()}
+
+    def scan(name):
+        exact = [t for k, t in keys if name is not None and k == name.upper()]
+        needle = (name or "").upper().strip(" ")
+        return exact[0] if exact else next((t for k, t in keys if len(needle) >= 4 and needle in k), None)
+    assert got == {i: scan(name) for i, name in enumerate(asked)}
 
 
 def test_lookup_prefers_the_id(spark):

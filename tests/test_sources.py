@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from rulegrain import reference_values as V
@@ -23,6 +24,24 @@ def test_json_array_with_dollar_keys(spark, tmp_path):
     assert rows["B"].policy is None
 
 
+@pytest.mark.parametrize("indent", [1, 2, 4])
+def test_indented_arrays_are_cut_where_records_close(spark, tmp_path, indent):
+    rows = [{"hospital": f"H{i}\n}},", "policy": {"free_care": {"fpl_ceiling_pct": i}, "contact": {"notes": "[]},\n  },"}},
+             "review_reasons": ["]", "}"]} for i in range(200)]
+    for n in (0, 1, 200):
+        (tmp_path / f"{n}.json").write_text(json.dumps(rows[:n], indent=indent))
+        records, broken = readers.read_checked(spark, str(tmp_path / f"{n}.json"), schemas.EXTRACTED_ROW, indent=indent)
+        assert sorted(r.policy.free_care.fpl_ceiling_pct for r in records.collect()) == list(range(n)) and broken.count() == 0
+        assert {r.hospital for r in records.collect()} == {r["hospital"] for r in rows[:n]}
+
+
+def test_broken_lines_come_out_beside(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"hospital": "A"}\n\n{"hospital": "B", \n  \nnot json\n{"hospital": null}\n')
+    records, broken = readers.read_checked(spark, str(tmp_path / "a.jsonl"), schemas.EXTRACTED_ROW)
+    assert [r.hospital for r in records.collect()] == ["A", None]
+    assert {r.corrupt for r in broken.collect()} == {'{"hospital": "B", ', "not json"}
+
+
 def test_roster_csv_with_byte_order_mark(spark, tmp_path):
     path = tmp_path / "roster.csv"
     header = ("Facility ID,Facility Name,Address,City/Town,State,ZIP Code,County/Parish,Telephone Number,"

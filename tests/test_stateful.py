@@ -1,15 +1,20 @@
 import datetime as dt
 import random
+import time
 from collections import deque
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rulegrain import reference_values as V
 from rulegrain.operators import dialogue as D
 from rulegrain.operators.admission import admit
-from rulegrain.streaming import rate_limit, refresh
-from rulegrain.streaming.state import BatchState
+from rulegrain.operators import directory as Y
+from rulegrain.operators import snapshots
+from rulegrain.operators.admission import pass_hits
+from rulegrain.sources.sinks import KeyedTable
+from rulegrain.streaming import conversation, rate_limit, refresh
 
 START = dt.datetime(2026, 1, 1)
 
@@ -54,21 +59,45 @@ def test_exactly_one_window_old_is_expired(spark):
     assert {r.id: r.admitted for r in admit(df, 1, 60).collect()} == {"1": True, "2": True, "3": False}
 
 
+def test_refused_hits_are_jumped_over():
+    """Ten million hits of one key, of which thirty a minute pass."""
+    times = np.arange(10_000_000, dtype=np.int64) * 10_000          # a hundred a second, for a day and more
+    began = time.perf_counter()
+    passed = pass_hits(times, np.zeros(len(times), bool), deque(), 30, 60_000_000)
+    assert time.perf_counter() - began < 10
+    assert passed.sum() == 30 * -(-len(times) // 6000) and passed[:30].all() and not passed[30:6000].any()
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jumps_with_hits_that_pass_in_any_case(seed):
+    rng = random.Random(seed)
+    times = np.cumsum([rng.choice([0, 0, 1, 3, 20, 70]) for _ in range(3000)]).astype(np.int64)
+    known = np.array([rng.random() < 0.05 for _ in times])
+    recent, want = deque(), []
+    for t, sure in zip(times, known):
+        while recent and recent[0] <= t - 60:
+            recent.popleft()
+        want.append(bool(sure) or len(recent) < 4)
+        if want[-1]:
+            recent.append(t)
+    held, got = deque(), []
+    for at in range(0, 3000, 700):  # the state goes from one stretch to the next
+        got += pass_hits(times[at:at + 700], known[at:at + 700], held, 4, 60).tolist()
+    assert got == want and list(held) == list(recent)
+
+
 def test_admission_stream_equals_batch(spark, tmp_path):
     hits = sorted(random_hits(4, n=400), key=lambda h: h[1])
+    hits = [(None if k == "a" else k, ts, i) for k, ts, i in hits]
     # pieces end where time moves on
-    cuts = [0]
-    for want in (100, 200, 300):
-        cuts.append(next(i for i in range(want, 400) if hits[i][1] > hits[i - 1][1]))
-    for a, b in zip(cuts, [*cuts[1:], 400]):
-        spark.createDataFrame(hits[a:b], "key string, ts timestamp, id string").coalesce(1) \
-            .write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema("key string, ts timestamp, id string") \
-        .option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    rate_limit.admission_stream(source, str(tmp_path / "run"), lambda df, b: None, 3, 60,
-                                availableNow=True).awaitTermination()
-    got = {r.id: r.admitted for r in spark.read.parquet(str(tmp_path / "run/decided")).collect()}
-    assert got == python_admit(hits, 3, 60)
+    cuts = [0, next(i for i in range(200, 400) if hits[i][1] > hits[i - 1][1]), 400]
+    for a, b in zip(cuts, cuts[1:]):
+        spark.createDataFrame(hits[a:b], "key string, ts timestamp, id string").write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema("key string, ts timestamp, id string").parquet(str(tmp_path / "in"))
+        (rate_limit.admission_stream(source, 3, 60).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+         .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination())
+    got = {r.id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == python_admit([(k or "", ts, i) for k, ts, i in hits], 3, 60)
 
 
 class PythonTalk:
@@ -140,6 +169,36 @@ def test_answers_of_a_session(spark):
     assert (rows[10].reply, rows[10].lang, rows[10].income) == ("ask_household", "en", 5)
 
 
+def test_conversation_stream_answers_every_message(spark, tmp_path):
+    """The stream's replies, plans and letters are those of the batch, message by message."""
+    rows = [(s, at, text) for s, at, text, _ in random_talk(5, senders=3, n=80)] + [
+        ("", 0, "hello"), ("", 1, "start"), (None, 2, None)]
+    df = spark.createDataFrame(rows, "sender string, at long, text string")
+    places = spark.createDataFrame([(7, "ALPHA", "X"), (8, "OMEGA", "Y")], "pos long, hospital string, city string")
+    policies = spark.createDataFrame(
+        [(7, "ALPHA", "OR", ((200.0,), (None,), (400.0, [])), None)],
+        "pos long, hospital string, state string, policy struct<free_care:struct<fpl_ceiling_pct:double>,"
+        "high_medical_cost:struct<oop_threshold_pct_of_income:double>,discount_payment:struct<fpl_ceiling_pct:double,"
+        "tiers:array<struct<fpl_low_pct:double,fpl_high_pct:double,benefit:string,discount_basis:string,"
+        "patient_pays_pct:double>>>>, grounding struct<verdict:string>")
+    index = Y.name_index(places)
+    folder = str(tmp_path)
+    for piece in ("at < 37", "at >= 37"):
+        df.filter(piece).repartition(3).write.mode("append").parquet(f"{folder}/in")
+        arriving = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+        conversation.land_resolved(arriving, index, Y.gram_index(index), folder, availableNow=True).awaitTermination()
+        conversation.answer_resolved(spark, policies, folder, "July 1, 2026", availableNow=True).awaitTermination()
+    told = D.converse(Y.find_hospitals(df.withColumn("name", F.trim("text")), index).drop("name"))
+    some = ["sender", "at", "step", "session", "reply", "lang"]
+    read = lambda kind: spark.read.parquet(f"{folder}/{kind}").drop("batch")
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert read("replies").count() == len(rows) and same(read("replies").select(some), told.select(some))
+    plans, letters = D.plan_replies(told, policies), D.letter_replies(told, policies, "July 1, 2026")
+    assert plans.count() and letters.count()
+    assert same(read("plans").select(plans.columns), plans) and same(read("letters").select(letters.columns), letters)
+    assert "Oregon" in letters.first().letter or "ORS" in letters.first().letter
+
+
 def _snapshot(spark, keys, date="d"):
     return spark.createDataFrame([(k, k, ("u", date), ("u", "d"), None) for k in keys], refresh.SNAPSHOT)
 
@@ -159,5 +218,34 @@ def test_refresh_guards_and_adoption(spark, tmp_path):
     assert run(4, keys + ["new"], date="d2") == "cap"
     assert run(5, keys + ["new"]) == "none"
     assert seen == [["new"]]
-    assert run(3, keys + ["new"]) == "proceed"              # a replayed batch decides the same
-    assert BatchState(spark, f"{folder}/baseline", refresh.SNAPSHOT).latest().count() == 101
+    assert refresh.baseline_table(spark, folder).read().count() == 101
+    assert run(6, keys[1:] + ["newer"]) == "proceed"
+    assert run(6, keys[1:] + ["newer"]) == "proceed"        # a replayed batch decides and leaves the same
+    left = {r.key: r.charity_care.effective_date for r in refresh.baseline_table(spark, folder).read().collect()}
+    assert set(left) == {*keys[1:], "newer"} and set(left.values()) == {"d"}
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), "key string, v int", buckets=8)
+    table.merge(spark.createDataFrame([(f"k{i}", i) for i in range(200)], "key string, v int"))
+    files = lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in tmp_path.glob("t/rows/bucket=*/part-*.parquet")}
+    before = files()
+    touched = table.merge(spark.createDataFrame([("k3", -3), ("fresh", 1)], "key string, v int"),
+                          spark.createDataFrame([("k5",)], "key string"))
+    assert len(before) == 8 and 1 <= len(touched) <= 3
+    changed = {str(p) for p in set(before) ^ set(files())}
+    assert {int(p.split("bucket=")[1].split("/")[0]) for p in changed} == set(touched)
+    want = {f"k{i}": i for i in range(200) if i != 5} | {"k3": -3, "fresh": 1}
+    assert {r.key: r.v for r in table.read().collect()} == want
+    gone = spark.createDataFrame([(k,) for k in want], "key string")
+    table.merge(spark.createDataFrame([], "key string, v int"), gone)      # every bucket loses all its rows
+    assert table.read().collect() == []
+
+
+def test_observed_counts(spark):
+    cur = _snapshot(spark, [f"k{i}" for i in range(50)], date="d2")
+    base = _snapshot(spark, [f"k{i}" for i in range(20, 90)], date="d2").unionByName(_snapshot(spark, ["x"]))
+    found, counts = snapshots.observed_diff(cur, base)
+    rows = found.collect()
+    metrics = snapshots.guard_metrics(snapshots.diff(cur, base), cur, base).first()
+    assert snapshots.observed_metrics(counts) == tuple(metrics) and len(rows) == metrics.n + metrics.removed
