@@ -7,7 +7,7 @@ on with the pieces that changed until none does.  Tokens joined with their bytes
 order give the ids and the decoded bytes of a piece.
 
 The merge table is read from the file on each worker and is of the vocabulary's size.  A worker
-remembers `KNOWN_PIECES` pieces in a DuckDB table and `KNOWN_SEGMENTS` segments, then starts anew, so
+remembers `KNOWN_PIECES` pieces and `KNOWN_SEGMENTS` segments, then starts anew, so
 memory is bounded whatever the texts hold.  The query keeps the rows of all its steps, which are
 quadratic in a piece, so steps are sized by that; a piece of more than `LONG_BYTES` (a run of
 letters or signs without a break) is merged outside DuckDB, by a heap of pairs, in n log n time and
@@ -19,6 +19,7 @@ exist, their spelling is ordinary text; null ids and repeated rows are passed th
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import os
@@ -34,7 +35,7 @@ from pyspark.sql import types as T
 
 from rulegrain.llm import text_arrays as A
 
-KNOWN_PIECES = 1_000_000  # pieces a worker remembers
+KNOWN_PIECES = 400_000  # pieces a worker remembers
 KNOWN_SEGMENTS = 500_000  # segments a task remembers
 BATCH_BYTES = 3 << 19  # text that is looked up together
 STEP_PIECES = 30_000  # pieces a recursive query takes, or
@@ -43,6 +44,9 @@ STEP_ROWS = 8_000_000  # squares of their bytes, twice the rows of all steps
 LONG_BYTES = 1000  # longer pieces are merged one by one
 
 
+Coded = tuple[str, bytes]  # ids joined by blanks, and what they decode to
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
@@ -63,18 +67,17 @@ class Tables:
                     left.append(a), right.append(b), rank.append(r)
         self.ranks, self.bytes_of = ranks, {r: t for t, r in ranks.items()}
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        self.n_known = 0
+        self.known: dict[str, Coded] = {}
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         con = self.con
         merges = pa.table({"a": pa.array(left, pa.int32()), "b": pa.array(right, pa.int32()),
                            "rank": pa.array(rank, pa.int32())})
         tokens = pa.table({"rank": pa.array(ranks.values(), pa.int32()),
-                           "label": [f"{r}:{t.hex()}" for t, r in ranks.items()]})
+                           "id": [str(r) for r in ranks.values()], "hex": [t.hex() for t in ranks]})
         con.register("merges_in", merges)
         con.register("tokens_in", tokens)
         con.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
         con.execute("CREATE TABLE tokens AS SELECT * FROM tokens_in")
-        con.execute("CREATE TABLE known (text VARCHAR, label VARCHAR)")
         con.unregister("merges_in"), con.unregister("tokens_in")
 
     # low: per piece its minimum rank and the leftmost place of it, as one number;
@@ -108,11 +111,11 @@ class Tables:
       SELECT piece, place, token
       FROM state JOIN (SELECT piece, max(step) AS step FROM state GROUP BY piece) USING (piece, step)"""
     _READ = """
-      SELECT string_agg(t.label, ' ' ORDER BY d.place) AS label
+      SELECT string_agg(t.id, ' ' ORDER BY d.place) AS ids, string_agg(t.hex, '' ORDER BY d.place) AS hex
       FROM done d JOIN tokens t ON t.rank = d.token GROUP BY d.piece ORDER BY d.piece"""
 
-    def merge(self, pieces: list[bytes]) -> list[str]:
-        """Each piece's tokens in order, as 'id:hex id:hex'."""
+    def merge(self, pieces: list[bytes]) -> list[Coded]:
+        """Each piece's ids and its bytes decoded from them."""
         lengths = np.array([len(p) for p in pieces])
         token = np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(pieces), np.uint8)]
         begin = np.cumsum(lengths) - lengths
@@ -124,9 +127,10 @@ class Tables:
             "prev": pa.array(place - 1, mask=place == 0), "next": pa.array(place + 1, mask=last)}))
         self.con.execute(self._MERGE)
         self.con.unregister("start")
-        return self.con.sql(self._READ).to_arrow_table()["label"].to_pylist()
+        found = self.con.sql(self._READ).to_arrow_table()
+        return list(zip(found["ids"].to_pylist(), map(bytes.fromhex, found["hex"].to_pylist()), strict=True))
 
-    def merge_long(self, piece: bytes) -> str:
+    def merge_long(self, piece: bytes) -> Coded:
         """The same for one piece of any length: the leftmost pair of minimum rank comes off a heap;
         entries whose pair has changed since are passed over."""
         n, ranks, bytes_of = len(piece), self.ranks, self.bytes_of
@@ -155,29 +159,24 @@ class Tables:
                         heapq.heappush(heap, (new, at))
         out, p = [], 0
         while p < n:
-            out.append(f"{token[p]}:{bytes_of[token[p]].hex()}")
+            out.append(token[p])
             p = after[p]
-        return " ".join(out)
+        return " ".join(map(str, out)), b"".join(bytes_of[t] for t in out)
 
-    def labels(self, pieces: list[str]) -> dict[str, str]:
+    def coded(self, pieces: list[str]) -> dict[str, Coded]:
         """Tokens of each of the different pieces: known ones are looked up, the rest merged."""
-        self.con.register("asked", pa.table({"text": pa.array(pieces, pa.string())}))
-        found = self.con.sql("SELECT text, label FROM known JOIN asked USING (text)").to_arrow_table()
-        self.con.unregister("asked")
-        out = dict(zip(found["text"].to_pylist(), found["label"].to_pylist(), strict=True))
+        known = self.known
+        out = {p: known[p] for p in pieces if p in known}
         new = [p for p in pieces if p not in out]
-        if self.n_known + len(new) > KNOWN_PIECES:
-            self.con.execute("CREATE OR REPLACE TABLE known (text VARCHAR, label VARCHAR)")
-            self.n_known = 0
+        if len(known) + len(new) > KNOWN_PIECES:
+            known.clear()
         for part in _steps(new):
-            encoded = [p.encode() for p in part]
-            merged = [self.merge_long(encoded[0])] if len(encoded[0]) > LONG_BYTES else self.merge(encoded)
-            if len(encoded[0]) <= LONG_BYTES:  # long ones are not remembered
-                self.con.register("merged", pa.table({"text": pa.array(part, pa.string()), "label": merged}))
-                self.con.execute("INSERT INTO known SELECT text, label FROM merged")
-                self.con.unregister("merged")
-            out.update(zip(part, merged, strict=True))
-        self.n_known += len(new)
+            texts, encoded = zip(*part, strict=True)
+            long = len(encoded[0]) > LONG_BYTES
+            found = dict(zip(texts, [self.merge_long(encoded[0])] if long else self.merge(encoded), strict=True))
+            out.update(found)
+            if not long:  # long ones are not remembered
+                known.update(found)
         return out
 
 
@@ -186,14 +185,15 @@ def tables(path: str) -> Tables:
     return Tables(path)
 
 
-def _steps(pieces: list[str]) -> Iterator[list[str]]:
-    """Pieces that are merged together; one of more than LONG_BYTES is alone."""
+def _steps(pieces: list[str]) -> Iterator[list[tuple[str, bytes]]]:
+    """Pieces, with their bytes, that are merged together; one of more than LONG_BYTES is alone."""
     held, size, rows = [], 0, 0
-    for n, p in sorted(((len(p.encode()), p) for p in pieces), key=lambda x: x[0]):  # as many steps go together
+    for piece, data in sorted(((p, p.encode()) for p in pieces), key=lambda x: len(x[1])):  # as many steps go together
+        n = len(data)
         if held and (len(held) >= STEP_PIECES or size + n > STEP_BYTES or rows + n * n > STEP_ROWS or n > LONG_BYTES):
             yield held
             held, size, rows = [], 0, 0
-        held.append(p)
+        held.append((piece, data))
         size += n
         rows += n * n
     if held:
@@ -211,7 +211,7 @@ class _Texts:
 
         self.cut, self.own = regex.compile(pattern), tables(path)
         self.odd = re.compile(r" (?!\S)")
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.known: dict[str, Coded] = {}
 
     def segments(self, text: str) -> list[str]:
         if self.odd.search(text):
@@ -224,15 +224,18 @@ class _Texts:
         if len(self.known) + len(new) > KNOWN_SEGMENTS:
             self.known.clear()
             new = segments
-        pieces = {s: self.cut.findall(s) for s in new}
-        labels = self.own.labels(list(set(chain.from_iterable(pieces.values()))))
-        read = {}
-        for piece, label in labels.items():
-            pairs = [x.split(":") for x in label.split(" ")]
-            read[piece] = " ".join([x[0] for x in pairs]), bytes.fromhex("".join([x[1] for x in pairs]))
-        for segment, parts in pieces.items():
-            found = [read[p] for p in parts]
-            self.known[segment] = " ".join([x[0] for x in found]), b"".join([x[1] for x in found])
+        gc.disable()  # its many small tuples would be walked again and again
+        try:
+            pieces = {s: self.cut.findall(s) for s in new}
+            read = self.own.coded(list(set(chain.from_iterable(pieces.values()))))
+            for segment, parts in pieces.items():
+                if len(parts) == 1:
+                    self.known[segment] = read[parts[0]]
+                else:
+                    found = [read[p] for p in parts]
+                    self.known[segment] = " ".join([x[0] for x in found]), b"".join([x[1] for x in found])
+        finally:
+            gc.enable()
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         cut = [self.segments(t) for t in texts]

@@ -36,7 +36,7 @@ cum AS (SELECT d.*, coalesce(sum(chars) OVER (PARTITION BY sk ORDER BY k, doc_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d),
 blk AS (SELECT c.doc_id, c.source, c.sk, c.before, q.m, q.frame, least(
    cast(c.before AS bigint) // {source_mix.BLOCK_CHARS},
-   greatest(0, -(-cast(q.chars AS bigint) // {source_mix.BLOCK_CHARS}) - 1)) AS block
+   greatest(0, (cast(q.chars AS bigint) + {source_mix.BLOCK_CHARS} - 1) // {source_mix.BLOCK_CHARS} - 1)) AS block
   FROM cum c JOIN quota q USING (sk))
 SELECT doc_id, source, cast(block AS bigint) AS block,
        cast((block // m) * frame + l.slot AS bigint) AS slot, cast(before AS bigint) AS chars_before
