@@ -81,6 +81,42 @@ def statutory_message_keys() -> Column:
              .otherwise(F.array_compact(F.array(base, cap_note, hardship))))
 
 
+#: What each statutory message is filled with, by its key; facts keep their names.
+MESSAGE_ARGUMENTS = {
+    "cc_statutory_free": ["name", "law", "pct", "free_pct"],
+    "cc_statutory_discount": ["name", "law", "pct", "free_pct", "discount_pct", "cap"],
+    "cc_statutory_discount_nocap": ["name", "law", "pct", "free_pct", "discount_pct"],
+    "cc_statutory_discount_only": ["name", "law", "pct", "discount_pct", "cap"],
+    "cc_statutory_over": ["name", "law", "pct", "discount_pct"],
+    "cc_statutory_over_free_only": ["name", "law", "pct", "free_pct"],
+    "cc_payment_cap_payoff": ["law", "payment_cap_pct", "payment_cap_pct_professional", "payment_cap_pct_comprehensive",
+                              "payment_cap_payoff_months", "payment_cap_ceiling_pct"],
+    "cc_payment_cap": ["law", "payment_cap_pct", "payment_cap_ceiling_pct"],
+    "cc_hardship_extend": ["law", "hardship_ceiling_pct", "hardship_debt_pct"],
+    "cc_catastrophic": ["law", "catastrophic_cap_pct", "catastrophic_ceiling_pct"],
+    "cc_medical_hardship": ["law", "medical_hardship_entry_pct"],
+    "cc_program_suspended": ["name"],
+}
+
+
+def statutory_message_args() -> dict[str, Column]:
+    """The arguments of those messages, for a row of `statutory_facts` with its `hospital`."""
+    own = {"name": S.py_title(F.col("hospital")), "law": F.col("fact_law"), "pct": F.col("fpl_pct"),
+           "free_pct": F.col("free_band"), "discount_pct": F.col("discount_band"), "cap": F.col("income_cap_pct")}
+    own |= {f: F.col(f) for f in FACT_FIELDS if f not in ("income_cap_pct", "program_suspended")}
+    # a fact that the law does not state is in no message of its state
+    return {n: c if n == "pct" else F.coalesce(c.cast("string"), F.lit("")) for n, c in own.items()}
+
+
+def statutory_texts(facts: DataFrame, ids: list[str], catalog: DataFrame, out: str = "text") -> DataFrame:
+    """(ids…, out): the statutory message of each row of `statutory_facts` in the row's `lang`, from the catalog's
+    templates (English where a language lacks one).  Rows outside the law's reach have none."""
+    from rulegrain.operators import catalog as C
+
+    keyed = facts.filter("statutory").withColumn("_keys", statutory_message_keys())
+    return C.render(keyed, ids, "_keys", catalog, statutory_message_args(), numeric=("pct",), out=out)
+
+
 def page_note_keys() -> Column:
     """Keys of the notes a statutory hospital page shows, in page order."""
     r, free, disc = F.col("rules"), F.col("free_band"), F.col("discount_band")
@@ -304,10 +340,29 @@ def apply_keys(phone: Column, interest_free: Column) -> Column:
         F.when(interest_free, F.lit("step1_interest_free"))))
 
 
-def plan_struct(scored: DataFrame, out: str = "plan") -> DataFrame:
+_LINKS = {"policy_url": "charity_policy_url", "application_url": "application_url", "discount_policy_url": "discount_policy_url"}
+
+
+PLAN_LINKS = [*_LINKS.values(), "charity_effective_date"]
+
+
+def _hospital_links(df: DataFrame, today: str | None) -> list[Column]:
+    """Links and the date shown of a row's documents, as far as the row has them."""
+    links = [S.blank_to_null(F.col(c)).alias(name) for name, c in _LINKS.items() if c in df.columns]
+    if today is not None and "charity_effective_date" in df.columns:
+        links.append(S.effective_date_display(F.col("charity_effective_date"), F.lit(today).cast("date")).alias("effective_date"))
+    return links
+
+
+def _first_name(df: DataFrame) -> list[Column]:
+    return [F.col("first_name").alias("first")] if "first_name" in df.columns else []
+
+
+def plan_struct(scored: DataFrame, out: str = "plan", today: str | None = None) -> DataFrame:
     """The nested plan of rows from `with_policy_tier`; texts are catalog keys.
 
-    Needs: policy, hospital, needs_review, the free-care table, household_size, annual_income,
+    The first name, the links to the documents and the effective date (if it is not after `today`) are
+    part of it where the rows have them.  Needs: policy, hospital, needs_review, the free-care table, household_size, annual_income,
     insurance, in_collections, fpl_pct, tier, message_key."""
     size = F.col("household_size")
     phone = F.col("policy.contact.phone")
@@ -317,9 +372,9 @@ def plan_struct(scored: DataFrame, out: str = "plan") -> DataFrame:
         F.col("fpl_pct").alias("fpl_pct"), F.col("tier").alias("tier"),
         F.concat(F.lit("result_"), F.col("tier")).alias("headline"),
         F.struct(S.py_title(F.col("hospital")).alias("name"), phone.alias("phone"),
-                 F.coalesce(F.col("needs_review"), F.lit(False)).alias("needs_review"))
-         .alias("hospital"),
-        F.struct(size.alias("household"), F.col("annual_income").alias("income"))
+                 F.coalesce(F.col("needs_review"), F.lit(False)).alias("needs_review"),
+                 *_hospital_links(scored, today)).alias("hospital"),
+        F.struct(size.alias("household"), F.col("annual_income").alias("income"), *_first_name(scored))
          .alias("patient"),
         F.struct(F.col("message_key").alias("message"),
                  F.when(F.col("tier") == "free", S.dollars_for(
@@ -346,7 +401,7 @@ def generic_plan(intakes: DataFrame, out: str = "plan") -> DataFrame:
         F.struct(S.py_title(name).alias("name"), F.lit(False).alias("needs_review"))
          .alias("hospital"),
         F.struct(F.col("household_size").alias("household"),
-                 F.col("annual_income").alias("income")).alias("patient"),
+                 F.col("annual_income").alias("income"), *_first_name(intakes)).alias("patient"),
         F.struct(F.lit("cc_no_hospital").alias("message"),
                  apply_keys(F.lit(None).cast("string"), F.lit(False)).alias("apply"))
          .alias("charity"),
@@ -369,7 +424,8 @@ def statutory_plan(facts: DataFrame, out: str = "plan") -> DataFrame:
         F.concat(F.lit("result_"), F.col("tier")).alias("headline"),
         F.struct(S.py_title(F.col("hospital")).alias("name"), F.col("fact_state").alias("state"),
                  F.col("fact_law").alias("law")).alias("hospital"),
-        F.struct(F.col("household_size").alias("household"), F.col("annual_income").alias("income")).alias("patient"),
+        F.struct(F.col("household_size").alias("household"), F.col("annual_income").alias("income"),
+                 *_first_name(facts)).alias("patient"),
         F.struct(statutory_message_keys().alias("messages"), plan_extra_keys().alias("notes")).alias("charity"),
         F.array().cast("array<string>").alias("benefits"), debt_keys(owes).alias("debt"),
         F.transform("_doors", lambda d: d["label"]).alias("resources"),

@@ -332,3 +332,24 @@ def letter_merge(spark, sf_dir):
         "tier", E.band_tier(F.col("fpl_pct"), F.col("free_band"), F.col("discount_band")))
     return C.letters(scored, "July 14, 2026").select("intake_id", "pos",
                                                      F.md5("letter").alias("letter_md5"))
+
+
+_TWIN = "{name}|{address}|{phone}|{today}|{hospital}|{account}|{service_date}|Solicito {ask} por {law}: {household} personas, {income:,} USD ({pct:.0f}%)."
+_SQL_TWIN = _TWIN
+for _field, _value in {"name": "coalesce(nullif(trim(full_name), ''), '[Your full name]')", "address": "'[Your address]'", "phone": "'[Your phone]'",
+                       "today": "'July 14, 2026'", "hospital": B.sql_title("hospital"), "account": "'[account number if known]'",
+                       "service_date": "'[date of service]'", "ask": "CASE WHEN tier = 'free' THEN 'atención gratuita' ELSE 'un descuento' END",
+                       "law": "law", "household": "household_size", "income:,": "format('{:,}', annual_income)",
+                       "pct:.0f": "cast(round_even(fpl_pct, 0) as bigint)"}.items():
+    _SQL_TWIN = _SQL_TWIN.replace("{" + _field + "}", f"' || {_value} || '")
+
+
+@query("r17_letter_twin", f"""WITH {SQL_SCORED}, t AS (SELECT s.*, {SQL_TIER} AS tier, CASE WHEN coalesce(state, 'CA') = 'CA' THEN 'California''s Hospital Fair Pricing Act' ELSE r.law END AS law
+ FROM scored s JOIN rules r ON r.code = s.rule_code)
+SELECT intake_id, pos, md5('{_SQL_TWIN}') AS letter_md5 FROM t""")
+def letter_twin(spark, sf_dir):
+    """The letter's twin in another language: its template and its wording of the request."""
+    scored = scored_bills(spark, sf_dir).drop("phone").withColumn("law", F.col("rules.law")).withColumn(
+        "tier", E.band_tier(F.col("fpl_pct"), F.col("free_band"), F.col("discount_band")))
+    ask = F.when(F.col("tier") == "free", F.lit("atención gratuita")).otherwise(F.lit("un descuento"))
+    return C.letters(scored, "July 14, 2026", template=_TWIN, ask=ask).select("intake_id", "pos", F.md5("letter").alias("letter_md5"))

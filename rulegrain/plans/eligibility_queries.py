@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rulegrain import reference_values as V
 from rulegrain import rules as R
@@ -11,6 +12,7 @@ from rulegrain.functions import scalars as S
 from rulegrain.operators import eligibility as E
 from rulegrain.plans import bindings as B
 from rulegrain.plans.registry import query
+from rulegrain.sources.inline import inline_table
 
 
 def scored_intakes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,3 +410,77 @@ def parse_int_loose(spark, sf_dir):
                   "ELSE CAST(o_custkey AS STRING) END")
     return B.table(spark, sf_dir, "orders").select("o_orderkey",
                                                    S.parse_int_loose(text).alias("n"))
+
+
+# --- statutory messages in words: English for every key, Spanish for every other one -------------------------
+
+
+def _template(lang: str, key: str) -> str:
+    fields = [f"{{{a}:.0f}}" if a == "pct" else f"{{{a}}}" for a in E.MESSAGE_ARGUMENTS[key]]
+    return f"{lang} {key}: " + " / ".join(fields)
+
+
+_TEXTS = [("en", k, _template("en", k)) for k in E.MESSAGE_ARGUMENTS] + [
+    ("es", k, _template("es", k)) for k in list(E.MESSAGE_ARGUMENTS)[::2]]
+_SQL_ARGS = {"name": B.sql_title("hospital"), "law": "law", "pct": "cast(cast(round_even(fpl_pct, 0) as bigint) as varchar)",
+             "free_pct": "free_band", "discount_pct": "discount_band", "cap": "income_cap_pct"}
+
+
+def _sql_text(lang: str, key: str) -> str:
+    values = [f"coalesce(cast({_SQL_ARGS.get(a, a)} as varchar), '')" for a in E.MESSAGE_ARGUMENTS[key]]
+    return f"'{lang} {key}: ' || " + " || ' / ' || ".join(values)
+
+
+_SQL_WORDS = " ".join(f"WHEN '{k}' THEN CASE WHEN lang = 'es' THEN {_sql_text('es' if i % 2 == 0 else 'en', k)} ELSE {_sql_text('en', k)} END"
+                      for i, k in enumerate(E.MESSAGE_ARGUMENTS))
+
+
+@query("r10_message_texts", f"""WITH {SQL_FACTS}, f AS (SELECT *, {_SQL_KEYS} AS keys, CASE pos % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'es' ELSE 'fr' END AS lang
+ FROM (SELECT DISTINCT * FROM facts WHERE statutory)), w AS (SELECT intake_id, pos, i, CASE k {_SQL_WORDS} END AS text
+ FROM (SELECT *, unnest(string_split(keys, ',')) AS k, generate_subscripts(string_split(keys, ','), 1) AS i FROM f))
+SELECT intake_id, pos, string_agg(text, ' ' ORDER BY i) AS text FROM w GROUP BY ALL""")
+def message_texts(spark, sf_dir):
+    """Each household's message from each hospital it owes, once, in the hospital's language."""
+    facts = fact_bills(spark, sf_dir).dropDuplicates(["intake_id", "pos"]).withColumn(
+        "lang", F.expr("CASE pos % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'es' ELSE 'fr' END"))
+    kind = T.StructType([T.StructField(n, T.StringType()) for n in ("lang", "key", "template")])
+    return E.statutory_texts(facts, ["intake_id", "pos"], inline_table(spark, _TEXTS, kind))
+
+
+# --- requests by the law or by a policy ----------------------------------------------------------------------
+
+_ASKED = """o_orderkey AS id, concat('  ', lower(state), ' ') AS st, CASE WHEN o_orderkey % 5 = 0 THEN 'x' ELSE ccn END AS sid,
+ CAST(o_orderkey % 3000 AS {s}) AS oshpdid, 'nothing like it' AS name, o_orderkey % 2 = 0 AS generic, CAST(1 + o_custkey % 8 AS {s}) AS household,
+ CASE WHEN o_orderkey % 50 = 7 THEN 'much' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS {s}) END AS income,
+ CASE WHEN o_orderkey % 4 = 0 THEN 'Medicare' ELSE '' END AS insurance, o_orderkey % 3 = 0 AS in_collections,
+ CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE concat('Ana B ', o_custkey) END AS full_name"""
+_SQL_LAWFUL = "(SELECT code FROM rules WHERE code NOT IN ('US', 'CA') AND (free_pct IS NOT NULL OR discount_pct IS NOT NULL))"
+
+
+@query("r15_request_dispatch", f"""WITH {B.sql_roster_with_bands()}, {B.SQL_POLICY}, ask AS (SELECT {_ASKED.format(s="VARCHAR")}, upper(trim(concat('  ', lower(state), ' '))) AS code
+ FROM orders JOIN roster ON pos = o_custkey % 10 + 1), a AS (SELECT *, coalesce(code IN {_SQL_LAWFUL} AND sid <> '', false) AS lawful, try_cast(income as bigint) AS inc, cast(household as int) AS hh FROM ask),
+scored AS (SELECT *, {B.sql_pct('inc', 'hh')} AS fpl_pct, insurance <> '' AND lower(insurance) NOT IN ('none', 'uninsured', 'self-pay') AS insured FROM a),
+law AS (SELECT s.*, CASE WHEN b.pos IS NOT NULL THEN 'statutory' WHEN generic THEN 'generic' END AS route, CASE WHEN b.pos IS NOT NULL THEN {SQL_TIER} ELSE 'unknown' END AS tier, cast(null as varchar) AS link
+ FROM scored s LEFT JOIN banded b ON b.state = s.code AND b.ccn = s.sid WHERE lawful),
+met AS (SELECT s.*, p.* EXCLUDE (state), {_SQL_BAND} AS band FROM scored s LEFT JOIN pol p ON cast(p.k as varchar) = s.oshpdid WHERE NOT lawful),
+own AS (SELECT *, CASE WHEN k IS NOT NULL THEN 'hospital' WHEN generic THEN 'generic' END AS route, CASE WHEN k IS NOT NULL THEN split_part({_SQL_MATCH}, ':', 1) ELSE 'unknown' END AS tier,
+ CASE WHEN k IS NOT NULL THEN 'https://example.org/policy/' || k END AS link FROM met),
+done AS (SELECT id, route, tier, link, inc, full_name FROM law UNION ALL SELECT id, route, tier, link, inc, full_name FROM own)
+SELECT id, CASE WHEN route IS NULL OR inc IS NULL THEN NULL ELSE route END AS route, CASE WHEN route IS NULL OR inc IS NULL THEN NULL ELSE tier END AS tier,
+ CASE WHEN route IS NULL OR inc IS NULL THEN NULL ELSE coalesce(nullif(split_part(trim(full_name), ' ', 1), ''), 'there') END AS first, CASE WHEN route IS NULL OR inc IS NULL THEN NULL ELSE link END AS link,
+ CASE WHEN route IS NULL THEN 'hospital not found' WHEN inc IS NULL THEN 'income and household must be numbers' END AS error FROM done""")
+def request_dispatch(spark, sf_dir):
+    """Requests of both kinds: the state's law for a certification number, else the hospital's own policy."""
+    from rulegrain.plans import flows
+
+    roster = B.roster(spark, sf_dir)
+    asked = B.table(spark, sf_dir, "orders").join(roster, F.col("pos") == F.col("o_custkey") % 10 + 1).selectExpr(
+        *[c.strip() for c in B.split_top(_ASKED.format(s="STRING"))])
+    rows = B.policies(spark, sf_dir).withColumns({
+        "oshpdid": F.col("pos").cast("string"), "charity_policy_url": F.concat(F.lit("https://example.org/policy/"), F.col("pos")),
+        "charity_effective_date": F.lit("01/01/2020")})
+    plans, errors = flows.score_requests(asked, rows, roster=roster, today="2026-07-14")
+    at = lambda path: F.get_json_object("plan", path)
+    made = plans.select("id", "route", at("$.tier").alias("tier"), at("$.patient.first").alias("first"),
+                        at("$.hospital.policy_url").alias("link"))
+    return made.unionByName(errors.select("id", "error"), allowMissingColumns=True)

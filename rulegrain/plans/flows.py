@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rulegrain import reference_values as V
 from rulegrain.functions import scalars as S
 from rulegrain.operators import dedup as D
 from rulegrain.operators import directory as Y
@@ -61,28 +64,51 @@ def ground_dataset(rows: DataFrame, corpora: DataFrame, run_date: str) -> DataFr
                                                          "checked", "has_record")
 
 
-def score_requests(requests: DataFrame, rows: DataFrame, pos: str = "pos",
-                   request_id: str = "id") -> tuple[DataFrame, DataFrame]:
-    """Raw requests against extracted rows -> (plans, rejected).
+def _by_law() -> Column:
+    """Is the request for a hospital of a state whose law decides, by its certification number?"""
+    lawful = [r["code"] for r in V.RULES if r["code"] not in (V.DEFAULT_CODE, V.HOME_CODE)
+              and (r.get("free_pct") is not None or r.get("discount_pct") is not None)]
+    return F.coalesce(F.col("state").isin(lawful) & (F.col("ccn") != ""), F.lit(False))
+
+
+def score_requests(requests: DataFrame, rows: DataFrame, pos: str = "pos", request_id: str = "id",
+                   roster: DataFrame | None = None, today: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Raw requests -> (plans, rejected): against extracted rows or, for hospitals of states whose law decides,
+    against the law.
 
     `requests`: id, name, oshpdid, household, income, insurance, full_name, in_collections,
-    generic — all as sent."""
+    generic — all as sent; with a `roster` also st and sid, its state and certification number.  A
+    request that names both goes by the law alone; names never find a statutory hospital."""
     ids = rows.filter(S.blank_to_null(F.col("oshpdid")).isNotNull()).groupBy("oshpdid").agg(
         F.max(pos).alias("target"))
-    resolved = Y.find_hospitals(requests, Y.name_index(rows, pos), ids)
-    served, lost = E.match_or_generic(resolved, F.col("target").isNotNull())
+    by_name = requests
+    if roster is not None:
+        named = requests.withColumn("state", F.upper(F.trim("st"))).withColumn("ccn", F.trim("sid"))
+        by_name = named.filter(~_by_law()).drop("state", "ccn")
+        found = Y.find_by_ccn(named.filter(_by_law()), roster, pos)
+        lawful, lost_by_law = E.match_or_generic(found.drop("state", "ccn"), F.col("target").isNotNull())
+        lawful = lawful.withColumn("route", F.when(F.col("route") == "hospital", "statutory").otherwise(F.col("route")))
+    served, lost = E.match_or_generic(Y.find_hospitals(by_name, Y.name_index(rows, pos), ids), F.col("target").isNotNull())
+    if roster is not None:
+        kind = served.schema["target"].dataType
+        served = served.unionByName(lawful.withColumn("target", F.col("target").cast(kind)))
+        lost = lost.unionByName(lost_by_law.withColumn("target", F.col("target").cast(kind)))
     accepted, invalid = E.coerce_intakes(served)
     scored = accepted.withColumn("fpl_pct", S.fpl_percent(
         F.col("annual_income"), F.col("household_size"))).withColumn(
         "insured", S.is_insured(F.col("insurance")))
-    wanted = ["policy", "hospital", "needs_review", "grounding",
-              "free_care_income_ceiling_by_household"]
+    wanted = ["policy", "hospital", "needs_review", "grounding", "free_care_income_ceiling_by_household"]
+    wanted += [c for c in E.PLAN_LINKS if c in rows.columns]
     hospitals = rows.select(F.col(pos).alias("target"), *wanted)
     own = E.plan_struct(E.with_policy_tier(
-        scored.filter("route = 'hospital'").join(hospitals, "target")))
+        scored.filter("route = 'hospital'").join(hospitals, "target")), today=today)
     general = E.generic_plan(scored.filter("route = 'generic'")
                              .withColumn("hospital_name", F.col("name")))
-    plans = own.select(request_id, "route", F.to_json("plan").alias("plan")).unionByName(
-        general.select(request_id, "route", F.to_json("plan").alias("plan")))
+    made = [own, general]
+    if roster is not None:
+        places = E.with_statutory_bands(roster).select(
+            F.col(pos).alias("target"), "hospital", "state", "rules", "rural", "free_band", "discount_band")
+        made.append(E.statutory_plan(E.statutory_facts(scored.filter("route = 'statutory'").join(places, "target"))))
+    plans = reduce(DataFrame.unionByName, [p.select(request_id, "route", F.to_json("plan").alias("plan")) for p in made])
     errors = lost.select(request_id, "error").unionByName(invalid.select(request_id, "error"))
     return plans, errors
