@@ -11,7 +11,11 @@ out leaves its slots empty and the others keep their order.
 
 Defined cases: a null source is a source of its own; a null text has no characters; a text longer
 than a block spans the following block numbers; texts without characters go with the block where
-they fall; repeated rows all stay; an empty table gives no rows.  No row is dropped or repeated."""
+they fall; repeated rows all stay; an empty table gives no rows; other columns come back whatever their
+names.  No row is dropped or repeated.
+
+Weights are rounded to 1/FRAME and the frame repeats, so against unrounded weights the deviation grows with the
+number of frames; within one block it stays only against the rounded ones."""
 
 from __future__ import annotations
 
@@ -23,6 +27,7 @@ from rulegrain.llm.storage import Scratch
 FRAME = 1024  # slots; weights are rounded to 1/FRAME
 BLOCK_CHARS = 65536
 BUCKET_ROWS = 4096  # rows of a source that are numbered in one task, on average
+PLACE = ["mix_slot", "mix_block", "mix_chars_before"]  # columns of these names in the input are replaced
 _KEY = "coalesce(concat('=', source), '')"
 
 
@@ -81,8 +86,10 @@ def _numbered(docs: DataFrame, totals: DataFrame, seed: str) -> DataFrame:
     that holds most rows is summed in many tasks: within buckets first, then over bucket totals."""
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"),
                          F.coalesce("text", F.lit(""))))
-    wide = (docs.withColumn("mix_source", F.expr(_KEY)).withColumn("mix_key", key)
-                .withColumn("mix_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint")))
+    # the row's own columns are one column, so their names meet no others
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in PLACE]).alias("mix_own")
+    wide = docs.select(own, "doc_id", F.expr(_KEY).alias("mix_source"), key.alias("mix_key"),
+                       F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("mix_chars"))
     buckets = totals.select(F.col("source_key").alias("mix_source"), "chars",
                             F.greatest(F.lit(1), F.ceil(F.col("n_rows") / BUCKET_ROWS)).alias("n_buckets"))
     place = F.floor(F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("bigint") * F.col("n_buckets")
@@ -122,7 +129,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5, f
                     ["mix_source", "mix_nth"])
               .withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("slots")) * F.col("mix_frame")
                           + F.col("slot")))
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], "mix_slot", "mix_block", "mix_chars_before")
+    return placed.select("mix_own.*", *PLACE)
 
 
 def in_order(mixed: DataFrame, tasks: int) -> DataFrame:
