@@ -10,10 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rulegrain.functions import scalars as S
+from rulegrain.session import SCAN_TASKS
+
+
+#: Tables whose rows are costly to work on, in long texts.
+_TEXTS = {"documents", "pages", "conversations"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(rows) if name in _TEXTS else rows
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows in as many tasks as the session's `spark.rulegrain.scanTasks` says; as they are scanned without it.
+
+    A file of one row group is read by one task whatever its size: where tables are stored so, costly work on their
+    rows needs dealing out first.  Large tables have many row groups and need no setting."""
+    tasks = rows.sparkSession.conf.get(SCAN_TASKS, None)
+    return rows.repartition(int(tasks)) if tasks else rows
 
 
 # --- SQL spellings shared by oracles ---------------------------------------------------------

@@ -213,8 +213,7 @@ _SPARK_PAGE = _PAGE.format(day="date_format(o_orderdate, 'MM/dd/yyyy')")
 
 
 def _policy_pages(spark, sf_dir):
-    return B.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS page",
-                                                                   f"{_SPARK_PAGE} AS html")
+    return B.dealt(B.table(spark, sf_dir, "orders")).selectExpr("o_orderkey AS page", f"{_SPARK_PAGE} AS html")
 
 
 _A, _Bu, _C, _D = ("'https://host/Attachment?id=' || md5('a' || o_orderkey)", "'https://host/Attachment?id=b' || o_orderkey",

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Into how many tasks the text tables of the registered queries are dealt after the scan; unset, as scanned.
+SCAN_TASKS = "spark.rulegrain.scanTasks"
 
 
 def build(app: str = "rulegrain", **extra: str) -> SparkSession:
