@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 
 from rulegrain.llm import text_arrays as A
 
-KNOWN_PIECES = 400_000  # pieces a worker remembers
-KNOWN_SEGMENTS = 500_000  # segments a task remembers
+KNOWN_PIECES = 700_000  # pieces a worker remembers
+KNOWN_SEGMENTS = 700_000  # segments a task remembers
 BATCH_BYTES = 3 << 19  # text that is looked up together
 STEP_PIECES = 30_000  # pieces a recursive query takes, or
 STEP_BYTES = 150_000  # bytes, or
@@ -212,6 +212,7 @@ class _Texts:
         self.cut, self.own = regex.compile(pattern), tables(path)
         self.odd = re.compile(r" (?!\S)")
         self.known: dict[str, Coded] = {}
+        self.long: set[str] = set()  # these are not remembered
 
     def segments(self, text: str) -> list[str]:
         if self.odd.search(text):
@@ -224,6 +225,7 @@ class _Texts:
         if len(self.known) + len(new) > KNOWN_SEGMENTS:
             self.known.clear()
             new = segments
+        self.long.update(s for s in new if len(s) > LONG_BYTES)
         gc.disable()  # its many small tuples would be walked again and again
         try:
             pieces = {s: self.cut.findall(s) for s in new}
@@ -240,11 +242,13 @@ class _Texts:
     def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         cut = [self.segments(t) for t in texts]
         self.learn(set(chain.from_iterable(cut)))
+        known = self.known.__getitem__
         for segments in cut:
-            found = [self.known[s] for s in segments]
-            yield " ".join([x[0] for x in found]), b"".join([x[1] for x in found])
-        for long in {s for segments in cut for s in segments if len(s) > LONG_BYTES}:
+            ids, data = zip(*map(known, segments), strict=True) if segments else ((), ())
+            yield " ".join(ids), b"".join(data)
+        for long in self.long:
             self.known.pop(long, None)
+        self.long.clear()
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
