@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -60,13 +61,14 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 class Element:
     __slots__ = ("tag", "attrs", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total",
-                 "holds_main", "holds_heading", "part", "declared")
+                 "best", "tight", "holds_main", "holds_heading", "part", "declared")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.children: list[Element | str] = []
         self.holds_main = self.holds_heading = self.part = self.declared = False
         self.density = self.total = 0.0
+        self.best = self.tight = self
 
 
 class _Tree(HTMLParser):
@@ -74,26 +76,26 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Element("html", {}, None)
         self.at = self.root
+        self.depth = Counter({"html": 1})  # of open elements by tag, so that nothing unopened is looked for
 
     def handle_starttag(self, tag, attrs):
-        if tag in ("html", "body") and any(True for _ in self._open(tag)):
+        if tag in ("html", "body") and self.depth[tag]:
             return
         if tag in CLOSES:
             ends, bounds = CLOSES[tag]
             self._close(ends, bounds - ends)
-        if tag == "body":
-            self.at = self.root
-        elif self.at.tag == "head" and tag not in UNSEEN and tag not in VOID:
-            self.at = self.root
+        if tag == "body" or self.at.tag == "head" and tag not in UNSEEN and tag not in VOID:
+            self._leave(self.root)
         node = Element(tag, {k: v or "" for k, v in attrs}, self.at)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
+            self.depth[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.at.tag == tag and tag not in BLOCKS:
-            self.at = self.at.parent or self.root
+            self._leave(self.at.parent or self.root)
 
     def handle_endtag(self, tag):
         if tag in ("body", "html") or tag in VOID:
@@ -104,21 +106,22 @@ class _Tree(HTMLParser):
     def handle_data(self, data):
         self.at.children.append(data)
 
-    def _open(self, tag) -> Iterator[Element]:
-        node: Element | None = self.at
-        while node is not None:
-            if node.tag == tag:
-                yield node
-            node = node.parent
-
     def _close(self, ends, bounds) -> None:
+        if not any(self.depth[tag] for tag in ends):
+            return
         node: Element | None = self.at
         while node is not None and node.tag not in bounds:
             if node.tag in ends:
-                self.at = node.parent or self.root
+                self._leave(node.parent or self.root)
                 return
             node = node.parent
 
+    def _leave(self, to: Element) -> None:
+        """Close what is open inside `to`."""
+        while self.at is not to and self.at.parent is not None:
+            self.depth[self.at.tag] -= 1
+            self.at = self.at.parent
+
 
 def _names_part(node: Element, words: set[str] = PART_WORDS) -> bool:
     found = _WORD.findall(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}")
@@ -165,11 +168,13 @@ def _mark_parts(order: list[Element]) -> None:
 
 
 def _cut_declared(order: list[Element]) -> None:
-    """Leave declared parts out, but not the wrappers of a page that declares no content."""
+    """Leave declared parts out, but not the wrappers of a page that declares no content, nor a wrapper
+    of nearly all the text of the content it stands in."""
     declared, body = [n for n in order if n.declared], order[0]
     wrappers: set[int] = set()
-    if declared and not body.holds_main:
+    if declared:
         _measure(order)
+    if declared and not body.holds_main:
         node: Element | None = _best_below(body)
         while node is not None and node is not body:
             wrappers.add(id(node))
@@ -184,6 +189,20 @@ def _cut_declared(order: list[Element]) -> None:
                     wrappers.discard(id(n))
             elif 2 * own > whole:
                 wrappers.add(id(n))
+    elif declared:
+        scope: dict[int, Element] = {}  # the content that an element stands in, if no other content stands beside it
+        for node in order:
+            if node.tag == "article" or node.tag == "main" and not any(
+                    isinstance(c, Element) and c.holds_main for c in node.children):
+                scope[id(node)] = node
+            elif node.parent is not None and id(node.parent) in scope:
+                scope[id(node)] = scope[id(node.parent)]
+        for n in declared:
+            around = scope.get(id(n))
+            if around is not None and around is not n and not around.declared:
+                whole = around.chars - around.link_chars
+                if n.chars - n.link_chars >= INNER_SHARE * whole > 0:
+                    wrappers.add(id(n))
     for n in declared:
         n.part = id(n) not in wrappers
 
@@ -213,22 +232,21 @@ def _measure(order: list[Element]) -> None:
         top = node.chars / max(1, node.link_chars) * tags / max(1, node.link_tags)
         node.density = plain * math.log(max(top, 1.0)) / math.log(max(base, 1.0 + 1e-9)) if base > 1 else \
             plain * math.log(max(top, 1.0) + 1)
-    for node in order:
-        node.total = sum(c.density for c in node.children if isinstance(c, Element) and not c.part)
+    for node in reversed(order):  # children first: each subtree is looked at once
+        seen = [c for c in node.children if isinstance(c, Element) and not c.part]
+        node.total = sum(c.density for c in seen)
+        node.best = node.tight = node
+        for c in seen:
+            if c.best.total > node.best.total:
+                node.best = c.best
+        inner = max(seen, key=lambda c: c.total, default=None)
+        if inner is not None and inner.total and inner.total >= INNER_SHARE * node.total:
+            node.tight = inner.tight  # a child with nearly all of the sum is the tighter choice
 
 
 def _best_below(node: Element) -> Element:
-    best, stack = node, [node]
-    while stack:
-        at = stack.pop()
-        if at.total > best.total:
-            best = at
-        stack.extend(c for c in reversed(at.children) if isinstance(c, Element) and not c.part)
-    while True:  # a child with nearly all of the sum is the tighter choice
-        inner = max((c for c in best.children if isinstance(c, Element) and not c.part), key=lambda c: c.total, default=None)
-        if inner is None or inner.total < INNER_SHARE * best.total or not inner.total:
-            return best
-        best = inner
+    """The first element with the largest density sum at or below; of nested ones with nearly all of it, the inner."""
+    return node.best.tight
 
 
 def _content(body: Element) -> set[int]:

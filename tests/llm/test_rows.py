@@ -2,6 +2,7 @@
 
 import random
 import string
+import time
 
 import numpy as np
 import pytest
@@ -62,6 +63,56 @@ def test_a_wrapper_named_like_a_part_stays(wrapper):
     assert html_extract.main_text(f"<body>{wrapper % (menu + content + parts)}</body>") == want
 
 
+@pytest.mark.parametrize("page", ["<main><div class='with-sidebar'><p>{t}</p></div></main>", "<main><div class='form-content'>{t}</div></main>",
+                                  "<main><form><p>{t}</p></form></main>", "<article><h1>t</h1><div class='post-share-content'><p>{t}</p></div></article>"])
+def test_a_wrapper_inside_declared_content_stays(page):
+    text = "The text of the article goes on and on. " * 65
+    assert html_extract.main_text(f"<body>{page.format(t=text)}</body>").endswith(text.strip())
+    beside = f"<body><main><div class='sidebar'>{text}</div><article><p>Short but true.</p></article></main></body>"
+    assert html_extract.main_text(beside) == "Short but true."
+
+
+@pytest.mark.parametrize("page", ["<div>" * 100_000 + "text of it" + "</div>" * 100_000, "<span>x" * 100_000, "<i><b>x</u>" * 50_000])
+def test_deep_and_malformed_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html_extract.main_text(page)
+    assert time.perf_counter() - began < 20  # about three seconds; hours when it is quadratic
+
+
+def plainly(tree):
+    """The choice of `_best_below` by walking the subtree of every element."""
+    order = html_extract._order(tree)
+    best = tree
+    for node in order:
+        if not any(p.part for p in _path(node, tree)) and node.total > best.total:
+            best = node
+    while True:
+        inner = max((c for c in best.children if not isinstance(c, str) and not c.part), key=lambda c: c.total, default=None)
+        if inner is None or not inner.total or inner.total < html_extract.INNER_SHARE * best.total:
+            return best
+        best = inner
+
+
+def _path(node, top):
+    out = []
+    while node is not top:
+        out.append(node)
+        node = node.parent
+    return out
+
+
+def test_best_subtree_against_a_walk():
+    rng = random.Random(6)
+    bits = ["<div>", "</div>", "<p>", "</p>", "<span>", "</span>", "text one two. ", "<a href=x>link</a>", "<ul><li>", "</ul>", "word " * 20]
+    for _ in range(200):
+        parser = html_extract._Tree()
+        parser.feed("".join(rng.choice(bits) for _ in range(60)))
+        order = html_extract._order(parser.root)
+        html_extract._measure(order)
+        for node in order:
+            assert html_extract._best_below(node) is plainly(node)
+
+
 def test_parts_beside_declared_content_go():
     talk = "<section id=comments>" + "<p>A long comment by somebody who was here. </p>" * 20 + "</section>"
     assert html_extract.main_text(f"<body><article><p>Body words.</p></article>{talk}</body>") == "Body words."
