@@ -79,6 +79,15 @@ def frame_layout(quota: DataFrame) -> DataFrame:
         (F.row_number().over(Window.partitionBy("at").orderBy("slot")) - 1).alias("nth"))
 
 
+def _own(docs: DataFrame) -> list[str]:
+    return [c for c in docs.columns if c not in PLACE]
+
+
+def _renamed(docs: DataFrame) -> list[Column]:
+    """The rows' own columns under names that meet no others; one by one, so that unused ones are not read."""
+    return [F.col(f"`{c}`").alias(f"mix_own_{i}") for i, c in enumerate(_own(docs))]
+
+
 def _numbered(docs: DataFrame, totals: DataFrame, seed: str) -> DataFrame:
     """Each row with its source's characters before it.
 
@@ -86,9 +95,7 @@ def _numbered(docs: DataFrame, totals: DataFrame, seed: str) -> DataFrame:
     that holds most rows is summed in many tasks: within buckets first, then over bucket totals."""
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"),
                          F.coalesce("text", F.lit(""))))
-    # the row's own columns are one column, so their names meet no others
-    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in PLACE]).alias("mix_own")
-    wide = docs.select(own, "doc_id", F.expr(_KEY).alias("mix_source"), key.alias("mix_key"),
+    wide = docs.select(*_renamed(docs), "doc_id", F.expr(_KEY).alias("mix_source"), key.alias("mix_key"),
                        F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("mix_chars"))
     buckets = totals.select(F.col("source_key").alias("mix_source"), "chars",
                             F.greatest(F.lit(1), F.ceil(F.col("n_rows") / BUCKET_ROWS)).alias("n_buckets"))
@@ -129,7 +136,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, power: float = 0.5, f
                     ["mix_source", "mix_nth"])
               .withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("slots")) * F.col("mix_frame")
                           + F.col("slot")))
-    return placed.select("mix_own.*", *PLACE)
+    return placed.select(*[F.col(f"mix_own_{i}").alias(c) for i, c in enumerate(_own(docs))], *PLACE)
 
 
 def in_order(mixed: DataFrame, tasks: int) -> DataFrame:

@@ -57,7 +57,7 @@ def test_mix_follows_the_weights_and_keeps_every_row(spark):
 def test_mix_with_columns_of_its_own_names(spark):
     rows = [(i, "x" * (i % 90), "en", "ab"[i % 2], 1) for i in range(300)]
     df = spark.createDataFrame(rows, DOCS)
-    names = ["chars", "slots", "slot", "n_buckets", "mix_frame", "mix_source", "mix_bucket", "mix_within", "mix_key", "mix_nth", "mix_own"]
+    names = ["chars", "slots", "slot", "n_buckets", "mix_frame", "mix_source", "mix_bucket", "mix_within", "mix_key", "mix_nth", "mix_own_0"]
     clash = df.withColumns({n: F.lit(f"mine {n}") for n in [*names, *source_mix.PLACE]})
     got = source_mix.mix(clash, frame=64, block_chars=100)
     own = source_mix.mix(df, frame=64, block_chars=100)
