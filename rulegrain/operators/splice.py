@@ -38,18 +38,16 @@ def merge_changed(served: DataFrame, fresh: DataFrame, pos: str = "pos") -> Data
     """Fresh extracted rows replace served ones and add new keys; fresh rows that failed leave
     the served row as it is.  Adds `action`: replaced, held, kept or added."""
     columns = [c for c in served.columns if c != "key"]
-    # of several fresh extracted rows the last one counts
-    latest = last_per_key(fresh, ["key", F.col("status") == "extracted"], pos)
-    per_key = latest.groupBy("key").agg(
-        F.count_if(F.col("status") != "extracted").alias("_failed"))
-    good = latest.filter(F.col("status") == "extracted")
-    merged = _replace(served, good, F.col("_new").isNotNull(), "_replaced") \
-        .join(per_key, "key", "left") \
-        .withColumn("action", F.when(F.col("_replaced"), F.lit("replaced"))
-                    .when(F.col("_failed") > 0, F.lit("held")).otherwise(F.lit("kept")))
-    added = good.join(served.select("key"), "key", "left_anti")
-    return merged.select("key", *columns, "action").unionByName(
-        added.select("key", *columns, F.lit("added").alias("action")))
+    good = F.col("status") == "extracted"
+    # one row a key, combined before the shuffle: of several fresh extracted rows the last one counts
+    latest = fresh.groupBy("key").agg(F.max_by(F.when(good, F.struct(*columns)), F.when(good, F.col(pos))).alias("_new"),
+                                      F.coalesce(F.bool_or(F.col("status") != "extracted"), F.lit(False)).alias("_failed"))
+    met = served.withColumn("_served", F.lit(True)).join(latest, "key", "full_outer")
+    fits = F.col("_new").isNotNull()
+    action = (F.when(F.col("_served").isNull(), F.lit("added")).when(fits, F.lit("replaced"))
+               .when(F.col("_failed"), F.lit("held")).otherwise(F.lit("kept")))
+    picked = [F.when(fits, F.col("_new")[c]).otherwise(F.col(c)).alias(c) for c in columns]
+    return met.filter(F.col("_served").isNotNull() | fits).select("key", *picked, action.alias("action"))
 
 
 def verify_and_hold(served: DataFrame, reread: DataFrame, numbers: list[str], pos: str = "pos") -> DataFrame:
