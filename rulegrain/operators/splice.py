@@ -39,9 +39,10 @@ def merge_changed(served: DataFrame, fresh: DataFrame, pos: str = "pos") -> Data
     the served row as it is.  Adds `action`: replaced, held, kept or added."""
     columns = [c for c in served.columns if c != "key"]
     good = F.col("status") == "extracted"
-    # one row a key, combined before the shuffle: of several fresh extracted rows the last one counts
-    latest = fresh.groupBy("key").agg(F.max_by(F.when(good, F.struct(*columns)), F.when(good, F.col(pos))).alias("_new"),
-                                      F.coalesce(F.bool_or(F.col("status") != "extracted"), F.lit(False)).alias("_failed"))
+    # of several fresh extracted rows the last one counts; two rows a key are left, of which one is extracted
+    latest = last_per_key(fresh, ["key", good], pos).groupBy("key").agg(
+        F.first(F.when(good, F.struct(*columns)), ignorenulls=True).alias("_new"),
+        F.coalesce(F.bool_or(F.col("status") != "extracted"), F.lit(False)).alias("_failed"))
     met = served.withColumn("_served", F.lit(True)).join(latest, "key", "full_outer")
     fits = F.col("_new").isNotNull()
     action = (F.when(F.col("_served").isNull(), F.lit("added")).when(fits, F.lit("replaced"))
