@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 
 from rulegrain.llm import text_arrays as A
 
-KNOWN_PIECES = 700_000  # pieces a worker remembers
-KNOWN_SEGMENTS = 700_000  # segments a task remembers
+KNOWN_PIECES = 350_000  # pieces a worker remembers
+KNOWN_SEGMENTS = 500_000  # segments a task remembers
 BATCH_BYTES = 3 << 19  # text that is looked up together
 STEP_PIECES = 30_000  # pieces a recursive query takes, or
 STEP_BYTES = 150_000  # bytes, or
