@@ -221,6 +221,35 @@ def fill(template: Column | str, args: Mapping[str, Column],
     return out
 
 
+def _marks(args: Mapping[str, Column], numeric: tuple[str, ...]) -> list[tuple[str, str, str]]:
+    """(mark, name, spec) of every field that a template may hold."""
+    return [("{" + n + (":" + spec if spec else "") + "}", n, spec)
+            for n in args for spec in ((".0f", ",", "") if n in numeric else ("",))]
+
+
+def cut_template(template: Column, args: Mapping[str, Column], numeric: tuple[str, ...] = ()) -> Column:
+    """A template of a column cut at its fields: each piece of text with the number of the mark behind
+    it, null behind the last."""
+    marks = [m for m, _, _ in _marks(args, numeric)]
+    if not marks:
+        return F.array(F.struct(template.alias("text"), F.lit(None).cast("int").alias("mark")))
+    field = F.lit("|".join(re.sub(r"([{}.])", r"\\\1", m) for m in marks))
+    numbers = F.transform(F.regexp_extract_all(template, field, F.lit(0)),
+                          lambda m: F.array_position(F.array(*map(F.lit, marks)), m).cast("int"))
+    return F.zip_with(F.split(template, field, -1), numbers, lambda t, m: F.struct(t.alias("text"), m.alias("mark")))
+
+
+def shown_arguments(args: Mapping[str, Column], numeric: tuple[str, ...] = ()) -> Column:
+    """The text of every mark of `cut_template`, in the order of its numbers."""
+    return F.array(*[_shown(args[n], spec, n in numeric) for _, n, spec in _marks(args, numeric)]).cast("array<string>")
+
+
+def fill_cut(parts: Column, shown: Column) -> Column:
+    """A cut template with its arguments in place; one pass, whatever they hold."""
+    return F.array_join(F.transform(parts, lambda p: F.concat(
+        p["text"], F.when(p["mark"].isNull(), F.lit("")).otherwise(F.try_element_at(shown, p["mark"])))), "")
+
+
 def strip_emphasis(text: Column) -> Column:
     return F.replace(text, F.lit("**"), F.lit(""))
 

@@ -129,22 +129,38 @@ _BLANKS = {"address": "[Your address]", "phone": "[Your phone]",
            "account": "[account number if known]", "service_date": "[date of service]"}
 
 
+def _cut_catalog(catalog: DataFrame, args: dict[str, Column], numeric: tuple[str, ...]) -> Column:
+    """lang -> key -> its templates, each cut at its fields: one value, of the catalog's size."""
+    texts = catalog.filter(S.blank_to_null(F.col("template")).isNotNull() & F.col("lang").isNotNull()
+                           & F.col("key").isNotNull())
+    cut = texts.select("lang", "key", "template").distinct().withColumn(
+        "_cut", S.cut_template(F.col("template"), args, numeric))
+    # a key has one template, or one of each section that spells it
+    keys = cut.groupBy("lang", "key").agg(F.collect_list("_cut").alias("_cuts"))
+    langs = keys.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("key", "_cuts"))).alias("_keys"))
+    return langs.agg(F.map_from_entries(F.collect_list(F.struct("lang", "_keys")))).scalar()
+
+
 def render(df: DataFrame, ids: list[str], keys: str, catalog: DataFrame, args: dict[str, Column],
            numeric: tuple[str, ...] = (), out: str = "text") -> DataFrame:
     """(ids…, out): each row's message keys resolved in its `lang`, filled and joined in order.
 
-    `ids` identify a row; a row carries a handful of keys."""
-    values = {name: value.cast("string") if name not in numeric else value
-              for name, value in args.items()}
-    flat = (df.select(*ids, "lang", *[v.alias(f"_a_{n}") for n, v in values.items()],
-                      F.posexplode_outer(keys).alias("_ord", "key"))
-            .filter(F.col("key").isNotNull()))
-    texts = resolve(flat, catalog).withColumn("_text", S.fill(
-        F.col("template"), {n: F.col(f"_a_{n}") for n in values}, numeric))
-    parts = texts.groupBy(*ids).agg(
-        F.sort_array(F.collect_list(F.struct("_ord", "_text"))).alias("_parts"))
-    joined = F.array_join(F.transform("_parts", lambda p: p["_text"]), " ")
-    return parts.select(*ids, joined.alias(out))
+    `ids` identify a row; a row carries a handful of keys.  Templates are cut at their fields once, and a
+    row is filled where it stands: nothing is unnested or shuffled."""
+    kept = df.filter(F.array_max(keys).isNotNull())  # some key
+    held = kept.select(*ids, F.col(keys).alias("_wanted"), F.col("lang").alias("_lang"),
+                       S.shown_arguments(args, numeric).alias("_shown"))
+
+    def message(texts: Column, key: Column) -> Column:
+        own, english = (F.try_element_at(F.try_element_at(texts, lang), key) for lang in (F.col("_lang"), F.lit("en")))
+        # naming `_shown` twice keeps the optimizer from making it anew for every field
+        filled = [F.transform(cuts, lambda parts: S.fill_cut(parts, F.col("_shown"))) for cuts in (own, english)]
+        return F.sort_array(F.coalesce(*filled, F.array().cast("array<string>")))
+
+    # the catalog is named once and bound by a lambda: as a column of the rows, each would copy it
+    text = F.transform(F.array("_catalog"), lambda texts: F.array_join(
+        F.flatten(F.transform("_wanted", lambda key: message(texts, key))), " "))
+    return held.withColumn("_catalog", _cut_catalog(catalog, args, numeric)).select(*ids, text[0].alias(out))
 
 
 def letters(scored: DataFrame, today: str, template: Column | None = None,

@@ -54,6 +54,11 @@ def statutory_facts(scored: DataFrame) -> DataFrame:
 
 def statutory_message_keys() -> Column:
     """Message keys, in order, for a row of `statutory_facts`."""
+    return F.array_compact(_message_keys())
+
+
+def _message_keys() -> Column:
+    """Those keys with a null for every one that does not apply."""
     tier, pct = F.col("tier"), F.col("fpl_pct")
     free, disc = F.col("free_band"), F.col("discount_band")
     base = (F.when(tier == "free", F.lit("cc_statutory_free"))
@@ -78,7 +83,7 @@ def statutory_message_keys() -> Column:
                        F.lit("cc_medical_hardship")))
     return (F.when(~F.col("statutory"), F.lit(None).cast("array<string>"))
              .when(F.col("program_suspended"), F.array(F.lit("cc_program_suspended")))
-             .otherwise(F.array_compact(F.array(base, cap_note, hardship))))
+             .otherwise(F.array(base, cap_note, hardship)))
 
 
 #: What each statutory message is filled with, by its key; facts keep their names.
@@ -99,22 +104,25 @@ MESSAGE_ARGUMENTS = {
 }
 
 
-def statutory_message_args() -> dict[str, Column]:
-    """The arguments of those messages, for a row of `statutory_facts` with its `hospital`."""
-    own = {"name": S.py_title(F.col("hospital")), "law": F.col("fact_law"), "pct": F.col("fpl_pct"),
+def statutory_message_args(title: str | None = None) -> dict[str, Column]:
+    """The arguments of those messages, for a row of `statutory_facts` with its `hospital`, or with a column
+    that has the hospital's name in title case."""
+    own = {"name": F.col(title) if title else S.py_title(F.col("hospital")), "law": F.col("fact_law"), "pct": F.col("fpl_pct"),
            "free_pct": F.col("free_band"), "discount_pct": F.col("discount_band"), "cap": F.col("income_cap_pct")}
     own |= {f: F.col(f) for f in FACT_FIELDS if f not in ("income_cap_pct", "program_suspended")}
     # a fact that the law does not state is in no message of its state
     return {n: c if n == "pct" else F.coalesce(c.cast("string"), F.lit("")) for n, c in own.items()}
 
 
-def statutory_texts(facts: DataFrame, ids: list[str], catalog: DataFrame, out: str = "text") -> DataFrame:
+def statutory_texts(facts: DataFrame, ids: list[str], catalog: DataFrame, out: str = "text",
+                    title: str | None = None) -> DataFrame:
     """(ids…, out): the statutory message of each row of `statutory_facts` in the row's `lang`, from the catalog's
-    templates (English where a language lacks one).  Rows outside the law's reach have none."""
+    templates (English where a language lacks one).  Rows outside the law's reach have none.  Many rows name
+    few hospitals: `title` is a column with their names in title case, made before they met the bills."""
     from rulegrain.operators import catalog as C
 
-    keyed = facts.filter("statutory").withColumn("_keys", statutory_message_keys())
-    return C.render(keyed, ids, "_keys", catalog, statutory_message_args(), numeric=("pct",), out=out)
+    keyed = facts.filter("statutory").withColumn("_keys", _message_keys())
+    return C.render(keyed, ids, "_keys", catalog, statutory_message_args(title), numeric=("pct",), out=out)
 
 
 def page_note_keys() -> Column:

@@ -88,3 +88,16 @@ def test_catalog_files_and_rendering(spark, tmp_path):
     out = C.render(df, ["id"], "keys", catalog, {"pct": F.col("pct"), "law": F.col("law"), "cap": F.lit(5)},
                    numeric=("pct", "cap"))
     assert {r.id: r.text for r in out.collect()} == {1: "A ~138% de X. Up to 5.", 2: "Up to 5.", 3: "At ~2% of Z."}
+
+
+def test_rendering_fills_in_one_pass_where_a_row_stands(spark):
+    catalog = spark.createDataFrame([("en", "a", "{law} at {pct:.0f}% {pct:,} {pct} {open}"), ("en", "b", "b"), ("es", "a", ""), ("es", "b", "{{law}}")],
+                                    "lang string, key string, template string")
+    df = spark.createDataFrame([(1, "en", ["a", None, "b"], 1137.5, "{pct}"), (2, "es", ["b", "a"], None, "L"), (3, None, ["b", "none"], 1.0, "L"),
+                                (4, "en", [], 1.0, "L"), (5, "en", None, 1.0, "L"), (6, "en", [None], 1.0, "L"), (7, "es", ["none"], 1.0, "L")],
+                               "id int, lang string, keys array<string>, pct double, law string")
+    out = C.render(df, ["id"], "keys", catalog, {"law": F.col("law"), "pct": F.col("pct")}, numeric=("pct",))
+    assert {r.id: r.text for r in out.collect()} == {
+        1: "{pct} at 1138% 1,137 1137.5 {open} b", 2: "{L} L at None% None None {open}", 3: "b", 7: ""}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
