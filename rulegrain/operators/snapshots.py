@@ -36,13 +36,17 @@ def diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
     return _diff(last_records(current), last_records(baseline), None)
 
 
-def observed_diff(current: DataFrame, baseline: DataFrame) -> tuple[DataFrame, Observation]:
+def observed_diff(current: DataFrame, baseline: DataFrame, unique_baseline: bool = False,
+                  with_rows: bool = False) -> tuple[DataFrame, Observation]:
     """`diff`, and what the guards count, collected while its rows are made.
 
+    A baseline with one record a key needs no search for the last one.  `with_rows` adds `now`, the
+    current record of a new or changed key.
+
     Both sides are counted by key where they meet, in the stage whose tasks make the result, so a
     task that runs again counts once.  The counts are there after one action on the rows."""
     counts = Observation()
-    return _diff(last_records(current), last_records(baseline), counts), counts
+    return _diff(last_records(current), baseline if unique_baseline else last_records(baseline), counts, with_rows), counts
 
 
 def observed_metrics(counts: Observation) -> tuple[int, int, int, int]:
@@ -50,7 +54,7 @@ def observed_metrics(counts: Observation) -> tuple[int, int, int, int]:
     return tuple(counts.get[name] for name in ("n", "removed", "current", "baseline"))
 
 
-def _diff(current: DataFrame, baseline: DataFrame, counts: Observation | None) -> DataFrame:
+def _diff(current: DataFrame, baseline: DataFrame, counts: Observation | None, with_rows: bool = False) -> DataFrame:
     c, b = current.alias("c"), baseline.alias("b")
     joined = c.join(b, F.col("c.key") == F.col("b.key"), "full_outer")
     deltas = []
@@ -73,7 +77,8 @@ def _diff(current: DataFrame, baseline: DataFrame, counts: Observation | None) -
         F.when(F.col("b.key").isNull(), F.lit("new"))
          .when(F.col("c.key").isNull(), F.lit("removed"))
          .otherwise(F.lit("common")).alias("change"),
-        stated.alias("_stated"), silent.alias("_silent")) \
+        stated.alias("_stated"), silent.alias("_silent"),
+        *([F.when(F.col("c.key").isNotNull(), F.struct("c.*")).alias("now")] if with_rows else [])) \
         .withColumn("deltas", F.when(F.col("change") != "common", no_deltas)
                     .when(F.size("_stated") > 0, F.col("_stated")).otherwise(F.col("_silent")))
     differs = (F.col("change") != "common") | (F.size("deltas") > 0)
@@ -83,7 +88,7 @@ def _diff(current: DataFrame, baseline: DataFrame, counts: Observation | None) -
                           F.count_if(F.col("change") != "removed").alias("current"),
                           F.count_if(F.col("change") != "new").alias("baseline"))
     return met.filter(differs).select("key", "hospital", F.when(F.col("change") == "common", F.lit("changed"))
-                                      .otherwise(F.col("change")).alias("change"), "deltas")
+                                      .otherwise(F.col("change")).alias("change"), "deltas", *(["now"] if with_rows else []))
 
 
 def last_records(snapshot: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def incremental_refresh(spark, sf_dir):
     for shown, renewed in _ARRIVING:
         url = F.when(F.expr(renewed), F.concat(F.lit("https://new/"), F.col("key"))).otherwise(F.col("charity_care.url"))
         piece = whole.filter(shown).withColumn("charity_care", F.col("charity_care").withField("url", url))
-        piece.withColumn("key", F.col("key").cast("string")).write.mode("append").parquet(source)
+        piece.withColumn("key", F.col("key").cast("string")).write.mode("append").parquet(source, compression="zstd")
         arriving = spark.readStream.schema(refresh.SNAPSHOT).parquet(source)
         refresh.refresh_stream(arriving, folder, buckets=_BUCKETS).awaitTermination()
     return refresh.baseline_table(spark, folder, _BUCKETS).read().select(

@@ -35,30 +35,25 @@ def refresh(current: DataFrame, folder: str, batch_id: int,
     rewritten.
 
     A run that is started again finds its changes and counts written and goes on from there; merging
-    them twice gives the same baseline."""
+    them twice gives the same baseline.  Changes are written with the records they bring, so a snapshot
+    is read once and no copy of it is kept; the stream shows a batch that runs again the same snapshot."""
     spark = current.sparkSession
     at = lambda kind: f"{folder}/{kind}/batch={batch_id:012d}"
     baseline = baseline_table(spark, folder, buckets)
-    done = exists(spark, f"{at('metrics')}/_SUCCESS")
-    if not done:
-        current.write.mode("overwrite").parquet(at("incoming"))
-    fresh = spark.read.schema(SNAPSHOT).parquet(at("incoming"))
     if batch_id == 0:
-        baseline.merge(N.last_records(fresh))
+        baseline.merge(N.last_records(current))
         return "established"
-    if not done:
-        found, counts = N.observed_diff(fresh, baseline.read())
-        found.write.mode("overwrite").parquet(at("changes"))
+    if not exists(spark, f"{at('metrics')}/_SUCCESS"):
+        found, counts = N.observed_diff(current, baseline.read(), unique_baseline=True, with_rows=True)
+        found.write.mode("overwrite").parquet(at("changes"), compression="zstd")
         spark.createDataFrame([N.observed_metrics(counts)], METRICS).write.mode("overwrite").parquet(at("metrics"))
     changes = spark.read.parquet(at("changes"))
     verdict = N.decide(spark.read.schema(METRICS).parquet(at("metrics")), max_changed, max_removed)
     decision = verdict.select("decision").first()[0]        # one row
     if decision == "proceed":
         if on_change is not None:
-            on_change(changes.filter(F.col("change").isin("changed", "new")), batch_id)
-        keys = changes.select("key", "change")
-        baseline.merge(N.last_records(fresh).join(keys.filter("change <> 'removed'").select("key"), "key", "left_semi"),
-                       keys.filter("change = 'removed'").select("key"))
+            on_change(changes.filter(F.col("change").isin("changed", "new")).drop("now"), batch_id)
+        baseline.merge(changes.filter("change <> 'removed'").select("now.*"), changes.filter("change = 'removed'").select("key"))
     return decision
 
 

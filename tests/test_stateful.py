@@ -249,3 +249,15 @@ def test_observed_counts(spark):
     rows = found.collect()
     metrics = snapshots.guard_metrics(snapshots.diff(cur, base), cur, base).first()
     assert snapshots.observed_metrics(counts) == tuple(metrics) and len(rows) == metrics.n + metrics.removed
+
+
+def test_refresh_keeps_no_copy_of_a_snapshot(spark, tmp_path):
+    folder, names = str(tmp_path), lambda: {p.name for p in tmp_path.iterdir()}
+    first = _snapshot(spark, [f"k{i:03d}" for i in range(100)])
+    assert refresh.refresh(first, folder, 0) == "established"
+    assert names() == {"baseline"} and {p.name for p in (tmp_path / "baseline").iterdir()} == {"rows"}
+    repeated = _snapshot(spark, ["k001", "new"], date="d2").unionByName(_snapshot(spark, ["k001", "new"], date="d1"))
+    assert refresh.refresh(first.filter("key <> 'k001' AND key <> 'k002'").unionByName(repeated), folder, 1) == "proceed"
+    assert names() == {"baseline", "changes", "metrics"}
+    left = {r.key: r.charity_care.effective_date for r in refresh.baseline_table(spark, folder).read().collect()}
+    assert left == {f"k{i:03d}": "d" for i in range(100) if i != 2} | {"k001": "d2", "new": "d2"}
