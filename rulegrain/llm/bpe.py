@@ -1,17 +1,17 @@
 """Byte-level BPE by rank files, with DuckDB recursive queries inside each partition.
 
-Texts are cut by the pattern; pieces are encoded once a worker.  In DuckDB a piece is rows (piece,
-place, token, neighbours, rank of the pair to the right); a recursive query contracts the leftmost
-pair of minimum rank of every piece, looks the two pairs it changed up in the merge table, and goes
-on with the pieces that changed until none does.  Tokens joined with their bytes and aggregated in
-order give the ids and the decoded bytes of a piece.
+Texts are cut by the pattern; pieces are encoded once a worker.  In DuckDB a piece is a row with a
+list of its tokens, each with the rank of the pair it makes with the next one and its place; a
+recursive query contracts the leftmost pair of minimum rank of every piece, looks the two pairs it
+changed up in the merge table, and goes on with the pieces that changed until none does.  The bytes
+of a text are decoded from its ids.
 
 The merge table is read from the file on each worker and is of the vocabulary's size.  A worker
-remembers `KNOWN_PIECES` pieces and `KNOWN_SEGMENTS` segments, then starts anew, so
-memory is bounded whatever the texts hold.  The query keeps the rows of all its steps, which are
-quadratic in a piece, so steps are sized by that; a piece of more than `LONG_BYTES` (a run of
-letters or signs without a break) is merged outside DuckDB, by a heap of pairs, in n log n time and
-memory linear in the piece.
+remembers about `KNOWN_PIECES` pieces and a task `KNOWN_SEGMENTS` segments, those it met last, so
+memory is bounded whatever the texts hold.  The query holds each piece once, so its memory is linear
+in them; its time is quadratic in a piece, and one of more than `LONG_BYTES` (a run of letters or
+signs without a break) is merged outside DuckDB, by a heap of pairs, in n log n time and memory
+linear in the piece.
 
 Defined cases: a null or empty text has no tokens and decodes to nothing; special tokens do not
 exist, their spelling is ordinary text; null ids and repeated rows are passed through."""
@@ -25,7 +25,7 @@ import heapq
 import os
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +38,14 @@ from rulegrain.llm import text_arrays as A
 KNOWN_PIECES = 350_000  # pieces a worker remembers
 KNOWN_SEGMENTS = 500_000  # segments a task remembers
 BATCH_BYTES = 3 << 19  # text that is looked up together
-STEP_PIECES = 30_000  # pieces a recursive query takes, or
-STEP_BYTES = 150_000  # bytes, or
-STEP_ROWS = 8_000_000  # squares of their bytes, twice the rows of all steps
+STEP_BYTES = 500_000  # bytes a recursive query takes
 LONG_BYTES = 1000  # longer pieces are merged one by one
 
-
-Coded = tuple[str, bytes]  # ids joined by blanks, and what they decode to
+# A token in the query: rank of its pair with the next one, place in the piece, token.
+_TOKEN, _PLACE = 21, 20  # bits
+_MASK = (1 << _TOKEN) - 1  # stands before a piece as a token of its own, which makes no pairs
+_RANK = _TOKEN + _PLACE
+_NONE = 1 << _TOKEN  # rank of what is no pair
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -52,85 +53,89 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+class Recent:
+    """What was found for about `size` keys met last: those since a turn, and those of the turn before."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str], size: int) -> set[str]:
+        """Those of the keys that are not remembered; the others are among the young now."""
+        new = keys.difference(self.young)
+        if len(self.young) + len(new) > size // 2:
+            self.old, self.young, new = self.young, {}, keys
+        back = {k: self.old[k] for k in new if k in self.old}
+        self.young.update(back)
+        return new.difference(back)
+
+
 class Tables:
-    """The merge and token tables of one rank file in an in-memory DuckDB."""
+    """The merge table of one rank file in an in-memory DuckDB, and what its tokens stand for."""
 
     def __init__(self, path: str):
         import duckdb
 
         ranks = read_ranks(path)
+        if max(ranks.values()) >= _MASK:
+            raise ValueError(f"ranks of {_MASK} or more: {path}")
         left, right, rank = [], [], []
+        self.byte_pairs = np.full(1 << 16, _NONE, np.int64)
         for token, r in ranks.items():
+            if len(token) == 2:
+                self.byte_pairs[token[0] << 8 | token[1]] = r
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
         self.ranks, self.bytes_of = ranks, {r: t for t, r in ranks.items()}
+        self.name_of = {r: str(r) for r in self.bytes_of}
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        self.known: dict[str, Coded] = {}
+        self.known = Recent()
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
-        con = self.con
-        merges = pa.table({"a": pa.array(left, pa.int32()), "b": pa.array(right, pa.int32()),
-                           "rank": pa.array(rank, pa.int32())})
-        tokens = pa.table({"rank": pa.array(ranks.values(), pa.int32()),
-                           "id": [str(r) for r in ranks.values()], "hex": [t.hex() for t in ranks]})
-        con.register("merges_in", merges)
-        con.register("tokens_in", tokens)
-        con.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
-        con.execute("CREATE TABLE tokens AS SELECT * FROM tokens_in")
-        con.unregister("merges_in"), con.unregister("tokens_in")
-
-    # low: per piece its minimum rank and the leftmost place of it, as one number;
-    # best: that pair's left row p, right row q, and what stands right of q
-    _MERGE = """
-      CREATE OR REPLACE TEMP TABLE done AS
-      WITH RECURSIVE state(step, piece, place, token, right_token, prev, next, rank) AS (
-        SELECT 0::SMALLINT, s.piece, s.place, s.token, s.right_token, s.prev, s.next, m.rank
-        FROM start s LEFT JOIN merges m ON m.a = s.token AND m.b = s.right_token
+        self.con.register("merges_in", pa.table({
+            "pair": np.array(left, np.int64) << _TOKEN | np.array(right, np.int64),
+            "rank": np.array(rank, np.int64) << _RANK}))
+        self.con.execute("CREATE TABLE merges AS SELECT * FROM merges_in")
+        self.con.unregister("merges_in")
+
+    # low: the least code of a piece, which is the leftmost pair of minimum rank; its place in the list is at
+    _MERGE = f"""
+      WITH RECURSIVE state(piece, codes, low) AS (
+        SELECT piece, codes, list_min(codes) FROM start
         UNION ALL
-        (WITH low AS (
-           SELECT piece, min(rank::BIGINT * 4294967296 + place) AS code FROM state
-           GROUP BY piece HAVING code IS NOT NULL),
-         best AS (
-           SELECT l.piece, (l.code % 4294967296)::INT AS p, (l.code // 4294967296)::INT AS merged,
-                  q.place AS q, q.next AS after, q.right_token AS after_token
-           FROM low l JOIN state q ON q.piece = l.piece AND q.prev = (l.code % 4294967296)::INT),
-         moved AS (
-           SELECT (s.step + 1)::SMALLINT AS step, s.piece, s.place,
-                  CASE WHEN s.place = b.p THEN b.merged ELSE s.token END AS token,
-                  CASE WHEN s.place = b.p THEN b.after_token WHEN s.next = b.p THEN b.merged
-                       ELSE s.right_token END AS right_token,
-                  CASE WHEN s.prev = b.q THEN b.p ELSE s.prev END AS prev,
-                  CASE WHEN s.place = b.p THEN b.after ELSE s.next END AS next,
-                  s.rank, coalesce(s.place = b.p OR s.next = b.p, false) AS changed
-           FROM state s JOIN best b ON s.piece = b.piece WHERE s.place <> b.q)
-         SELECT v.step, v.piece, v.place, v.token, v.right_token, v.prev, v.next,
-                CASE WHEN v.changed THEN m.rank ELSE v.rank END
-         FROM moved v LEFT JOIN merges m
-           ON m.a = CASE WHEN v.changed THEN v.token END AND m.b = v.right_token))
-      SELECT piece, place, token
-      FROM state JOIN (SELECT piece, max(step) AS step FROM state GROUP BY piece) USING (piece, step)"""
-    _READ = """
-      SELECT string_agg(t.id, ' ' ORDER BY d.place) AS ids, string_agg(t.hex, '' ORDER BY d.place) AS hex
-      FROM done d JOIN tokens t ON t.rank = d.token GROUP BY d.piece ORDER BY d.piece"""
-
-    def merge(self, pieces: list[bytes]) -> list[Coded]:
-        """Each piece's ids and its bytes decoded from them."""
+        SELECT piece, codes, list_min(codes) FROM (
+          SELECT s.piece, list_concat(
+            s.codes[:s.at - 2],
+            [(s.codes[s.at - 1] & {(1 << _RANK) - 1}) + coalesce(l.rank, {_NONE << _RANK}),
+             (s.low & {(1 << _RANK) - 1 - _MASK}) + (s.low >> {_RANK}) + coalesce(r.rank, {_NONE << _RANK})],
+            s.codes[s.at + 2:]) AS codes
+          FROM (SELECT *, list_position(codes, low)::INT AS at FROM state WHERE low < {_NONE << _RANK}) s
+          LEFT JOIN merges l ON l.pair = ((s.codes[s.at - 1] & {_MASK}) << {_TOKEN}) + (s.low >> {_RANK})
+          LEFT JOIN merges r ON r.pair = ((s.low >> {_RANK}) << {_TOKEN}) + (s.codes[s.at + 2] & {_MASK})))
+      SELECT piece, codes FROM state WHERE low >= {_NONE << _RANK} ORDER BY piece"""
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Each piece's ids, as the bytes of 32-bit numbers."""
         lengths = np.array([len(p) for p in pieces])
-        token = np.array(self.byte_ids, np.int32)[np.frombuffer(b"".join(pieces), np.uint8)]
-        begin = np.cumsum(lengths) - lengths
-        place = (np.arange(len(token)) - np.repeat(begin, lengths)).astype(np.int32)
-        last = place == np.repeat(lengths, lengths) - 1
-        self.con.register("start", pa.table({
-            "piece": np.repeat(np.arange(len(pieces), dtype=np.int32), lengths), "place": place, "token": token,
-            "right_token": pa.array(np.append(token[1:], 0).astype(np.int32), mask=last),
-            "prev": pa.array(place - 1, mask=place == 0), "next": pa.array(place + 1, mask=last)}))
-        self.con.execute(self._MERGE)
+        ends = np.cumsum(lengths)
+        begin = ends - lengths
+        data = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        rank = self.byte_pairs[data << 8 | np.append(data[1:], 0)]
+        rank[ends - 1] = _NONE
+        place = np.arange(len(data)) - np.repeat(begin, lengths)
+        code = rank << _RANK | place << _TOKEN | np.array(self.byte_ids, np.int64)[data]
+        code = np.insert(code, begin, _NONE << _RANK | _MASK)
+        offsets = np.append(0, ends + np.arange(1, len(pieces) + 1)).astype(np.int32)
+        self.con.register("start", pa.table({"piece": np.arange(len(pieces), dtype=np.int32),
+                                             "codes": pa.ListArray.from_arrays(offsets, code)}))
+        found = self.con.sql(self._MERGE).to_arrow_table()["codes"].combine_chunks()
         self.con.unregister("start")
-        found = self.con.sql(self._READ).to_arrow_table()
-        return list(zip(found["ids"].to_pylist(), map(bytes.fromhex, found["hex"].to_pylist()), strict=True))
+        ids = (found.flatten().to_numpy() & _MASK).astype(np.int32).tobytes()
+        offsets = ((found.offsets.to_numpy() - found.offsets[0].as_py()) * 4).tolist()
+        return [ids[a + 4:b] for a, b in pairwise(offsets)]
 
-    def merge_long(self, piece: bytes) -> Coded:
+    def merge_long(self, piece: bytes) -> bytes:
         """The same for one piece of any length: the leftmost pair of minimum rank comes off a heap;
         entries whose pair has changed since are passed over."""
         n, ranks, bytes_of = len(piece), self.ranks, self.bytes_of
@@ -161,15 +166,12 @@ class Tables:
         while p < n:
             out.append(token[p])
             p = after[p]
-        return " ".join(map(str, out)), b"".join(bytes_of[t] for t in out)
-
-    def coded(self, pieces: list[str]) -> dict[str, Coded]:
-        """Tokens of each of the different pieces: known ones are looked up, the rest merged."""
-        known = self.known
-        out = {p: known[p] for p in pieces if p in known}
-        new = [p for p in pieces if p not in out]
-        if len(known) + len(new) > KNOWN_PIECES:
-            known.clear()
+        return np.array(out, np.int32).tobytes()
+
+    def coded(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of each of the pieces: known ones are looked up, the rest merged."""
+        new, known = self.known.missing(pieces, KNOWN_PIECES), self.known.young
+        out = {p: known[p] for p in pieces.difference(new)}
         for part in _steps(new):
             texts, encoded = zip(*part, strict=True)
             long = len(encoded[0]) > LONG_BYTES
@@ -185,17 +187,16 @@ def tables(path: str) -> Tables:
     return Tables(path)
 
 
-def _steps(pieces: list[str]) -> Iterator[list[tuple[str, bytes]]]:
+def _steps(pieces: set[str]) -> Iterator[list[tuple[str, bytes]]]:
     """Pieces, with their bytes, that are merged together; one of more than LONG_BYTES is alone."""
-    held, size, rows = [], 0, 0
+    held, size = [], 0
     for piece, data in sorted(((p, p.encode()) for p in pieces), key=lambda x: len(x[1])):  # as many steps go together
         n = len(data)
-        if held and (len(held) >= STEP_PIECES or size + n > STEP_BYTES or rows + n * n > STEP_ROWS or n > LONG_BYTES):
+        if held and (size + n > STEP_BYTES or n > LONG_BYTES):
             yield held
-            held, size, rows = [], 0, 0
+            held, size = [], 0
         held.append((piece, data))
         size += n
-        rows += n * n
     if held:
         yield held
 
@@ -211,8 +212,7 @@ class _Texts:
 
         self.cut, self.own = regex.compile(pattern), tables(path)
         self.odd = re.compile(r" (?!\S)")
-        self.known: dict[str, Coded] = {}
-        self.long: set[str] = set()  # these are not remembered
+        self.known = Recent()
 
     def segments(self, text: str) -> list[str]:
         if self.odd.search(text):
@@ -220,35 +220,35 @@ class _Texts:
         head, *rest = text.split(" ")
         return [head, *[" " + x for x in rest]] if head else [" " + x for x in rest]
 
-    def learn(self, segments: set[str]) -> None:
-        new = segments.difference(self.known)
-        if len(self.known) + len(new) > KNOWN_SEGMENTS:
-            self.known.clear()
-            new = segments
-        self.long.update(s for s in new if len(s) > LONG_BYTES)
-        gc.disable()  # its many small tuples would be walked again and again
+    def learn(self, segments: set[str]) -> list[str]:
+        """Makes all segments known; returns those that are too long to be remembered."""
+        new, known = list(self.known.missing(segments, KNOWN_SEGMENTS)), self.known.young
+        gc.disable()  # its many small lists would be walked again and again
         try:
-            pieces = {s: self.cut.findall(s) for s in new}
-            read = self.own.coded(list(set(chain.from_iterable(pieces.values()))))
-            for segment, parts in pieces.items():
-                if len(parts) == 1:
-                    self.known[segment] = read[parts[0]]
-                else:
-                    found = [read[p] for p in parts]
-                    self.known[segment] = " ".join([x[0] for x in found]), b"".join([x[1] for x in found])
+            pieces = list(map(self.cut.findall, new))
+            read = self.own.coded(set(chain.from_iterable(pieces)))
+            for segment, parts in zip(new, pieces, strict=True):
+                known[segment] = read[parts[0]] if len(parts) == 1 else b"".join([read[p] for p in parts])
         finally:
             gc.enable()
+        return [s for s in new if len(s) > LONG_BYTES]
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+    def tokens(self, texts: list[str]) -> Iterator[np.ndarray]:
         cut = [self.segments(t) for t in texts]
-        self.learn(set(chain.from_iterable(cut)))
-        known = self.known.__getitem__
+        long = self.learn(set(chain.from_iterable(cut)))
+        known = self.known.young.__getitem__
         for segments in cut:
-            ids, data = zip(*map(known, segments), strict=True) if segments else ((), ())
-            yield " ".join(ids), b"".join(data)
-        for long in self.long:
-            self.known.pop(long, None)
-        self.long.clear()
+            yield np.frombuffer(b"".join(map(known, segments)), np.int32)
+        for segment in long:
+            del self.known.young[segment]
+
+    def spelled(self, tokens: np.ndarray) -> tuple[str, bytes]:
+        """Ids joined by blanks, and what they decode to."""
+        ids = tokens.tolist()
+        return " ".join(map(self.own.name_of.__getitem__, ids)), b"".join(map(self.own.bytes_of.__getitem__, ids))
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        return map(self.spelled, self.tokens(texts))
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -261,12 +261,13 @@ def _encoder(path: str, pattern: str, with_ids: bool):
         work = _Texts(path, pattern)
         for chunk in A.chunks(batches, "bpe_text", BATCH_BYTES):
             counts, id_hashes, text_hashes, id_lists = [], [], [], []
-            for ids, decoded in work.encode([t or "" for t in chunk.batch.column("bpe_text").to_pylist()]):
-                counts.append(ids.count(" ") + 1 if ids else 0)
+            for tokens in work.tokens([t or "" for t in chunk.batch.column("bpe_text").to_pylist()]):
+                ids, decoded = work.spelled(tokens)
+                counts.append(len(tokens))
                 id_hashes.append(hashlib.sha256(ids.encode()).hexdigest())
                 text_hashes.append(hashlib.sha256(decoded).hexdigest())
                 if with_ids:
-                    id_lists.append(np.fromstring(ids, np.int32, sep=" "))
+                    id_lists.append(tokens)
             kept = [c for c in chunk.batch.schema.names if c != "bpe_text"]
             columns = [pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()),
                        pa.array(text_hashes, pa.string())]

@@ -157,6 +157,29 @@ def test_memory_of_pieces_is_bounded_and_changes_nothing(own, monkeypatch):
         assert [ids for ids, _ in work.encode(texts)] == [" ".join(map(str, library.encode_ordinary(t))) for t in texts]
 
 
+def test_words_met_often_are_merged_once(own, monkeypatch):
+    path, pattern, library = own
+    monkeypatch.setattr(bpe, "KNOWN_PIECES", 200)
+    monkeypatch.setattr(bpe, "KNOWN_SEGMENTS", 200)
+    bpe.tables.cache_clear()
+    work, merged = bpe._Texts(path, pattern), []
+    monkeypatch.setattr(work.own, "merge", lambda pieces, merge=work.own.merge: merged.extend(pieces) or merge(pieces))
+    often = [f" often{c}{d}" for c in "abcde" for d in "vwxyz"]
+    for k in range(20):
+        texts = ["".join(often) + "".join(f" rare{chr(97 + k)}{chr(97 + i)}" for i in range(20))]
+        assert [ids for ids, _ in work.encode(texts)] == [" ".join(map(str, library.encode_ordinary(t))) for t in texts]
+    assert all(merged.count(w.encode()) == 1 for w in often)
+    bpe.tables.cache_clear()
+
+
+def test_one_query_holds_many_long_pieces(own):
+    path, _, library = own
+    rng = random.Random(5)
+    pieces = ["".join(rng.choice(string.ascii_lowercase) for _ in range(n)) for n in [*range(1, 60), *range(700, 1000)]]
+    got = bpe.tables(path).merge([p.encode() for p in pieces])
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in got] == [library.encode_ordinary(p) for p in pieces]
+
+
 def test_long_runs_take_little_memory(own):
     path, pattern, library = own
     rng = random.Random(4)
